@@ -31,7 +31,7 @@ from quizloom.llm.common import LOWER, bit_table, components, gram_hashes, has_b
 SIGNATURE_BITS = 2048
 SPARE = 4
 BLOCK = 256
-SETS = "id long, n long, d1 long, d2 long, keys array<long>, sig binary"
+SETS = "id long, n long, d1 long, d2 long, keys array<long>, sig binary, wide binary"
 
 
 def bands(percent: int, upto: int = 1 << 40) -> np.ndarray:
@@ -54,7 +54,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, lower: bool = Tr
     grams = gram_hashes(words, k)
     for lo, hi in zip(first[:-1], first[1:]):
         if hi - lo >= k:
-            yield np.unique(grams[lo : hi - k + 1])
+            some = np.sort(grams[lo : hi - k + 1])
+            yield some[np.r_[True, some[1:] != some[:-1]]]
         else:
             yield gram_hashes(words[lo:hi], int(hi - lo)) if hi > lo else np.empty(0, np.uint64)
 
@@ -82,10 +83,25 @@ def part_keys(of: np.ndarray, first: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def signature(of: np.ndarray) -> np.ndarray:
-    bits = np.zeros(SIGNATURE_BITS, np.uint8)
-    bits[(of & np.uint64(SIGNATURE_BITS - 1)).astype(np.int64)] = 1
-    return np.packbits(bits)
+def signature(of: np.ndarray, bits: int = SIGNATURE_BITS) -> bytes:
+    out = np.zeros(bits, np.uint8)
+    out[(of & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(out).tobytes()
+
+
+def wide_signature(of: np.ndarray) -> bytes | None:
+    """A signature of some bits a shingle, for sets that would fill the usual one."""
+    if len(of) <= SIGNATURE_BITS // 2:
+        return None
+    return signature(of, min(1 << 20, 1 << (8 * len(of) - 1).bit_length()))
+
+
+def wide_bound(a: bytes, b: bytes, na: int, nb: int) -> int:
+    """The bound from two wide signatures; the wider is folded to the other's width."""
+    x, y = (np.frombuffer(s, np.uint64) for s in (a, b))
+    while len(x) != len(y):
+        x, y = (np.bitwise_or(*s.reshape(2, -1)) if len(s) > min(len(x), len(y)) else s for s in (x, y))
+    return min(na - int(np.bitwise_count(x & ~y).sum()), nb - int(np.bitwise_count(y & ~x).sum()))
 
 
 def set_rows(k: int, percent: int):
@@ -94,7 +110,7 @@ def set_rows(k: int, percent: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in text_chunks(batch.column("text")):
-                n, d1, d2, keys, sigs = [], [], [], [], []
+                n, d1, d2, keys, sigs, wide = [], [], [], [], [], []
                 with np.errstate(over="ignore"):
                     for of in shingle_sets(data, offsets, k):
                         n.append(len(of))
@@ -102,7 +118,8 @@ def set_rows(k: int, percent: int):
                         d1.append(a.sum(dtype=np.uint64))
                         d2.append(mix(a ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
                         keys.append(part_keys(of, first, percent).view(np.int64) if len(of) else np.empty(0, np.int64))
-                        sigs.append(signature(of).tobytes() if len(of) else None)
+                        sigs.append(signature(of) if len(of) else None)
+                        wide.append(wide_signature(of))
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 yield pa.record_batch(
                     {
@@ -112,6 +129,7 @@ def set_rows(k: int, percent: int):
                         "d2": pa.array(np.array(d2, np.uint64).view(np.int64)),
                         "keys": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys))),
                         "sig": pa.array(sigs, pa.binary()),
+                        "wide": pa.array(wide, pa.binary()),
                     }
                 )
 
@@ -144,6 +162,9 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent
             if batch.num_rows:
                 na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
                 keep = _linked(na, nb, _bounds(_matrix(batch.column("sa")), _matrix(batch.column("sb")), na, nb), percent)
+                wa, wb = batch.column("wa"), batch.column("wb")
+                for i in np.flatnonzero(keep & wa.is_valid().to_numpy(False) & wb.is_valid().to_numpy(False)):
+                    keep[i] = _linked(na[i], nb[i], wide_bound(wa[i].as_py(), wb[i].as_py(), na[i], nb[i]), percent)
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     def exact(batches):
@@ -157,10 +178,9 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent
                     keep[lo + i] = len(x) and _linked(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)), percent)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    sigs = sets.where("n > 0").select("id", "n", "sig")
-    near = (
-        pairs.join(sigs.toDF("a", "na", "sa"), "a").join(sigs.toDF("b", "nb", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(bounded, "a long, b long")
-    )
+    sigs = sets.where("n > 0").select("id", "n", "sig", "wide")
+    near = pairs.join(sigs.toDF("a", "na", "sa", "wa"), "a").join(sigs.toDF("b", "nb", "sb", "wb"), "b")
+    near = near.select("a", "b", "na", "nb", "sa", "sb", "wa", "wb").mapInArrow(bounded, "a long, b long")
     near = materialise(near.distinct(), "near")
     return near.join(docs.toDF("a", "ta"), "a").join(docs.toDF("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long").distinct()
 
