@@ -8,11 +8,12 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 PROBLEM = "struct<question:string,choices:array<string>,answer:int,question_plus:string>"
 
 
-@F.pandas_udf("struct<json string, error string>")
+@F.pandas_udf(StructType([StructField("json", StringType()), StructField("error", StringType())]))
 def literal_json(texts: pd.Series) -> pd.DataFrame:
     """Each literal as JSON, or the name of the error that reading it raised; null stays null.
 
