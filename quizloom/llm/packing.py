@@ -15,9 +15,9 @@ are packed separately. Extra columns are ignored.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +28,18 @@ from quizloom.llm.common import materialise
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 ROWS_IN_BLOCK = 50_000
-WORDS_HELD = 300_000
-_encoders: dict[str, Callable[[str], list[int]]] = {}
+#: Entries of an encoder's memory, some 200 bytes each.
+WORDS_HELD, PARTS_HELD = 800_000, 600_000
+SIMPLE = re.compile(rb"([A-Za-z]+)([.,;:!?]*)")
+_encoders: dict[str, Callable[[str], bytes]] = {}
 
 
-def word_encoder(path: str) -> Callable[[str], list[int]]:
-    """Encodes whole texts with a tokenizer that drops white space, word by word.
+def word_encoder(path: str) -> Callable[[str], bytes]:
+    """Encodes whole texts with a lower-casing tokenizer that drops white space, word by word.
 
-    Such a tokenizer never joins what white space parts, so each distinct word is encoded once and
-    remembered; the memory is emptied when full.
+    Such a tokenizer never joins what white space parts, nor a letter and a mark, so each distinct
+    word, and each run of ASCII letters or marks in one, is encoded once and remembered. The
+    memory is bounded: once it is full, other words are encoded again. Ids are 4 bytes each.
     """
     if path not in _encoders:
         import os
@@ -44,20 +47,32 @@ def word_encoder(path: str) -> Callable[[str], list[int]]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer, held = Tokenizer.from_file(path), {}
-
-        def encode(text: str) -> list[int]:
+        tokenizer = Tokenizer.from_file(path)
+        held: dict[bytes, bytes] = {}
+        parts: dict[bytes, bytes] = {}
+
+        def fresh(words: list[bytes]) -> dict[bytes, bytes]:
+            cut = {w: (m[1].lower(), m[2]) if (m := SIMPLE.fullmatch(w)) else (w,) for w in words}
+            new = list({p for ps in cut.values() for p in ps if p and p not in parts})
+            own: dict[bytes, bytes] = {b"": b""}
+            for at in range(0, len(new), 10_000):
+                some = new[at : at + 10_000]
+                for w, e in zip(some, tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)):
+                    own[w] = np.array(e.ids, "<u4").tobytes()
+            if len(parts) < PARTS_HELD:
+                parts.update(own)
+            return {w: b"".join(own[p] if p in own else parts[p] for p in ps) for w, ps in cut.items()}
+
+        def encode(text: str) -> bytes:
             words = text.encode().split()
             new = [w for w in set(words) if w not in held]
-            if new:
-                if len(held) > WORDS_HELD:
-                    held.clear()
-                    new = list(set(words))
-                for at in range(0, len(new), 10_000):
-                    some = new[at : at + 10_000]
-                    for w, e in zip(some, tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)):
-                        held[w] = tuple(e.ids)
-            return list(chain.from_iterable(map(held.__getitem__, words)))
+            if not new:
+                return b"".join(map(held.__getitem__, words))
+            extra = fresh(new)
+            if len(held) < WORDS_HELD:
+                held.update(extra)
+                return b"".join(map(held.__getitem__, words))
+            return b"".join([extra[w] if w in extra else held[w] for w in words])
 
         _encoders[path] = encode
     return _encoders[path]
@@ -69,10 +84,10 @@ def piece_rows(path: str, limit: int):
         for batch in batches:
             out: list[tuple] = []
             for id_, text in zip(batch.column("id").to_pylist(), batch.column("text")):
-                ids = np.array([*encode(text.as_py() or ""), 0], "<u4")
-                for k, at in enumerate(range(0, len(ids), limit)):
-                    piece = ids[at : at + limit]
-                    out.append((id_, k, at, len(piece), zlib.crc32(piece.tobytes())))
+                ids = encode(text.as_py() or "") + bytes(4)
+                for k, at in enumerate(range(0, len(ids) // 4, limit)):
+                    piece = ids[4 * at : 4 * (at + limit)]
+                    out.append((id_, k, at, len(piece) // 4, zlib.crc32(piece)))
             columns = list(zip(*out)) or [()] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "piece", "start", "length", "ids_crc32"])
