@@ -3,11 +3,14 @@ Arrow text, bounded bit tables, connected components."""
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +27,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _own: dict[str, str] = {}
+_tables: ContextVar[list[str] | None] = ContextVar("tables", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,10 +46,36 @@ def new_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
+    if (written := _tables.get()) is not None:
+        written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose result is written as a table, after which the tables that led to it go.
+
+    Only tables that this call wrote are removed, and only once nothing has to be recomputed from them.
+    """
+
+    @functools.wraps(operator)
+    def tidied(*args, **named) -> DataFrame:
+        own: list[str] = []
+        outer = _tables.set(own)
+        try:
+            result = operator(*args, **named)
+        finally:
+            _tables.reset(outer)
+        result = materialise(result, operator.__name__)
+        jvm, conf = result.sparkSession._jvm, result.sparkSession._jsc.hadoopConfiguration()
+        for path in own:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        return result
+
+    return tidied
+
+
 def fold(of: Column, modulus: int) -> Column:
     """crc32 of an id as text, modulo; null ids fall in no fold."""
     return F.crc32(of.cast("string").cast("binary")) % modulus
@@ -154,6 +184,21 @@ def has_bit(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
+def may_hold(ids: DataFrame, column: str) -> Callable[[str], Column]:
+    """A filter for ids: true for all that the column of ids holds, and for few others.
+
+    It keeps rows that a join would drop out of the exchange before it. Its bit table has a fixed
+    size, so it can be broadcast; see bit_table.
+    """
+    table = ids.sparkSession.sparkContext.broadcast(bit_table(ids.select(F.xxhash64(column).alias("h")), "h"))
+
+    @F.pandas_udf("boolean")
+    def held(h: pd.Series) -> pd.Series:
+        return pd.Series(has_bit(table.value, h.to_numpy().view(np.uint64)))
+
+    return lambda of: held(F.xxhash64(of))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """id, component (the smallest id reachable) for every id that has an edge.
 

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizloom.llm.common import LOWER, bit_table, components, gram_hashes, has_bit, materialise, mix, split_words, text_chunks, word_hashes
+from quizloom.llm.common import LOWER, bit_table, components, gram_hashes, has_bit, materialise, may_hold, mix, split_words, text_chunks, tidy, word_hashes
 
 SIGNATURE_BITS = 2048
 SPARE = 4
@@ -178,10 +178,13 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent
                     keep[lo + i] = len(x) and _linked(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)), percent)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    sigs = sets.where("n > 0").select("id", "n", "sig", "wide")
+    sides = lambda of: of.select(F.explode(F.array("a", "b")).alias("id"))
+    pairs = materialise(pairs, "pairs")
+    sigs = sets.where("n > 0").select("id", "n", "sig", "wide").where(may_hold(sides(pairs), "id")("id"))
     near = pairs.join(sigs.toDF("a", "na", "sa", "wa"), "a").join(sigs.toDF("b", "nb", "sb", "wb"), "b")
     near = near.select("a", "b", "na", "nb", "sa", "sb", "wa", "wb").mapInArrow(bounded, "a long, b long")
     near = materialise(near.distinct(), "near")
+    docs = docs.where(may_hold(sides(near), "id")("id"))
     return near.join(docs.toDF("a", "ta"), "a").join(docs.toDF("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long").distinct()
 
 
@@ -227,6 +230,7 @@ def tile_pairs(percent: int):
     return rows
 
 
+@tidy
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (the smallest id reachable by links)."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -236,6 +240,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = materialise(known.select("id", "d1", "d2").join(classes, ["d1", "d2"]).select("id", "rep").distinct(), "member")
     texts = docs.where("id is not null")
 
+    # Copies stand behind their representative: their keys would all count as shared.
+    known = known.where(may_hold(classes, "rep")("id"))
     shared = known.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1")
     table = docs.sparkSession.sparkContext.broadcast(bit_table(shared, "key"))
 
@@ -273,7 +279,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("tile", "id", "c", "n", "sig", F.when(F.col("blocks") == 1, -1).when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"))
     )
     pairs = dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(tile_pairs(percent), "a long, b long").distinct()
-    second = verified(materialise(pairs, "pairs"), sets, texts, k, percent)
+    second = verified(pairs, sets, texts, k, percent)
     found = components(first.unionByName(second))
 
     out = sets.select("id", F.col("n").alias("n_shingles"))
