@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizloom.llm.common import bit_table, gram_hashes, has_bit, materialise, mix, split_words, text_chunks, word_hashes
+from quizloom.llm.common import bit_table, gram_hashes, has_bit, materialise, may_hold, mix, split_words, text_chunks, tidy, word_hashes
 
 BUSY = 1000
 SEGMENT = 64
@@ -208,6 +208,7 @@ def shard_rows(window: int):
     return rows
 
 
+@tidy
 def removed_spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """id, version, froms, tos: the word ranges that each document loses; docs has id, version, text."""
     sc = docs.sparkSession.sparkContext
@@ -260,6 +261,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = removed_spans(bare, window, gram).toDF("__id", "__version", "__froms", "__tos")
     docs = docs.drop("kept", "n_words", "n_removed")
     rows = docs.withColumns({"__row_id": F.col(id_col).cast("long"), "__row_version": version, "__text": F.col(text_col)})
-    rows = rows.join(materialise(spans, "spans"), (F.col("__row_id") == F.col("__id")) & (F.col("__row_version") == F.col("__version")), "left")
+    # Only documents that may lose words go through the exchange of the join.
+    held = may_hold(spans, "__id")
+    fits = (F.col("__row_id") == F.col("__id")) & (F.col("__row_version") == F.col("__version"))
+    none = F.lit(None).cast("array<bigint>")
+    rows = rows.withColumn("__held", held("__row_id"))
+    losing = rows.where("__held").join(spans, fits, "left").select(*docs.columns, "__text", "__froms", "__tos")
+    rows = losing.unionByName(rows.where("not __held").select(*docs.columns, "__text", none.alias("__froms"), none.alias("__tos")))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "kept string, n_words long, n_removed long"])
-    return rows.select(*docs.columns, "__text", "__froms", "__tos").mapInArrow(_removing, schema)
+    return rows.mapInArrow(_removing, schema)
