@@ -187,10 +187,11 @@ def has_bit(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def may_hold(ids: DataFrame, column: str) -> Callable[[str], Column]:
     """A filter for ids: true for all that the column of ids holds, and for few others.
 
-    It keeps rows that a join would drop out of the exchange before it. Its bit table has a fixed
-    size, so it can be broadcast; see bit_table.
+    It keeps rows that a join would drop out of the exchange before it. Its bit table has 64 bits an
+    id or more, and no more than 2**BITS, so it can be broadcast; see bit_table.
     """
-    table = ids.sparkSession.sparkContext.broadcast(bit_table(ids.select(F.xxhash64(column).alias("h")), "h"))
+    bits = min(BITS, max(16, (64 * ids.count()).bit_length()))
+    table = ids.sparkSession.sparkContext.broadcast(bit_table(ids.select(F.xxhash64(column).alias("h")), "h", bits))
 
     @F.pandas_udf("boolean")
     def held(h: pd.Series) -> pd.Series:
