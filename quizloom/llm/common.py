@@ -184,20 +184,25 @@ def has_bit(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
-def may_hold(ids: DataFrame, column: str) -> Callable[[str], Column]:
-    """A filter for ids: true for all that the column of ids holds, and for few others.
+def id_table(ids: DataFrame, column: str):
+    """A broadcast bit table of the column's ids, hashed by xxhash64: 64 bits an id or more, 2**BITS at most.
 
-    It keeps rows that a join would drop out of the exchange before it. Its bit table has 64 bits an
-    id or more, and no more than 2**BITS, so it can be broadcast; see bit_table.
+    What passes it are all those ids and few others, so it keeps rows that a join would drop out of
+    the exchange before it; the join decides.
     """
     bits = min(BITS, max(16, (64 * ids.count()).bit_length()))
-    table = ids.sparkSession.sparkContext.broadcast(bit_table(ids.select(F.xxhash64(column).alias("h")), "h", bits))
+    return ids.sparkSession.sparkContext.broadcast(bit_table(ids.select(F.xxhash64(column).alias("h")), "h", bits))
+
+
+def may_hold(table, of: str) -> Column:
+    """Whether the id may be in an id_table. Not for a plan with other Python steps in the same
+    stage, where each task would start workers for both: test the hashes there."""
 
     @F.pandas_udf("boolean")
     def held(h: pd.Series) -> pd.Series:
         return pd.Series(has_bit(table.value, h.to_numpy().view(np.uint64)))
 
-    return lambda of: held(F.xxhash64(of))
+    return held(F.xxhash64(of))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

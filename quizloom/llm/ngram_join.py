@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizloom.llm.common import LOWER, bit_table, components, gram_hashes, has_bit, materialise, may_hold, mix, split_words, text_chunks, tidy, word_hashes
+from quizloom.llm.common import LOWER, bit_table, components, gram_hashes, has_bit, id_table, materialise, may_hold, mix, split_words, text_chunks, tidy, word_hashes
 
 SIGNATURE_BITS = 2048
 SPARE = 4
@@ -180,11 +180,12 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent
 
     sides = lambda of: of.select(F.explode(F.array("a", "b")).alias("id"))
     pairs = materialise(pairs, "pairs")
-    sigs = sets.where("n > 0").select("id", "n", "sig", "wide").where(may_hold(sides(pairs), "id")("id"))
+    sigs = sets.where("n > 0").select("id", "n", "sig", "wide")
+    sigs = materialise(sigs.where(may_hold(id_table(sides(pairs), "id"), "id")), "paired")
     near = pairs.join(sigs.toDF("a", "na", "sa", "wa"), "a").join(sigs.toDF("b", "nb", "sb", "wb"), "b")
     near = near.select("a", "b", "na", "nb", "sa", "sb", "wa", "wb").mapInArrow(bounded, "a long, b long")
     near = materialise(near.distinct(), "near")
-    docs = docs.where(may_hold(sides(near), "id")("id"))
+    docs = materialise(docs.where(may_hold(id_table(sides(near), "id"), "id")), "texts")
     return near.join(docs.toDF("a", "ta"), "a").join(docs.toDF("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long").distinct()
 
 
@@ -241,19 +242,20 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.where("id is not null")
 
     # Copies stand behind their representative: their keys would all count as shared.
-    known = known.where(may_hold(classes, "rep")("id"))
-    shared = known.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1")
+    reps = id_table(classes, "rep")
+    shared = known.where(may_hold(reps, "id")).select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1")
     table = docs.sparkSession.sparkContext.broadcast(bit_table(shared, "key"))
 
     def kept(batches):
         for batch in batches:
+            batch = batch.filter(pa.array(has_bit(reps.value, batch.column("h").to_numpy().view(np.uint64))))
             keys = batch.column("keys")
             flat = keys.flatten().to_numpy()
             ids = np.repeat(batch.column("id").to_numpy(), pc.list_value_length(keys).to_numpy())
             keep = has_bit(table.value, flat.view(np.uint64))
             yield pa.record_batch({"key": pa.array(flat[keep]), "id": pa.array(ids[keep])})
 
-    keyed = known.select("id", "keys").mapInArrow(kept, "key long, id long").join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    keyed = known.select("id", "keys", F.xxhash64("id").alias("h")).mapInArrow(kept, "key long, id long").join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
     keyed = materialise(keyed.distinct(), "keyed")
     tiles = materialise(keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1"), "tiles")
     keyed = materialise(keyed.join(tiles, "key"), "tiled")

@@ -23,14 +23,14 @@ lose nothing and remove nothing. Rows that repeat an id are one document. Extra
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizloom.llm.common import bit_table, gram_hashes, has_bit, materialise, may_hold, mix, split_words, text_chunks, tidy, word_hashes
+from quizloom.llm.common import bit_table, gram_hashes, has_bit, id_table, materialise, may_hold, mix, split_words, text_chunks, tidy, word_hashes
 
 BUSY = 1000
 SEGMENT = 64
@@ -240,7 +240,19 @@ def kept_words(words: list[bytes], froms, tos) -> list[bytes]:
     return [w for w, k in zip(words, np.cumsum(change[:-1]).tolist()) if not k]
 
 
-def _removing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def untouched(table):
+    """Rows whose id isn't in the table lose nothing."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = batch.filter(pa.array(~has_bit(table.value, batch.column("__h").to_numpy().view(np.uint64)))).drop_columns(["__h"])
+            none = pa.nulls(rest.num_rows, pa.list_(pa.int64()))
+            yield from _removing([pa.RecordBatch.from_arrays([*rest.columns, none, none], [*rest.schema.names, "__froms", "__tos"])])
+
+    return rows
+
+
+def _removing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep, count, less = [], [], []
         for text, froms, tos in zip(batch.column("__text"), batch.column("__froms"), batch.column("__tos")):
@@ -262,11 +274,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.drop("kept", "n_words", "n_removed")
     rows = docs.withColumns({"__row_id": F.col(id_col).cast("long"), "__row_version": version, "__text": F.col(text_col)})
     # Only documents that may lose words go through the exchange of the join.
-    held = may_hold(spans, "__id")
+    table = id_table(spans, "__id")
     fits = (F.col("__row_id") == F.col("__id")) & (F.col("__row_version") == F.col("__version"))
-    none = F.lit(None).cast("array<bigint>")
-    rows = rows.withColumn("__held", held("__row_id"))
-    losing = rows.where("__held").join(spans, fits, "left").select(*docs.columns, "__text", "__froms", "__tos")
-    rows = losing.unionByName(rows.where("not __held").select(*docs.columns, "__text", none.alias("__froms"), none.alias("__tos")))
+    losing = rows.where(may_hold(table, "__row_id")).join(spans, fits, "left").select(*docs.columns, "__text", "__froms", "__tos")
+    rest = rows.select(*docs.columns, "__text", F.xxhash64("__row_id").alias("__h"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "kept string, n_words long, n_removed long"])
-    return rows.mapInArrow(_removing, schema)
+    return losing.mapInArrow(_removing, schema).unionByName(rest.mapInArrow(untouched(table), schema))
