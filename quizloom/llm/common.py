@@ -10,7 +10,6 @@ from collections.abc import Callable, Iterator
 from contextvars import ContextVar
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -198,9 +197,9 @@ def may_hold(table, of: str) -> Column:
     """Whether the id may be in an id_table. Not for a plan with other Python steps in the same
     stage, where each task would start workers for both: test the hashes there."""
 
-    @F.pandas_udf("boolean")
-    def held(h: pd.Series) -> pd.Series:
-        return pd.Series(has_bit(table.value, h.to_numpy().view(np.uint64)))
+    @F.arrow_udf("boolean")
+    def held(h: pa.Array) -> pa.Array:
+        return pa.array(has_bit(table.value, h.to_numpy().view(np.uint64)))
 
     return held(F.xxhash64(of))
 

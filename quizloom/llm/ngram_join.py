@@ -247,11 +247,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table = docs.sparkSession.sparkContext.broadcast(bit_table(shared, "key"))
 
     def kept(batches):
-        for batch in batches:
-            batch = batch.filter(pa.array(has_bit(reps.value, batch.column("h").to_numpy().view(np.uint64))))
-            keys = batch.column("keys")
+        for part in (batch.slice(lo, 512) for batch in batches for lo in range(0, batch.num_rows, 512)):
+            part = part.filter(pa.array(has_bit(reps.value, part.column("h").to_numpy().view(np.uint64))))
+            keys = part.column("keys")
             flat = keys.flatten().to_numpy()
-            ids = np.repeat(batch.column("id").to_numpy(), pc.list_value_length(keys).to_numpy())
+            ids = np.repeat(part.column("id").to_numpy(), pc.list_value_length(keys).to_numpy())
             keep = has_bit(table.value, flat.view(np.uint64))
             yield pa.record_batch({"key": pa.array(flat[keep]), "id": pa.array(ids[keep])})
 
