@@ -65,15 +65,29 @@ class Model:
         return x
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1.0) -> None:
-        """Logistic regression of the label, by Newton's method, weighted to the classes' shares."""
+        """Logistic regression of the label, by Newton's method, weighted to the classes' shares.
+
+        A step is halved until the loss falls, so that it ends at the only minimum.
+        """
         weight = np.where(y == 1, self.share / (y == 1).mean(), (1 - self.share) / (y == 0).mean())
         self.centre, self.spread = x.mean(0), x.std(0) + 1e-9
         a = np.concatenate([np.ones((len(x), 1)), (x - self.centre) / self.spread], 1)
         w, pull = np.zeros(21), ridge * np.r_[0.0, np.ones(20)]
+
+        def loss(w: np.ndarray) -> float:
+            z = a @ w
+            return float((weight * (np.logaddexp(0, z) - y * z)).sum() + (pull * w * w).sum() / 2)
+
         for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
             slope = a.T @ (weight * (y - p)) - pull * w
-            w += np.clip(np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + np.diag(pull + 1e-6), slope), -3, 3)
+            step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + np.diag(pull + 1e-6), slope)
+            now = loss(w)
+            while np.abs(step).max() > 1e-9 and loss(w + step) > now:
+                step /= 2
+            w = w + step
+            if np.abs(step).max() <= 1e-9:
+                break
         self.weights = w
 
     def score(self, texts: list[bytes]) -> np.ndarray:
