@@ -1,9 +1,12 @@
 """Language-model scoring by partial matching over bytes.
 
 The model is a trie of byte contexts up to `order` long. Spark counts every (order + 1)-gram of the
-training texts and sums them to all shorter orders; a node is kept from the smallest count (a power
-of two) at which the whole trie has at most `max_nodes` nodes. That bounds what is broadcast,
-whatever the corpus. A byte is coded in the longest known context; where it isn't there, an escape
+training texts and sums them to all shorter orders: the nodes. Every node is used, whatever the
+corpus. A byte's probability depends on its gram alone, so each distinct gram of all texts is priced
+once: nodes and grams meet in shards by the last bytes of their contexts (`OWN`), with the nodes of
+shorter contexts, of which there are at most 256**3, sent to every shard. Prices of the most frequent
+grams, at most `max_nodes`, are broadcast to score texts; the other grams of each document are joined
+with the prices. So the bound on what is broadcast changes no score. A byte is coded in the longest known context; where it isn't there, an escape
 (method D: half a count of each distinct symbol) leads to the next shorter one, in which the
 symbols already ruled out are excluded. Contexts are nested, so what is excluded depends on the
 context escaped from alone, and all escapes are summed once per node, before scoring.
@@ -25,15 +28,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quizloom.llm.common import LOWER, fold, materialise, split_words, text_chunks, word_hashes
 
 END = 0xFF
-WORDS, GRAMS, ENDS = 0, 1, 2
+WORDS, GRAMS, ENDS, UNTRAINED = 0, 1, 2, 3
 #: Counters that a task holds before it passes them on.
 HELD = 2_000_000
+#: Bytes before the last that decide a gram's shard, and the grams to price that a shard is to have.
+OWN, SHARD = 3, 200_000
 
 
 def grams_of(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,19 +94,22 @@ def count_rows(order: int):
             counters[kind] = Counter()
             return pa.record_batch({"kind": pa.array(np.full(len(keys), kind, np.int32)), "key": pa.array(keys.view(np.int64)), "n": pa.array(n.astype(np.int64))})
 
-        counters, ends = {WORDS: Counter(), GRAMS: Counter()}, 0
+        counters, ends = {WORDS: Counter(), GRAMS: Counter(), UNTRAINED: Counter()}, 0
         for batch in batches:
-            for lo, hi, data, offsets in text_chunks(batch.column("text")):
-                data = LOWER[data]
-                starts, stops, _ = split_words(data, offsets)
-                counters[WORDS].add(word_hashes(data, starts, stops))
-                counters[GRAMS].add(grams_of(data, offsets, order)[0])
-                ends += hi - lo
-                for kind in (WORDS, GRAMS):
-                    if counters[kind].size > HELD:
-                        yield passed(kind)
-        yield passed(WORDS)
-        yield passed(GRAMS)
+            for learn in (True, False):
+                texts = batch.column("text").filter(pc.equal(batch.column("held_out"), not learn))
+                for lo, hi, data, offsets in text_chunks(texts):
+                    data = LOWER[data]
+                    counters[GRAMS if learn else UNTRAINED].add(grams_of(data, offsets, order)[0])
+                    if learn:
+                        starts, stops, _ = split_words(data, offsets)
+                        counters[WORDS].add(word_hashes(data, starts, stops))
+                        ends += hi - lo
+                    for kind in counters:
+                        if counters[kind].size > HELD:
+                            yield passed(kind)
+        for kind in counters:
+            yield passed(kind)
         yield pa.record_batch({"kind": pa.array([ENDS], pa.int32()), "key": pa.array([0], pa.int64()), "n": pa.array([ends], pa.int64())})
 
     return rows
@@ -146,7 +155,7 @@ class Lookup:
 
 
 class Trie:
-    """The pretrained model: logarithms by node, ready for scoring arrays of grams."""
+    """The pretrained model, or a shard of it: logarithms by node, ready for scoring arrays of grams."""
 
     def __init__(self, order: int, depth: np.ndarray, gram: np.ndarray, n: np.ndarray) -> None:
         self.order = order
@@ -211,19 +220,39 @@ class Trie:
         return out
 
 
-def train(docs: DataFrame, order: int = 5, max_nodes: int = 1 << 21) -> tuple[Trie, DataFrame]:
-    """The trie, and the counts of words (kind 0: key, n) and of documents (kind 2), from the column text."""
-    counts = materialise(docs.select("text").mapInArrow(count_rows(order), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+def train(docs: DataFrame, order: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Prices (gram, price, n) of all grams of the column text, by the rows that are not held_out; and
+    the counts of those rows' words (kind 0: key, n) and of those rows (kind 2)."""
+    counts = materialise(docs.select("text", "held_out").mapInArrow(count_rows(order), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     grams = counts.where(F.col("kind") == GRAMS).select("n", F.posexplode(F.array(*(F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1) for k in range(order + 1)))).alias("depth", "gram"))
     nodes = materialise(grams.groupBy("depth", "gram").agg(F.sum("n").alias("n")), "nodes")
-    sizes = nodes.agg(*(F.count_if(F.col("n") >= (1 << i)).alias(f"s{i}") for i in range(40))).first()
-    least = next(1 << i for i in range(40) if sizes[i] <= max_nodes or i == 39)
-    kept = nodes.where(F.col("n") >= least).toArrow()
-    depth, gram, n = (kept[c].to_numpy() for c in ("depth", "gram", "n"))
-    return Trie(order, depth, gram.view(np.uint64), n), counts.where(F.col("kind") != GRAMS)
+    asked = counts.where(F.col("kind").isin(GRAMS, UNTRAINED)).groupBy(F.col("key").alias("gram")).agg(F.sum("n").alias("n")).select(F.lit(-1).alias("depth"), "gram", "n")
+    few = nodes.where(F.col("depth") < OWN).toArrow()
+    short = docs.sparkSession.sparkContext.broadcast([few[c].to_numpy() for c in ("depth", "gram", "n")])
+
+    def priced(table: pa.Table) -> pa.Table:
+        depth, gram, n = (table[c].to_numpy() for c in ("depth", "gram", "n"))
+        ask = depth < 0
+        every = [np.concatenate([x, y[~ask]]) for x, y in zip(short.value, (depth, gram, n))]
+        trie = Trie(order, every[0], every[1].view(np.uint64), every[2])
+        return pa.table({"gram": gram[ask], "price": trie.score(gram[ask].view(np.uint64)), "n": n[ask]})
+
+    distinct = counts.where(F.col("kind").isin(GRAMS, UNTRAINED)).count()
+    own = F.shiftrightunsigned("gram", 8).bitwiseAND((1 << 8 * OWN) - 1)
+    both = nodes.where(F.col("depth") >= OWN).unionByName(asked).withColumn("shard", F.pmod(F.xxhash64(own), F.lit(1 + distinct // SHARD)))
+    prices = both.groupBy("shard").applyInArrow(priced, "gram long, price double, n long")
+    return materialise(prices, "prices"), counts.where(F.col("kind").isin(WORDS, ENDS))
+
+
+def most_frequent(prices: DataFrame, most: int) -> tuple[Lookup, np.ndarray]:
+    """At most `most` grams and their prices: those from the smallest count, a power of two, that so few have."""
+    sizes = prices.agg(*(F.count_if(F.col("n") >= (1 << i)).alias(f"s{i}") for i in range(62))).first()
+    least = next((1 << i for i in range(62) if sizes[i] <= most), 1 << 62)
+    kept = prices.where(F.col("n") >= least).select("gram", "price").toArrow()
+    return Lookup(kept["gram"].to_numpy().view(np.uint64)), kept["price"].to_numpy()
 
 
-SCORED = "id long, held_out boolean, n_tokens long, known long, base double, score double, rest array<long>"
+SCORED = "id long, held_out boolean, n_tokens long, known long, base double, score double, rest array<long>, rest_grams array<struct<gram:long,times:long>>"
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 5, max_nodes: int = 1 << 21, common: int = 1 << 20) -> DataFrame:
@@ -231,7 +260,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     held = F.coalesce(fold(F.col(id_col), 5) == 1, F.lit(False))
     docs = docs.select(F.col(id_col).cast("long").alias("id"), held.alias("held_out"), F.col(text_col).alias("text"))
-    trie, counts = train(docs.where("not held_out"), order, max_nodes)
+    prices, counts = train(docs, order)
     words = counts.where(F.col("kind") == WORDS)
     ends = counts.where(F.col("kind") == ENDS).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -239,10 +268,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     norm = math.log10(total + 0.5 * (distinct + 1))
     most = words.orderBy(F.desc("n"), "key").limit(common).select("key", "n").toArrow()
     most_keys, most_n = most["key"].to_numpy().view(np.uint64), most["n"].to_numpy()
-    shared = spark.sparkContext.broadcast((trie, Lookup(most_keys), most_n, ends, norm))
+    shared = spark.sparkContext.broadcast((*most_frequent(prices, max_nodes), Lookup(most_keys), most_n, ends, norm))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, table, n, ends, norm = shared.value
+        grams, price, table, n, ends, norm = shared.value
+        price = np.r_[price, 0.0]
         logs = np.r_[np.log10(n + 0.5) - norm, 0.0]
         end = math.log10(ends + 0.5) - norm
         for batch in batches:
@@ -254,7 +284,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 sums = np.r_[0.0, np.cumsum(logs[at])]
                 known = np.r_[0, np.cumsum(at >= 0)]
                 rest = np.r_[0, np.cumsum(at < 0)][first]
-                keys, begin = grams_of(data, offsets, trie.order)
+                keys, begin = grams_of(data, offsets, order)
+                place = grams.find(keys)
+                lost = np.flatnonzero(place < 0)
+                of = np.searchsorted(begin, lost, "right") - 1
+                sort = np.lexsort((keys[lost], of))
+                lost, of = keys[lost][sort], of[sort]
+                new = np.flatnonzero(np.r_[True, (lost[1:] != lost[:-1]) | (of[1:] != of[:-1])]) if len(lost) else np.empty(0, np.int64)
+                times = pa.StructArray.from_arrays([pa.array(lost[new].view(np.int64)), pa.array(np.diff(np.r_[new, len(lost)]))], ["gram", "times"])
                 yield pa.record_batch(
                     {
                         "id": batch.column("id").slice(lo, hi - lo),
@@ -262,8 +299,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         "n_tokens": pa.array(np.diff(first) + 1),
                         "known": pa.array(np.diff(known[first]) + (ends > 0)),
                         "base": pa.array(np.diff(sums[first]) + end),
-                        "score": pa.array(np.add.reduceat(trie.score(keys), begin)),
+                        "score": pa.array(np.add.reduceat(price[place], begin)),
                         "rest": pa.ListArray.from_arrays(pa.array(rest.astype(np.int32)), pa.array(hashes[at < 0].view(np.int64))),
+                        "rest_grams": pa.ListArray.from_arrays(pa.array(np.searchsorted(of[new], np.arange(hi - lo + 1)).astype(np.int32)), times),
                     }
                 )
 
@@ -274,14 +312,16 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.sum(F.when(F.col("n") > 0, F.col("count")).otherwise(0)).alias("more_known"),
         F.sum(F.col("count") * (F.log10(F.coalesce("n", F.lit(0)) + 0.5) - F.lit(norm))).alias("more_base"),
     )
-    return rows.join(rest, "row", "left").select(
+    grams = rows.select("row", F.inline("rest_grams")).join(prices.select("gram", "price"), "gram")
+    grams = grams.groupBy("row").agg(F.sum(F.col("times") * F.col("price")).alias("more_score"))
+    return rows.drop("rest", "rest_grams").join(rest, "row", "left").join(grams, "row", "left").select(
         F.col("id").alias(id_col),
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )
 
 

@@ -87,6 +87,14 @@ def test_language_model(spark, sf_dir, odd, empty):
     assert adaptive[3] == adaptive[4] == pytest.approx(-math.log10(256)) and adaptive[1] < adaptive[5]
 
 
+def test_language_model_uses_every_node(spark, sf_dir, monkeypatch):
+    docs = queries.table(spark, sf_dir, "documents")
+    full = {r["doc_id"]: r["score"] for r in ppm.score_documents(docs).collect()}  # held against brute force above
+    monkeypatch.setattr(ppm, "SHARD", 5000)
+    few = {r["doc_id"]: r["score"] for r in ppm.score_documents(docs, max_nodes=500).collect()}
+    assert few.keys() == full.keys() and all(few[i] == pytest.approx(full[i]) for i in full)
+
+
 def test_archives(spark, tmp_path):
     rows = [(1, "u", "<p>a</p>\r\n\r\nWARC/1.1\r\n", 0), (2, None, "<p>a</p>\r\n\r\nWARC/1.1\r\n", 0), (3, "a\r\nb", None, 0), (4, "u", "", 0), (None, "u", "x", 0), (5, "u", "é" * 9, 0), (5, "u", "é" * 9, 0)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest long")
