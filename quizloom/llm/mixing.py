@@ -89,14 +89,15 @@ def leaf_budgets(leaves: DataFrame, budget: int, epochs: int, weights: dict[str,
     return leaves.select("domain", "language", "source", "total", F.col("share").alias("allotment"))
 
 
-def mixed(docs: DataFrame, domain: Column, budget_share: float, epochs: int, weights: dict[str, dict[str, int]], seed: str = "0", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def mixed(docs: DataFrame, domain: Column, budget_share: float, epochs: int, weights: dict[str, dict[str, int]], seed: str = "0", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """A row per row of docs that is chosen: id, domain, language, source, n_tokens, passes (whole
     epochs) and prefix_tokens (tokens taken in the epoch after those).
 
-    The budget is budget_share of all tokens.
+    The budget is budget_share of all tokens. row_col, a key of the rows, is kept and orders rows of equal ids.
     """
+    key = [row_col] if row_col else []
     plain = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), plain(domain).alias("domain"), plain(F.col(lang_col)).alias("language"), plain(F.col(source_col)).alias("source"), tokens(F.col(text_col)).alias("n_tokens"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), plain(domain).alias("domain"), plain(F.col(lang_col)).alias("language"), plain(F.col(source_col)).alias("source"), tokens(F.col(text_col)).alias("n_tokens"), *key)
     rows = materialise(rows, "tokens")
     leaf = ["domain", "language", "source"]
     leaves = materialise(rows.groupBy(*leaf).agg(F.sum("n_tokens").alias("total"), F.count("*").alias("n")), "leaves")
@@ -110,8 +111,8 @@ def mixed(docs: DataFrame, domain: Column, budget_share: float, epochs: int, wei
     sums = rows.groupBy(*leaf, "bucket").agg(F.sum("n_tokens").alias("here"))
     before = Window.partitionBy(*leaf).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = materialise(sums.select(*leaf, "bucket", F.coalesce(F.sum("here").over(before), F.lit(0)).alias("base")), "buckets")
-    inside = Window.partitionBy(*leaf, "bucket").orderBy("order", "id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*leaf, "bucket").orderBy("order", "id", *key).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(sums, [*leaf, "bucket"]).withColumn("start", F.col("base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     taken = F.greatest(F.lit(0), F.least(F.col("n_tokens"), F.col("rest") - F.col("start")))
     rows = rows.withColumn("prefix_tokens", taken).where("passes > 0 or prefix_tokens > 0")
-    return rows.select(F.col("id").alias(id_col), *leaf, "n_tokens", "passes", "prefix_tokens")
+    return rows.select(F.col("id").alias(id_col), *leaf, "n_tokens", "passes", "prefix_tokens", *key)

@@ -1,4 +1,6 @@
+import hashlib
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -323,3 +325,77 @@ def test_pipeline_odd(spark, sf_dir, odd):
     for _, stage in corpus_pipeline.STAGES:
         rows = corpus_pipeline.materialise(stage(spark, rows, sf_dir), "stage")
     assert rows.count() >= 0
+
+
+def plain_split(children, budget):
+    """{name: (weight, room)} to {name: share}."""
+    order = sorted((c for c in children.items() if c[1][0] > 0 and c[1][1] > 0), key=lambda c: (c[1][1] / c[1][0], c[0]))
+    budget, out = min(budget, sum(room for _, (_, room) in order)), {}
+    while order and order[0][1][1] * sum(w for _, (w, _) in order) <= budget * order[0][1][0]:
+        name, (_, out[name]) = order.pop(0)
+        budget -= out[name]
+    at, total = 0, sum(w for _, (w, _) in order)
+    for name, (w, _) in order:
+        out[name] = budget * (at + w) // total - budget * at // total
+        at += w
+    return out
+
+
+def plain_mix(rows, share):
+    """Rows (doc_id, text, lang, source) that are taken in one epoch; rows of one leaf and id are alike here."""
+    weight, leaves = (lambda level, x: queries.WEIGHTS[level].get(x, 1)), {}
+    for r in rows:
+        number = re.search("[0-9]+", r["source"] or "")
+        leaves.setdefault((f"d{int(number[0]) % 3}" if number else "", r["lang"] or "", r["source"] or ""), []).append(r)
+    room = {leaf: sum(len(words(r["text"])) for r in of) for leaf, of in leaves.items()}
+    under = lambda *head: sum(n for leaf, n in room.items() if leaf[: len(head)] == head)
+    out = []
+    for d, given in plain_split({d: (weight("domain", d), under(d)) for d, _, _ in leaves}, int(sum(room.values()) * share)).items():
+        for lang, part in plain_split({x: (weight("language", x), under(d, x)) for e, x, _ in leaves if e == d}, given).items():
+            for source, left in plain_split({x: (weight("source", x), under(d, lang, x)) for e, y, x in leaves if (e, y) == (d, lang)}, part).items():
+                of = leaves[d, lang, source]
+                if left == room[d, lang, source]:
+                    out += of
+                    continue
+                key = lambda r: hashlib.md5(":".join(["7", "0", *([] if r["doc_id"] is None else [str(r["doc_id"])])]).encode()).hexdigest()
+                for r in sorted(of, key=lambda r: (key(r), r["doc_id"] is not None, r["doc_id"] or 0)):
+                    n = len(words(r["text"]))
+                    out += [r] if left > 0 and n else []
+                    left -= n
+    return out
+
+
+def plain_substrings(rows):
+    seen: set = set()
+    for r in sorted(rows, key=lambda r: r["doc_id"]):
+        w = words(r["text"])
+        grams = [tuple(w[j : j + 13]) for j in range(len(w) - 12)]
+        gone = {j + d for j, g in enumerate(grams) if g in seen for d in range(13)}
+        seen |= set(grams)
+        if not gone or len(gone) < len(w):
+            yield r["doc_id"], (b" ".join(x for j, x in enumerate(w) if j not in gone).decode() if gone else r["text"])
+
+
+def test_pipeline_stages(spark, sf_dir):
+    first = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    by = lambda rows: sorted(((r["doc_id"], r["text"]) for r in rows), key=str)
+    got = corpus_pipeline.quality_stage(spark, first, sf_dir).collect()
+    model = quality.fit(first, spark.read.parquet(f"{sf_dir}/labels.parquet"), learn=quality.learnable())
+    assert by(got) == by(r for r in first.collect() if model.score([(r["text"] or "").encode()])[0] >= 0.7)
+    got = corpus_pipeline.substring_stage(spark, first, sf_dir).collect()
+    assert by(got) == sorted(plain_substrings(first.collect()), key=str)
+
+
+def test_mixing_stage(spark, sf_dir):
+    first = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    other = [(None, "no id at all", "en", "src0"), (None, "no id at all", "en", "src0"), (None, "none here", "de", "own"), (7, "same id, other leaf", "fr", "src4"), (None, "", "de", "own"), (900_001, "", "en", "src1"), (900_002, None, None, None)]
+    rows = first.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame(other, "doc_id long, text string, lang string, source string"))
+    got = corpus_pipeline.mixing_stage(spark, rows, sf_dir).collect()
+    want = plain_mix(rows.collect(), corpus_pipeline.MIX_SHARE)
+    assert Counter(map(tuple, got)) == Counter(map(tuple, want)) and any(r["doc_id"] is None for r in got)
+
+
+def test_near_duplicate_stage_keeps_rows_without_an_id(spark, sf_dir, odd):
+    got = sorted((r["doc_id"] or 0 for r in corpus_pipeline.near_duplicate_stage(spark, odd, sf_dir).collect()))
+    texts = [(r[0], r[1]) for r in {r[0]: r for r in ROWS if r[0] is not None}.values()]
+    assert got == [0, *(i for i, (_, c) in plain_classes(texts, 5, 80).items() if i == c)]
