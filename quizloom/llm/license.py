@@ -1,8 +1,9 @@
 """License scan by canonical digest, in DataFrame operations only.
 
-A text is normalised (lower case, spellings that mean the same, copyright lines dropped, punctuation
-and white space to single spaces) and the digest of the whole of it is hash-joined to the digests of
-known licences. The known licences are a short fixed table, so it is broadcast.
+A text is normalised (lower case, spellings that mean the same, copyright statements dropped,
+punctuation and white space to single spaces) and the digest of the whole of it is hash-joined to the digests of
+known licences: `KNOWN` and the whole texts in the folder `licenses`, or a table of the caller's. The
+fixed ones are few, so they are broadcast. How a text is cut into lines doesn't matter.
 
 Nulls: a null text is empty; an empty canonical text matches nothing. Rows with a null id and
 repeated rows are scanned like all others. Extra columns are ignored.
@@ -10,6 +11,8 @@ repeated rows are scanned like all others. Extra columns are ignored.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +25,24 @@ EQUIVALENT = (
     ("https?://", ""),
     ("&", " and "),
 )
-#: Lines that name the owner or the year.
+#: The SQL's pattern for lines that name the owner or the year. It also takes lines of a licence's body.
 COPYRIGHT_LINE = "(?md)^[^a-z0-9\\n]*(copyright |\\(c\\) |© |all rights reserved)[^\\n]*$"
+#: Where licences begin after their owner.
+OPENING = "(?:" + "|".join(
+    x.replace(" ", "\\s+")
+    for x in ("permission is hereby granted", "permission to use", "redistribution and use", "this software is provided", "licensed under", "everyone is permitted", "this program is free software", "this program comes with", "gnomovision comes with", "this is free and unencumbered")
+) + ")"
+#: What follows the word copyright, or an enumerating (c), in a licence's body. Java's patterns from here.
+_BODY = "(?:notices?|patents?|ownership|owners?|holders?|laws?|licenses?|statements?|interests?|rights?|treat(?:y|ies)|protection|disclaimers?|claims?|and|or|in|of|on|to|is|are|that|as|under|may|shall|which|infringement|permission)\\b"
+_LISTED = "(?:you|under|the|an?|any|all|if|to|for|in|it|on|by|with|where|when|that|this|and|or|make|give|retain|use)\\b"
+_OWNER = "(?:copyright[ \\t:]+(?!" + _BODY + ")|©\\s*|\\(c\\)[ \\t]+(?!" + _LISTED + "))"
+_CLAUSE = "\\b(?:licenses?|may|must|not|you|shall|only|warrant(?:y|ies)|provided)\\b|\\n[ \\t]*\\n"
+STATEMENTS = (
+    # Up to a licence's begin: with a sign or a year anywhere, else from a line's begin; no clause is dropped with it.
+    "(?md)(?:copyright\\s+(?:\\(c\\)|©|[<\\[]|[0-9]{4})|^[^a-z0-9\\n]*(?:" + _OWNER + "|all rights reserved))(?:(?!" + OPENING + ")(?!" + _CLAUSE + ")[\\s\\S]){0,300}+(?=" + OPENING + ")",
+    # Whole lines, where none begins.
+    "(?md)^[^a-z0-9\\n]*(?:" + _OWNER + "|all rights reserved)(?:(?!" + OPENING + ")[^\\n])*$",
+)
 PUNCTUATION = "[\\x00-/:-@\\[-`{-\\x7f]+"
 
 #: Short public licence texts and notices by SPDX name.
@@ -45,13 +64,20 @@ def canonical(text: Column) -> Column:
     for pattern, replacement in EQUIVALENT:
         # The plain patterns don't need a regular expression.
         out = F.regexp_replace(out, F.lit(pattern), F.lit(replacement)) if "?" in pattern else F.replace(out, F.lit(pattern), F.lit(replacement))
-    out = F.regexp_replace(out, F.lit(COPYRIGHT_LINE), F.lit(""))
-    return F.trim(F.regexp_replace(out, F.lit(PUNCTUATION), F.lit(" ")))
+    for pattern in STATEMENTS:
+        out = F.regexp_replace(out, F.lit(pattern), F.lit(""))
+    out = F.trim(F.regexp_replace(out, F.lit(PUNCTUATION), F.lit(" ")))
+    return F.replace(out, F.lit("copyright holder"), F.lit("copyright owner"))  # also where a line ended between them
+
+
+def whole_texts() -> tuple[tuple[str, str], ...]:
+    """KNOWN and the texts of the folder licenses, by their names."""
+    return KNOWN + tuple((p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "licenses").glob("*.txt")))
 
 
-def known_digests(spark, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
+def known_digests(spark, known: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
     """license, known_digest of each known text."""
-    rows = F.inline(F.array(*(F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in known)))
+    rows = F.inline(F.array(*(F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in known or whole_texts())))
     return spark.range(1).select(rows).select("license", F.sha2(canonical(F.col("text")), 256).alias("known_digest"))
 
 

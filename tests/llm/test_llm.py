@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -262,6 +263,21 @@ def test_license(spark, odd, empty):
     assert license.scan(odd).count() == len(ROWS) and license.scan(empty).count() == 0
 
 
+def test_license_in_any_lines(spark):
+    whole = license.whole_texts()
+    assert {"BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "Unlicense", "Apache-2.0", "GPL-2.0", "GPL-3.0"} <= {name for name, _ in whole}
+    rows, want = [], []
+    for name, text in whole:
+        cuts = [text, " ".join(text.split()), *(textwrap.fill(" ".join(text.split()), w, break_on_hyphens=False, break_long_words=False) for w in range(60, 81, 4))]
+        if name in ("ISC", "MIT", "Zlib", "BSD-2-Clause") and "opyright (c)" not in text:
+            cuts += [head + cut for cut in cuts for head in ("Copyright 2020 X ", "Copyright (c) 2019-2020, A. Body <a@b.c>\n", "Copyright The X Authors. All rights reserved.\n", "© 2020 X\n(c) 2021 Y\n\n")]
+        rows += cuts
+        want += [name] * len(cuts)
+    rows += ["Copyright 2020 X. You may not sell copies. " + whole[2][1]]
+    got = {r["doc_id"]: r["license"] for r in license.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [(i, got[i]) for i in range(len(rows))] == list(enumerate([*want, None]))
+
+
 def plain_classes(rows, k, percent):
     sets = {}
     for i, t in rows:
