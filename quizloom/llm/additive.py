@@ -4,8 +4,10 @@ A vector of unit length is the sum of one entry of each of several full-dimensio
 fitted stage by stage to the residuals of a bounded sample, plus an error. Beam search chooses the
 entries: it keeps the few best partial sums at each stage. Every row is stored as its codes and the
 norm of its sum. A query's inner products with all entries are a lookup table; a row's score is the
-sum of its codes' products over its norm. The best of each block of rows by that score, ties to the
-smaller id, are reranked by cosine in double precision on the original vectors.
+sum of its codes' products over its norm. The best of each block of rows by that score are reranked by
+cosine in double precision on the original vectors; so is every row of the block that can still be among
+the k best, since its product with the query is at most that of its sum plus the norm of its error,
+which is stored. Ties go to the smaller id. So a block loses none, however many near copies it holds.
 
 Queries and rows are dealt to blocks of bounded size; each block of queries meets each block of
 rows in a task of its own and returns no more than k rows a query.
@@ -37,8 +39,8 @@ def codebooks(sample: np.ndarray, stages: int, entries: int) -> list[np.ndarray]
     return out
 
 
-def encode(x: np.ndarray, books: list[np.ndarray], beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of each row by beam search, and the norms of what they add up to."""
+def encode(x: np.ndarray, books: list[np.ndarray], beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of each row by beam search, the norms of what they add up to, and those of the error."""
     n, d = x.shape
     left, codes = x[:, None, :], np.zeros((n, 1, 0), np.uint8)
     for book in books:
@@ -50,7 +52,7 @@ def encode(x: np.ndarray, books: list[np.ndarray], beam: int) -> tuple[np.ndarra
         from_, entry = np.divmod(best, len(book))
         left = np.take_along_axis(left, np.repeat(from_[:, :, None], d, 2), 1) - book[entry] if width > 1 else left - book[entry]
         codes = np.concatenate([np.take_along_axis(codes, np.repeat(from_[:, :, None], codes.shape[2], 2), 1), entry[:, :, None].astype(np.uint8)], 2)
-    return codes[:, 0], np.sqrt(((x - left[:, 0]) ** 2).sum(1))
+    return codes[:, 0], np.sqrt(((x - left[:, 0]) ** 2).sum(1)), np.sqrt((left[:, 0] ** 2).sum(1))
 
 
 def nearest(rows: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, stages: int = 8, entries: int = 256, beam: int = 4, rerank: int = 512, sample: int = 16_384) -> DataFrame:
@@ -64,10 +66,10 @@ def nearest(rows: DataFrame, queries: Column, id_col: str = "vec_id", vector_col
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                codes, norms = encode(unit(matrix(part.column("v"))), shared.value, beam)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], [*part.schema.names, "codes", "norm"])
+                codes, norms, errors = encode(unit(matrix(part.column("v"))), shared.value, beam)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array(errors)], [*part.schema.names, "codes", "norm", "error"])
 
-    index = materialise(good.mapInArrow(coded, "id long, v array<double>, codes binary, norm double"), "index")
+    index = materialise(good.mapInArrow(coded, "id long, v array<double>, codes binary, norm double, error double"), "index")
     row_blocks, query_blocks = n // ROWS + 1, asked // QUERIES + 1
     salt = lambda blocks: F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
@@ -80,17 +82,31 @@ def nearest(rows: DataFrame, queries: Column, id_col: str = "vec_id", vector_col
         ask, at = np.flatnonzero(asks), np.flatnonzero(~asks)
         codes = np.frombuffer(b"".join(table["codes"].take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1)
         size = np.sqrt((x * x).sum(1))
+        units, error = unit(x[at]), table["error"].to_numpy()[at]
+
+        def cosines(i: int, near: np.ndarray) -> np.ndarray:
+            return (x[near] * x[i]).sum(1) / (size[near] * size[i])
+
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for lo in range(0, len(ask), 64):
             some = ask[lo : lo + 64]
             q = unit(x[some])
             score = sum((q @ book.T).astype(np.float32)[:, codes[:, m]] for m, book in enumerate(shared.value))
+            own = ids[some][:, None] == ids[at][None]
+            most = np.where(own, -np.inf, score + error + 1e-5)
             score = score / np.maximum(norm[at], 1e-12).astype(np.float32)
-            score[ids[some][:, None] == ids[at][None]] = -np.inf
+            score[own] = -np.inf
             best = np.argsort(-score, axis=1, kind="stable")[:, :rerank]
-            for i, near in zip(some, best):
+            least = np.full(len(some), -2.0)
+            for j, (i, near) in enumerate(zip(some, best)):
                 near = at[near[ids[at[near]] != ids[i]]]
-                cosine = (x[near] * x[i]).sum(1) / (size[near] * size[i])
+                if len(near) >= k:
+                    least[j] = np.sort(cosines(i, near))[-k]
+            may = np.flatnonzero((most >= least[:, None]).any(0))
+            exact = np.where(own[:, may], -np.inf, q @ units[may].T)
+            for j, i in enumerate(some):
+                near = at[may[exact[j] >= max(least[j], -1.5) - 1e-9]]
+                cosine = cosines(i, near)
                 first = np.lexsort((ids[near], -cosine))[:k]
                 out.append((np.full(len(first), ids[i]), ids[near[first]], cosine[first]))
         q, v, s = (np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))

@@ -255,6 +255,19 @@ def test_nearest(spark, monkeypatch):
     assert additive.nearest(df.limit(0), F.col("id") % 50 == 0).count() == 0 and additive.nearest(df.limit(2), F.col("id") % 50 == 0).count() == 1
 
 
+def test_nearest_in_a_large_group(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 32))
+    x[:300] = x[0] / np.linalg.norm(x[0]) + rng.normal(size=(300, 32)) * 0.03
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    got: dict = {}
+    for r in additive.nearest(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"), F.col("id") % 20 == 0, entries=16, rerank=20).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert len(got) == 45 and all(got[q] == set(np.argsort(-s[q])[:5].tolist()) for q in got)
+
+
 def test_license(spark, odd, empty):
     isc = license.KNOWN[0][1]
     rows = [(1, "Copyright (c) 2020, A. Body\n" + isc.upper().replace(" ", "\n  ")), (2, isc + " more"), (3, "licensed under the apache LICENCE version 2 0"), (4, None), (5, "")]
