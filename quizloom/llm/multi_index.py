@@ -2,8 +2,8 @@
 
 Codebooks of either half of the vectors, fitted on a bounded sample, span a grid of cells. A vector
 is listed in the cell of its nearest centres and visits cells in order of the sum of its distances
-to their two centres (the multi-sequence order), as many as bring the wanted recall on the
-sample's own near-duplicates. What lies in a visited cell is verified by cosine in double precision.
+to their two centres (the multi-sequence order), as many as bring the wanted recall on the links of
+a bounded set of vectors, which are compared with all rows, and `LEAST` at least. What lies in a visited cell is verified by cosine in double precision.
 
 Equal vectors are one row with a weight. A busy cell is split into blocks of listed and of
 visiting vectors, so no task gets more than one block of each. A block returns a row per vector with links:
@@ -24,15 +24,18 @@ from quizloom.llm.common import components, materialise
 from quizloom.llm.vectors import bounded_sample, distances, k_means, matrix, unit, usable
 
 LISTED, VISITING = 1024, 4096
+#: Vectors compared with all rows to fix the visits, and the fewest visits.
+ASKED, LEAST = 1024, 8
 
 
 class Grid:
     """Two codebooks and the number of cells to visit."""
 
-    def __init__(self, sample: np.ndarray, centres: int, threshold: float, recall: float) -> None:
+    def __init__(self, sample: np.ndarray, centres: int) -> None:
         self.cut = max(1, sample.shape[1] // 2)
         self.books = [k_means(x, centres) if x.shape[1] else np.zeros((1, 0)) for x in (sample[:, : self.cut], sample[:, self.cut :])]
-        self.visits = self._enough(sample, threshold, recall)
+        self.cells = len(self.books[0]) * len(self.books[1])
+        self.visits = min(LEAST, self.cells)
 
     def order(self, x: np.ndarray, visits: int) -> np.ndarray:
         """Each row's cells, nearest first; a cell is first centre * second book's size + second centre."""
@@ -45,25 +48,35 @@ class Grid:
         i, j = np.divmod(first, tops[1].shape[1])
         return np.take_along_axis(tops[0], i, 1) * len(self.books[1]) + np.take_along_axis(tops[1], j, 1)
 
-    def _enough(self, sample: np.ndarray, threshold: float, recall: float) -> int:
-        """Cells to visit so that the sample's own links are found from either end."""
-        cells = len(self.books[0]) * len(self.books[1])
-        ranks, home = [], self.order(sample, 1)[:, 0]
-        for lo in range(0, len(sample), 512):
-            q, x = np.nonzero(sample[lo : lo + 512] @ sample.T >= threshold)
-            some = q + lo != x
-            q, x = q[some], x[some]
-            if len(q):
-                which, back = np.unique(q, return_inverse=True)
-                place = np.argsort(self.order(sample[lo + which], cells), axis=1)
-                ranks.append(np.stack([q + lo, x, place[back, home[x]]]))
-        if not ranks:
-            return min(8, cells)
-        q, x, rank = np.concatenate(ranks, 1)
-        key = np.minimum(q, x) * len(sample) + np.maximum(q, x)
-        sort = np.lexsort((rank, key))
-        best = rank[sort][np.r_[True, key[sort][1:] != key[sort][:-1]]]
-        return min(cells, int(np.quantile(best, recall, method="higher")) + 1)
+    def ranks(self, x: np.ndarray) -> np.ndarray:
+        """The place of every cell in each row's order."""
+        return np.argsort(self.order(x, self.cells), axis=1).astype(np.int32)
+
+
+def enough(grid: Grid, classes: DataFrame, threshold: float, recall: float) -> int:
+    """Cells to visit so that links of up to ASKED vectors with all rows are found from either end."""
+    asked = bounded_sample(classes, ASKED)
+    shared = classes.sparkSession.sparkContext.broadcast((grid, asked, grid.ranks(asked), grid.order(asked, 1)[:, 0]))
+
+    def linked(batches):
+        grid, asked, ranks, home = shared.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                x = unit(matrix(batch.column("v").slice(lo, 512)))
+                i, q = np.nonzero(x @ asked.T >= threshold)
+                other = (x[i] != asked[q]).any(1)
+                i, q = i[other], q[other]
+                if len(i):
+                    which, back = np.unique(i, return_inverse=True)
+                    best = np.minimum(grid.ranks(x[which])[back, home[q]], ranks[q, grid.order(x[which], 1)[back, 0]])
+                    rank, n = np.unique(best, return_counts=True)
+                    yield pa.record_batch({"rank": pa.array(rank, pa.int32()), "n": pa.array(n, pa.int64())})
+
+    found = classes.select("v").mapInArrow(linked, "rank int, n long").groupBy("rank").agg(F.sum("n").alias("n")).orderBy("rank").toArrow()
+    if not found.num_rows:
+        return grid.visits
+    n = np.cumsum(found["n"].to_numpy())
+    return max(grid.visits, int(found["rank"].to_numpy()[np.searchsorted(n, recall * n[-1])]) + 1)
 
 
 def block_links(threshold: float):
@@ -115,7 +128,10 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     good = usable(rows, id_col, vector_col).withColumn("class", F.struct(F.xxhash64("v").alias("a"), F.xxhash64("v", F.lit(1)).alias("b")))
     good = materialise(good, "vectors")
     classes = materialise(good.groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("weight"), F.any_value("v").alias("v")), "classes")
-    grid = Grid(bounded_sample(classes.select(F.col("rep").alias("id"), "v"), sample), centres, threshold, recall) if not classes.isEmpty() else None
+    vectors, grid = classes.select(F.col("rep").alias("id"), "v"), None
+    if not classes.isEmpty():
+        grid = Grid(bounded_sample(vectors, sample), centres)
+        grid.visits = enough(grid, vectors, threshold, recall)
     shared = rows.sparkSession.sparkContext.broadcast(grid)
 
     def indexed(batches):

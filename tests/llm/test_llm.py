@@ -268,6 +268,17 @@ def test_nearest_in_a_large_group(spark):
     assert len(got) == 45 and all(got[q] == set(np.argsort(-s[q])[:5].tolist()) for q in got)
 
 
+def test_visits_without_links_in_the_sample(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 32))
+    x = np.concatenate([x, x + rng.normal(size=x.shape) * 0.2])
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.95).sum() - len(x)
+    found = multi_index.near_duplicates(df, centres=16, sample=120).agg(F.sum("n_links")).first()[0]
+    assert found >= 0.97 * near
+
+
 def test_license(spark, odd, empty):
     isc = license.KNOWN[0][1]
     rows = [(1, "Copyright (c) 2020, A. Body\n" + isc.upper().replace(" ", "\n  ")), (2, isc + " more"), (3, "licensed under the apache LICENCE version 2 0"), (4, None), (5, "")]
