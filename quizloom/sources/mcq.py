@@ -12,6 +12,8 @@ from quizloom.functions.literal import PROBLEM, literal_json, required
 
 RAW = "id string, paragraph string, problems string"
 LOG = "map<string,array<struct<value:double,step:bigint,timestamp:string>>>"
+#: Values that a block of a metric's series has at most.
+BLOCK = 1 << 12
 _own: dict[str, str] = {}
 
 
@@ -51,10 +53,14 @@ def flatten(raw: DataFrame) -> DataFrame:
 
 
 def metric_series(log: DataFrame) -> DataFrame:
-    """name, json: each metric's values in order of arrival; log has name, value, step, timestamp."""
+    """name, block, json: each metric's values in order of arrival, cut into blocks of at most BLOCK values
+    whose numbers rise in that order; log has name, value, step, timestamp."""
+    # A sort over the whole log spreads a busy name; ids rise by one inside a partition of it.
+    log = log.select("name", "timestamp", "step", "value").orderBy("name", "timestamp", "step", "value")
+    log = log.withColumn("block", F.expr(f"monotonically_increasing_id() div {BLOCK}"))
     entries = F.array_sort(F.collect_list(F.struct("timestamp", "step", "value")))
     series = F.transform(entries, lambda e: F.struct(e["value"].alias("value"), e["step"].alias("step"), e["timestamp"].alias("timestamp")))
-    return log.groupBy("name").agg(F.to_json(F.map_from_arrays(F.array("name"), F.array(series))).alias("json"))
+    return log.groupBy("name", "block").agg(F.to_json(F.map_from_arrays(F.array("name"), F.array(series))).alias("json"))
 
 
 def metric_rows(logs: DataFrame) -> DataFrame:

@@ -98,6 +98,19 @@ def test_running_best(spark):
         runs.require_latest(names.where("name = 'best_model'"))
 
 
+def test_metric_series_in_bounded_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mcq, "BLOCK", 100)
+    log = spark.range(3000).select(F.when(F.col("id") % 10 < 9, "busy").otherwise("other").alias("name"), (F.col("id") * 0.5).alias("value"), F.col("id").alias("step"), F.format_string("%05d", F.col("id") % 700).alias("timestamp"))
+    series = mcq.metric_series(log).localCheckpoint()
+    rows = series.select("name", "block", F.explode(F.from_json("json", mcq.LOG)).alias("n", "e")).select("name", "block", F.size("e").alias("size"), "e.timestamp", "e.step").orderBy("block").collect()
+    assert len(rows) >= 30 and max(r["size"] for r in rows) <= 100
+    for name in ("busy", "other"):
+        order = [at for r in rows if r["name"] == name for at in zip(r["timestamp"], r["step"])]
+        assert order == sorted(order)
+    back = mcq.metric_rows(series)
+    assert back.exceptAll(log).isEmpty() and log.exceptAll(back).isEmpty()
+
+
 def test_profile_edges(spark):
     df = spark.createDataFrame([(1, float("nan"), None), (2, 1.0, "x")], "a int, b double, c string")
     assert {r["column"]: r["n_missing"] for r in profile.missing_values(df).collect()} == {"a": 0, "b": 1, "c": 1}
