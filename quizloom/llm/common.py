@@ -24,7 +24,8 @@ LOWER[65:91] += 32
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes that are hashed at once; longer texts are taken in parts, so that temporary arrays stay small.
+HASHED = 1 << 17
 _own: dict[str, str] = {}
 _tables: ContextVar[list[str] | None] = ContextVar("tables", default=None)
 
@@ -33,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares; where none is set (tests), one in the temporary folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir isn't set: a cluster needs a folder that all executors share")
         at = _own.setdefault(spark.sparkContext.applicationId, "") or f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         _own[spark.sparkContext.applicationId] = at
     return at.rstrip("/")
@@ -42,12 +45,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quizloom/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch while a table is written: texts are long, and Spark and Python hold a batch each.
+BATCH_ROWS = 1000
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it: cuts lineage, survives lost executors."""
+    conf, setting = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     path = new_path(df.sparkSession, name)
     if (written := _tables.get()) is not None:
         written.append(path)
-    df.write.parquet(path)
+    rows = conf.get(setting)
+    conf.set(setting, str(min(BATCH_ROWS, int(rows)) if int(rows) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(setting, rows)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -88,17 +101,7 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        with np.errstate(over="ignore"):
-            for i, base in enumerate((int(_BASE), pow(int(_BASE), -1, 1 << 64))):
-                steps = np.full(n, base, np.uint64)
-                steps[0] = 1
-                _powers[i] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
-
-
-def text_chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows lo to hi, their UTF-8 bytes end to end, and each row's offset there; nulls are empty.
 
     A chunk holds about limit bytes, or one longer row, so temporary arrays stay small.
@@ -126,23 +129,52 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     if not n:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offsets), np.int64)
     word = ~SPACE[data]
-    before, after = np.zeros(n, bool), np.zeros(n, bool)
-    before[1:], after[:-1] = word[:-1], word[1:]
-    before[offsets[offsets < n]] = False
-    after[offsets[offsets > 0] - 1] = False
-    starts = np.flatnonzero(word & ~before)
-    return starts, np.flatnonzero(word & ~after) + 1, np.searchsorted(starts, offsets)
+    begins, stops = word.copy(), word.copy()
+    begins[1:] &= ~word[:-1]
+    stops[:-1] &= ~word[1:]
+    cut = offsets[(offsets > 0) & (offsets < n)]  # rows end words, too
+    begins[cut] = word[cut]
+    stops[cut - 1] = word[cut - 1]
+    starts = np.flatnonzero(begins)
+    return starts, np.flatnonzero(stops) + 1, np.searchsorted(starts, offsets)
+
+
+@functools.cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse."""
+    with np.errstate(over="ignore"):
+        return tuple(np.cumprod(np.r_[np.uint64(1), np.full(HASHED, base, np.uint64)], dtype=np.uint64) for base in (int(_BASE), pow(int(_BASE), -1, 1 << 64)))
+
+
+def _long_word(data: np.ndarray) -> np.uint64:
+    """The polynomial of one word of any length."""
+    total = 0
+    with np.errstate(over="ignore"):
+        for at in range(0, len(data), HASHED):
+            part = data[at : at + HASHED].astype(np.uint64) + np.uint64(1)
+            total += int((part * _powers()[0][: len(part)]).sum(dtype=np.uint64)) * pow(int(_BASE), at, 1 << 64)
+    return np.uint64(total & 0xFFFFFFFFFFFFFFFF)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes: a polynomial by prefix sums, then mixed with its length."""
-    if not len(starts):
-        return np.empty(0, np.uint64)
+    out = np.empty(len(starts), np.uint64)
+    i = 0
     with np.errstate(over="ignore"):
-        up, down = _power_tables(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _STEP)
+        up, down = _powers()
+        while i < len(starts):
+            lo = int(starts[i])
+            j = int(np.searchsorted(ends, lo + HASHED, "right"))
+            if j <= i:
+                out[i] = _long_word(data[lo : ends[i]])
+                i += 1
+                continue
+            part = data[lo : ends[j - 1]].astype(np.uint64) + np.uint64(1)
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(part * up[: len(part)], out=sums[1:])
+            out[i:j] = (sums[ends[i:j] - lo] - sums[starts[i:j] - lo]) * down[starts[i:j] - lo]
+            i = j
+        return mix(out + (ends - starts).astype(np.uint64) * _STEP)
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -157,6 +189,35 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
         return mix(out)
 
 
+#: Counters that a task holds before it passes them on.
+HELD = 1_000_000
+
+
+class Counter:
+    """Sums of keys, as sorted arrays."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray) -> None:
+        self.parts.append(np.unique(keys, return_counts=True))
+        self.size += len(self.parts[-1][0])
+        if self.size > HELD:
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
+        keys, n = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+        at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+        keys, n = keys[at], (np.add.reduceat(n, at) if len(at) else n)
+        self.parts, self.size = [(keys, n)], len(keys)
+        return keys, n
+
+
 BITS = 27
 
 
@@ -183,14 +244,18 @@ def has_bit(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
+def table_bits(n: int) -> int:
+    """64 bits a key or more, 2**BITS at most."""
+    return min(BITS, max(16, (64 * n).bit_length()))
+
+
 def id_table(ids: DataFrame, column: str):
     """A broadcast bit table of the column's ids, hashed by xxhash64: 64 bits an id or more, 2**BITS at most.
 
     What passes it are all those ids and few others, so it keeps rows that a join would drop out of
     the exchange before it; the join decides.
     """
-    bits = min(BITS, max(16, (64 * ids.count()).bit_length()))
-    return ids.sparkSession.sparkContext.broadcast(bit_table(ids.select(F.xxhash64(column).alias("h")), "h", bits))
+    return ids.sparkSession.sparkContext.broadcast(bit_table(ids.select(F.xxhash64(column).alias("h")), "h", table_bits(ids.count())))
 
 
 def may_hold(table, of: str) -> Column:

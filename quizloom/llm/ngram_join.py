@@ -1,19 +1,23 @@
 """N-gram Jaccard self-join: size-banded tiles with hashed bitmap signatures.
 
-A document's set holds its distinct k-word shingles. Sizes fall in bands as wide as the threshold
-allows, so that linked sets are in one band or in two neighbours. Inside a band two linked sets
-differ in at most D shingles; shingles are dealt by hash to D + 4 parts, so at least four parts
-are equal in both. Documents with an equal part of a band share a tile. A tile's rows are compared
-through 2048-bit signatures: a bit set in one only belongs to a shingle that the other lacks, which
-bounds the overlap from above. What the bound leaves is settled by intersecting sorted arrays.
-
-Tiles are met in two rounds. First each member is compared with its tile's smallest id: linear in
-the tile, however large. Then only members of tiles that still hold several components are
-compared with each other, in blocks of bounded size.
+A document's set holds its distinct k-word shingles. Two linked sets share so many that, in any order
+of all shingles, the first `n_prefix` of either have one in common. The order puts first what no other
+set holds, so that prefixes share little: the sets that hold a shingle are counted for a part of all
+shingles, chosen by hash (`SHARE` times what the threshold leaves over, at most all). Counted shingles
+of one set come first, then those not counted, then shared ones, then those of many sets; ties by hash.
+The counts decide the order alone, never what is compared.
+
+Sizes fall in bands as wide as the threshold allows, so that linked sets are in one band or in two
+neighbours. Sets of a band, and those of the band below, that have a shingle in their prefixes in
+common share a tile. Two rounds meet them. First each member is compared with its tile's hub, the
+smallest id of the band: linear in the tile, however large. Then only tiles that still hold several
+components are compared, in blocks of bounded size. A pair's sizes and the places of the shingle in
+both prefixes bound the overlap from above; then 2048-bit signatures do: a bit set in one only belongs
+to a shingle that the other lacks. What the bounds leave is settled by intersecting sorted arrays.
 
 Nulls: a document with a null or blank text has an empty set and links with nothing. Rows with a
-null id are returned with a null class. Repeated rows are one document. Extra columns are ignored.
-Shingles are compared as 64-bit hashes.
+null id are returned with a null class. Rows that repeat an id are one document, linked by any of its
+texts. Extra columns are ignored. Shingles are compared as 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -22,16 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quizloom.llm.common import LOWER, bit_table, components, gram_hashes, has_bit, id_table, materialise, may_hold, mix, split_words, text_chunks, tidy, word_hashes
+from quizloom.llm.common import HELD, LOWER, Counter, bit_table, components, gram_hashes, has_bit, id_table, materialise, may_hold, mix, split_words, table_bits, text_chunks, tidy, word_hashes
 
 SIGNATURE_BITS = 2048
-SPARE = 4
-BLOCK = 256
-SETS = "id long, n long, d1 long, d2 long, keys array<long>, sig binary, wide binary"
+BLOCK = 1024
+#: Counted shingles, as a multiple of what the threshold leaves over; sets that hold a shingle of many.
+SHARE, MANY = 2.5, 64
+SETS = "id long, n long, d1 long, d2 long, sig binary"
+KEYED = "key long, id long, n long, pos long, own boolean"
 
 
 def bands(percent: int, upto: int = 1 << 40) -> np.ndarray:
@@ -42,9 +47,14 @@ def bands(percent: int, upto: int = 1 << 40) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def n_parts(first: np.ndarray, band: int, percent: int) -> int:
-    """Parts of a band's scheme: SPARE more than the differences that two linked sets there can have."""
-    return int(2 * (first[band + 1] - 1) * (100 - percent) // (100 + percent)) + SPARE
+def n_prefix(n: np.ndarray, percent: int) -> np.ndarray:
+    """Shingles of a set's prefix: two linked sets share as many as are left after one's prefix, and one more."""
+    return n - (percent * n + 99) // 100 + 1
+
+
+def counted(of: np.ndarray, percent: int) -> np.ndarray:
+    """Whether a shingle is of those that are counted."""
+    return (of & np.uint64(0xFFFF)) < np.uint64(min(65536, int(SHARE * (100 - percent) * 655.36)))
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, lower: bool = True) -> Iterator[np.ndarray]:
@@ -60,82 +70,90 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, lower: bool = Tr
             yield gram_hashes(words[lo:hi], int(hi - lo)) if hi > lo else np.empty(0, np.uint64)
 
 
-def part_keys(of: np.ndarray, first: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of a set's parts, in its own band's scheme and the next one's.
-
-    Two linked sets have SPARE equal parts at least, so one that isn't empty, unless both have that
-    many empty parts; those get one key more, which brings them together.
-    """
-    band = int(np.searchsorted(first, len(of), "right")) - 1
-    out = []
-    with np.errstate(over="ignore"):
-        for scheme in (band, band + 1):
-            parts = n_parts(first, scheme, percent)
-            seed = np.uint64(scheme + 1) * np.uint64(0x9E3779B97F4A7C15)
-            mixed = mix(of ^ seed)
-            part = (mixed % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            part, mixed = part[order], mixed[order]
-            at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            out.append(mix(np.add.reduceat(mixed, at) + part[at].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + seed))
-            if parts - len(at) >= SPARE:
-                out.append(mix(np.array([seed], np.uint64)))
-    return np.concatenate(out)
-
-
-def signature(of: np.ndarray, bits: int = SIGNATURE_BITS) -> bytes:
-    out = np.zeros(bits, np.uint8)
-    out[(of & np.uint64(bits - 1)).astype(np.int64)] = 1
+def signature(of: np.ndarray) -> bytes:
+    out = np.zeros(SIGNATURE_BITS, np.uint8)
+    out[(of >> np.uint64(32) & np.uint64(SIGNATURE_BITS - 1)).astype(np.int64)] = 1
     return np.packbits(out).tobytes()
 
 
-def wide_signature(of: np.ndarray) -> bytes | None:
-    """A signature of some bits a shingle, for sets that would fill the usual one."""
-    if len(of) <= SIGNATURE_BITS // 2:
-        return None
-    return signature(of, min(1 << 20, 1 << (8 * len(of) - 1).bit_length()))
-
-
-def wide_bound(a: bytes, b: bytes, na: int, nb: int) -> int:
-    """The bound from two wide signatures; the wider is folded to the other's width."""
-    x, y = (np.frombuffer(s, np.uint64) for s in (a, b))
-    while len(x) != len(y):
-        x, y = (np.bitwise_or(*s.reshape(2, -1)) if len(s) > min(len(x), len(y)) else s for s in (x, y))
-    return min(na - int(np.bitwise_count(x & ~y).sum()), nb - int(np.bitwise_count(y & ~x).sum()))
-
-
-def set_rows(k: int, percent: int):
-    first = bands(percent)
-
+def set_rows(k: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in text_chunks(batch.column("text")):
-                n, d1, d2, keys, sigs, wide = [], [], [], [], [], []
+                n, d1, d2, sigs = [], [], [], []
                 with np.errstate(over="ignore"):
                     for of in shingle_sets(data, offsets, k):
                         n.append(len(of))
                         a = mix(of)
                         d1.append(a.sum(dtype=np.uint64))
                         d2.append(mix(a ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
-                        keys.append(part_keys(of, first, percent).view(np.int64) if len(of) else np.empty(0, np.int64))
                         sigs.append(signature(of) if len(of) else None)
-                        wide.append(wide_signature(of))
-                ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 yield pa.record_batch(
                     {
                         "id": batch.column("id").slice(lo, hi - lo),
                         "n": pa.array(n, pa.int64()),
                         "d1": pa.array(np.array(d1, np.uint64).view(np.int64)),
                         "d2": pa.array(np.array(d2, np.uint64).view(np.int64)),
-                        "keys": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys))),
                         "sig": pa.array(sigs, pa.binary()),
-                        "wide": pa.array(wide, pa.binary()),
                     }
                 )
 
     return rows
 
 
+def _of(batch: pa.RecordBatch, reps) -> pa.RecordBatch:
+    """Rows that stand for themselves, and few of the copies; any may be kept."""
+    return batch.filter(pa.array(has_bit(reps.value, batch.column("h").to_numpy().view(np.uint64))))
+
+
+def count_rows(k: int, percent: int, reps):
+    """How many sets hold each counted shingle; sums of a task's rows, so that a frequent one is few rows."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def passed() -> pa.RecordBatch:
+            keys, n = counter.merge()
+            return pa.record_batch({"key": pa.array(keys.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+        counter = Counter()
+        for batch in batches:
+            for _, _, data, offsets in text_chunks(_of(batch, reps).column("text")):
+                sets = np.concatenate([*shingle_sets(data, offsets, k)])
+                counter.add(sets[counted(sets, percent)])
+                if counter.size > HELD:
+                    yield passed()
+                    counter = Counter()
+        yield passed()
+
+    return rows
+
+
+def prefix_rows(k: int, percent: int, reps, shared, common):
+    """A row for each shingle of a set's prefix that another may hold, in its own band and in the next one."""
+    first = bands(percent)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = _of(batch, reps)
+            ids = batch.column("id").to_numpy()
+            for lo, _, data, offsets in text_chunks(batch.column("text")):
+                sets = [*shingle_sets(data, offsets, k)]
+                n = np.array([*map(len, sets)], np.int64)
+                flat, row = np.concatenate(sets), np.repeat(np.arange(len(n)), n)
+                kind = np.where(counted(flat, percent), np.where(has_bit(shared.value, flat), np.where(has_bit(common.value, flat), 3, 2), 0), 1)
+                order = np.argsort(row * 4 + kind, kind="stable")  # hashes are in order already
+                flat, kind = flat[order], kind[order]
+                pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+                keep = (pos < n_prefix(n, percent)[row]) & (kind > 0)
+                flat, row, pos = flat[keep], row[keep], pos[keep]
+                band = np.searchsorted(first, n, "right")[row].astype(np.uint64)
+                for own in (True, False):
+                    with np.errstate(over="ignore"):
+                        key = mix(flat ^ (band + np.uint64(not own)) * np.uint64(0x9E3779B97F4A7C15))
+                    yield pa.record_batch({"key": pa.array(key.view(np.int64)), "id": pa.array(ids[lo:][row]), "n": pa.array(n[row]), "pos": pa.array(pos), "own": pa.array(np.full(len(row), own))})
+
+    return rows
+
+
 def _linked(na, nb, overlap, percent: int):
     return 100 * overlap >= percent * (na + nb - overlap)
 
@@ -154,20 +172,35 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat[start : start + len(column) * size].reshape(-1, size).view(np.uint64)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose sets are linked: first by signatures, then by the sets themselves."""
+def may_link(na: Column, nb: Column, i: Column, j: Column, percent: int) -> Column:
+    """Whether sets of these sizes whose first common shingle is at these places can be linked."""
+    most = F.least(na - i, nb - j)
+    return 100 * most >= percent * (na + nb - most)
+
 
-    def bounded(batches):
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id"))
+
+
+def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b), a written table, those that their signatures allow to be linked."""
+
+    def rows(batches):
         for batch in batches:
             if batch.num_rows:
                 na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
                 keep = _linked(na, nb, _bounds(_matrix(batch.column("sa")), _matrix(batch.column("sb")), na, nb), percent)
-                wa, wb = batch.column("wa"), batch.column("wb")
-                for i in np.flatnonzero(keep & wa.is_valid().to_numpy(False) & wb.is_valid().to_numpy(False)):
-                    keep[i] = _linked(na[i], nb[i], wide_bound(wa[i].as_py(), wb[i].as_py(), na[i], nb[i]), percent)
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    def exact(batches):
+    sigs = materialise(sets.where("n > 0").select("id", "n", "sig").where(may_hold(id_table(_ends(pairs), "id"), "id")), "paired")
+    near = pairs.join(sigs.toDF("a", "na", "sa"), "a").join(sigs.toDF("b", "nb", "sb"), "b")
+    return near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(rows, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those whose sets are linked."""
+
+    def rows(batches):
         for batch in batches:
             n = batch.num_rows
             keep = np.zeros(n, bool)
@@ -178,15 +211,9 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent
                     keep[lo + i] = len(x) and _linked(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)), percent)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    sides = lambda of: of.select(F.explode(F.array("a", "b")).alias("id"))
-    pairs = materialise(pairs, "pairs")
-    sigs = sets.where("n > 0").select("id", "n", "sig", "wide")
-    sigs = materialise(sigs.where(may_hold(id_table(sides(pairs), "id"), "id")), "paired")
-    near = pairs.join(sigs.toDF("a", "na", "sa", "wa"), "a").join(sigs.toDF("b", "nb", "sb", "wb"), "b")
-    near = near.select("a", "b", "na", "nb", "sa", "sb", "wa", "wb").mapInArrow(bounded, "a long, b long")
-    near = materialise(near.distinct(), "near")
-    docs = materialise(docs.where(may_hold(id_table(sides(near), "id"), "id")), "texts")
-    return near.join(docs.toDF("a", "ta"), "a").join(docs.toDF("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long").distinct()
+    near = materialise(pairs, "near")
+    docs = materialise(docs.where(may_hold(id_table(_ends(near), "id"), "id")), "texts")
+    return near.join(docs.toDF("a", "ta"), "a").join(docs.toDF("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(rows, "a long, b long").distinct()
 
 
 def tile_pairs(percent: int):
@@ -210,18 +237,19 @@ def tile_pairs(percent: int):
         if not table.num_rows:
             return
         table = table.combine_chunks()
-        tile, id_, c, n, side = (table[x].to_numpy() for x in ("tile", "id", "c", "n", "side"))
+        tile, id_, c, n, pos, own, side = (table[x].to_numpy() for x in ("tile", "id", "c", "n", "pos", "own", "side"))
         sig = _matrix(table["sig"].chunk(0))
         step = 1
         while step < len(tile):
             i = np.flatnonzero(tile[step:] == tile[:-step])
             if not len(i):
                 return
-            i = i[(c[i] != c[i + step]) & ((side[i] < 0) | (side[i] != side[i + step]))]
+            j = i + step
+            most = np.minimum(n[i] - pos[i], n[j] - pos[j])
+            i = i[(c[i] != c[j]) & (own[i] | own[j]) & ((side[i] < 0) | (side[i] != side[j])) & _linked(n[i], n[j], most, percent)]
             for at in range(0, len(i), 20_000):
                 x = i[at : at + 20_000]
                 y = x + step
-                x, y = (z[_linked(n[x], n[y], np.minimum(n[x], n[y]), percent)] for z in (x, y))
                 keep = _linked(n[x], n[y], _bounds(sig[x], sig[y], n[x], n[y]), percent)
                 a, b = id_[x[keep]], id_[y[keep]]
                 if len(a):
@@ -235,55 +263,53 @@ def tile_pairs(percent: int):
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (the smallest id reachable by links)."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = materialise(docs.mapInArrow(set_rows(k, percent), SETS), "sets")
+    sets = materialise(docs.mapInArrow(set_rows(k), SETS), "sets")
     known = sets.where("n > 0 and id is not null")
-    classes = materialise(known.groupBy("d1", "d2").agg(F.min("id").alias("rep")), "classes")
-    member = materialise(known.select("id", "d1", "d2").join(classes, ["d1", "d2"]).select("id", "rep").distinct(), "member")
-    texts = docs.where("id is not null")
+    same = ["n", "d1", "d2"]
+    classes = materialise(known.groupBy(*same).agg(F.min("id").alias("rep")), "classes")
 
-    # Copies stand behind their representative: their keys would all count as shared.
+    # Copies stand behind their representative.
     reps = id_table(classes, "rep")
-    shared = known.where(may_hold(reps, "id")).select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1")
-    table = docs.sparkSession.sparkContext.broadcast(bit_table(shared, "key"))
-
-    def kept(batches):
-        for part in (batch.slice(lo, 512) for batch in batches for lo in range(0, batch.num_rows, 512)):
-            part = part.filter(pa.array(has_bit(reps.value, part.column("h").to_numpy().view(np.uint64))))
-            keys = part.column("keys")
-            flat = keys.flatten().to_numpy()
-            ids = np.repeat(part.column("id").to_numpy(), pc.list_value_length(keys).to_numpy())
-            keep = has_bit(table.value, flat.view(np.uint64))
-            yield pa.record_batch({"key": pa.array(flat[keep]), "id": pa.array(ids[keep])})
-
-    keyed = known.select("id", "keys", F.xxhash64("id").alias("h")).mapInArrow(kept, "key long, id long").join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    keyed = materialise(keyed.distinct(), "keyed")
-    tiles = materialise(keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1"), "tiles")
+    texts = docs.where("id is not null")
+    hashed = texts.select("id", "text", F.xxhash64("id").alias("h"))
+    counts = hashed.mapInArrow(count_rows(k, percent, reps), "key long, n long").repartition("key").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = materialise(counts.where("n > 1"), "counts")
+    shared, common = (docs.sparkSession.sparkContext.broadcast(bit_table(of, "key", table_bits(of.count()))) for of in (counts, counts.where(F.col("n") > MANY)))
+
+    keyed = materialise(hashed.mapInArrow(prefix_rows(k, percent, reps, shared, common), KEYED), "keyed")
+    hub = F.min(F.when(F.col("own"), F.col("id")))
+    tiles = materialise(keyed.groupBy("key").agg(hub.alias("hub"), F.count("*").alias("members")).where("members > 1 and hub is not null"), "tiles")
     keyed = materialise(keyed.join(tiles, "key"), "tiled")
-
-    first = materialise(verified(keyed.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), sets, texts, k, percent), "links")
+    hubs = keyed.where("id = hub and own").select("key", F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"))
+    met = keyed.where("id <> hub").join(hubs, "key").where(may_link(F.col("n"), F.col("hub_n"), F.col("pos"), F.col("hub_pos"), percent))
+    met = materialise(met.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "met")
+
+    # Rows that repeat an id with other texts are in several classes, which it links.
+    again = materialise(known.select("id", *same).distinct().groupBy("id").count().where("count > 1").select("id"), "again")
+    again = known.join(again, "id", "left_semi").join(classes, same).select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
+    first = verified(bounded(met, sets, percent), texts, k, percent).unionByName(again)
+    first = materialise(first, "links")
     found = components(first)
 
-    labelled = keyed.where("members > 2").join(found, "id", "left").select("key", "id", "members", "hub", F.coalesce("component", "id").alias("c"))
-    labelled = materialise(labelled, "labelled")
+    labelled = keyed.where("members > 2").join(found, "id", "left").select("key", "id", "n", "pos", "own", "hub", F.coalesce("component", "id").alias("c"))
     # Pairs with the hub are settled, so what is open are several labels among the others.
-    others = labelled.where("id <> hub")
-    open_ = others.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
-    open_ = materialise(open_, "open")
-    blocks = F.ceil(F.col("size") / BLOCK)
+    others = materialise(labelled.where("id <> hub"), "labelled")
+    open_ = others.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.max("own").alias("some")).where("lo < hi and some")
+    open_ = materialise(open_.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "open")
     dealt = (
-        others.join(open_, "key")
-        .join(sets.where("n > 0").select("id", "n", "sig").dropDuplicates(["id"]), "id")
-        .withColumn("blocks", blocks.cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+        others.drop("hub")
+        .join(open_, "key")
+        .join(sets.where("n > 0").select("id", "n", "sig").dropDuplicates(["id", "n"]), ["id", "n"])
+        .withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("tile", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+        .withColumn("tile", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
         # In a tile of two blocks only rows of different blocks meet; a block meets itself in its own tile.
-        .select("tile", "id", "c", "n", "sig", F.when(F.col("blocks") == 1, -1).when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"))
+        .select("tile", "id", "c", "n", "pos", "own", "sig", F.when((F.col("blocks") == 1) | (F.col("block") == F.col("other")), -1).otherwise(F.col("block")).alias("side"))
     )
     pairs = dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(tile_pairs(percent), "a long, b long").distinct()
-    second = verified(pairs, sets, texts, k, percent)
-    found = components(first.unionByName(second))
+    found = components(first.unionByName(verified(pairs, texts, k, percent)))
 
-    out = sets.select("id", F.col("n").alias("n_shingles"))
-    out = out.join(member, "id", "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "rep", "id").alias("component_id"))
+    classes = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
+    out = sets.select("id", *same).join(classes, same, "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))

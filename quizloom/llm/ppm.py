@@ -32,12 +32,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizloom.llm.common import LOWER, fold, materialise, split_words, text_chunks, word_hashes
+from quizloom.llm.common import HELD, LOWER, Counter, fold, materialise, split_words, text_chunks, word_hashes
 
 END = 0xFF
 WORDS, GRAMS, ENDS, UNTRAINED = 0, 1, 2, 3
-#: Counters that a task holds before it passes them on.
-HELD = 2_000_000
 #: Bytes before the last that decide a gram's shard, and the grams to price that a shard is to have.
 OWN, SHARD = 3, 200_000
 
@@ -62,31 +60,6 @@ def grams_of(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndar
     return keys[keep], offsets[:-1] + np.arange(rows)
 
 
-class Counter:
-    """Sums of keys, as sorted arrays."""
-
-    def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size = 0
-
-    def add(self, keys: np.ndarray) -> None:
-        self.parts.append(np.unique(keys, return_counts=True))
-        self.size += len(self.parts[-1][0])
-        if self.size > HELD:
-            self.merge()
-
-    def merge(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.empty(0, np.uint64), np.empty(0, np.int64)
-        keys, n = (np.concatenate(x) for x in zip(*self.parts))
-        order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], n[order]
-        at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
-        keys, n = keys[at], (np.add.reduceat(n, at) if len(at) else n)
-        self.parts, self.size = [(keys, n)], len(keys)
-        return keys, n
-
-
 def count_rows(order: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def passed(kind: int) -> pa.RecordBatch:
