@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizloom.llm import mixing, ngram_join, packing, quality, queries, substring
-from quizloom.llm.common import materialise
+from quizloom.llm.common import id_table, materialise, may_hold
 
 #: Mixing takes this share of the tokens, in one epoch: no document is repeated.
 MIX_SHARE = 0.9
@@ -26,21 +26,29 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group linked by five-word shingles at 0.8 or more.
 
-    Rows that repeat an id are one document, of which one row stays; rows without an id all stay.
+    Rows that repeat an id are one document, of which the first row by text, then by all columns as
+    JSON, stays; rows without an id all stay.
     """
-    classes = ngram_join.jaccard_classes(docs, k=5, percent=80)
-    copies = materialise(classes.where("component_id <> doc_id").select("doc_id").distinct(), "copies")
-    kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    classes = ngram_join.jaccard_classes(docs, k=5, percent=80).where("doc_id is not null")
+    copies = F.max(F.col("component_id") != F.col("doc_id")).alias("copy")
+    touched = materialise(classes.groupBy("doc_id").agg(copies, F.count("*").alias("n")).where("copy or n > 1"), "touched")
+    # Only rows that may go pass the exchanges.
+    touch = may_hold(id_table(touched, "doc_id"), "doc_id")
+    some = materialise(docs.where(touch & F.col("doc_id").isNotNull()), "some")
+    some = some.join(touched.where("copy"), "doc_id", "left_anti")
+    row = F.struct(*docs.columns)
+    one = some.join(touched.where("not copy"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct("text", F.to_json(row).alias("row"))).alias("row"))
+    rest = some.join(touched.where("not copy"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.where(~touch | F.col("doc_id").isNull()).unionByName(rest).unionByName(one.select("row.*"))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the 13-word passages of earlier ones; those with no other words go."""
-    out = substring.remove_repeats(docs.withColumn("__text_before", F.col("text")))
+    out = substring.remove_repeats(docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row")))
     out = out.where("n_removed = 0 or n_removed < n_words")
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("__text_before"))
-    out = out.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    changed = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    own = (F.when(F.col("n_removed") > 0, changed[c]).otherwise(F.col(f"__row.{c}")).alias(c) if c in changed else F.col(f"__row.`{c}`") for c in docs.columns)
+    return out.select(*own)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
