@@ -7,18 +7,19 @@ and meet in one shard. Only anchors that occur in several documents are followed
 fixed size says which may be.
 
 Neighbouring windows with the same anchor form a segment. For each distinct segment the smallest
-document is found by an aggregation, so thousands of copies of a passage are one row from there on.
-A shard is an anchor's distinct segments, in order of their smallest document: each is streamed
-through the shard's suffix automaton, which holds the segments of smaller documents, and where the
-matching statistic reaches the window's length that window is repeated. Then the segment joins the
-automaton. Any later document with the same segment loses all of it. A busy anchor is split:
-each of its windows is a segment of its own, in a shard chosen by the window.
+document is found by an aggregation of hashes, so thousands of copies of a passage are one row from
+there on, and any later document with the same segment loses all of it. A shard is an anchor's
+distinct segments where they differ; their words are fetched then, once each, by a bit table of who is
+to send them. In order of their documents they are streamed through the shard's suffix automaton, which
+holds the segments of smaller documents, and where the matching statistic reaches the window's length
+that window is repeated. Then the segment joins the automaton. A busy anchor is split: each of its
+windows is a segment of its own, in a shard chosen by the window.
 
 The automata are built where a shard's segments meet rather than sent to all executors, since the
 reference grows with the input and a broadcast may not; the bit tables are broadcast.
 
 Nulls: a null text has no words; rows with a null id have no smaller or larger document, so they
-lose nothing and remove nothing. Rows that repeat an id are one document. Extra columns are ignored.
+lose nothing and remove nothing. Rows that repeat an id are one document. Extra columns are kept.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quizloom.llm.common import bit_table, gram_hashes, has_bit, id_table, materialise, may_hold, mix, split_words, text_chunks, tidy, word_hashes
+from quizloom.llm.common import bit_table, gram_hashes, has_bit, id_table, materialise, may_hold, mix, split_words, table_bits, text_chunks, tidy, word_hashes
 
 BUSY = 1000
 SEGMENT = 64
@@ -124,8 +125,13 @@ def anchor_rows(window: int, gram: int):
     return rows
 
 
-def segment_rows(window: int, gram: int, shared, busy):
-    """Segments of windows whose anchor may be in several documents."""
+def _wanted(digest: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """What the bit table of wanted segments is asked for: the digest, xor the id turned left by 40 bits."""
+    return digest ^ (ids << np.uint64(40) | ids >> np.uint64(24))
+
+
+def segment_rows(window: int, gram: int, shared, busy, wanted=None):
+    """Segments of windows whose anchor may be in several documents; with wanted, the words of those wanted."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,18 +158,22 @@ def segment_rows(window: int, gram: int, shared, busy):
                 key = np.where(single[begin], mix(anchor[begin] ^ whole[begin]), anchor[begin])
                 with np.errstate(over="ignore"):
                     digest = mix(np.add.reduceat(mix(whole ^ mix(at.astype(np.uint64) - np.repeat(at[begin], size).astype(np.uint64))), begin))
-                s, n = at[begin], size + window - 1
-                d = data.tobytes()
-                text = [b" ".join(d[starts[a] : ends[a + m - 1]].split()).decode() for a, m in zip(s, n)]
+                s, n, of = at[begin], size + window - 1, row[begin]
+                own = ids[lo:][of]
+                if wanted:
+                    keep = np.flatnonzero(has_bit(wanted.value, _wanted(digest, own.astype(np.uint64))))
+                    d = data.tobytes()
+                    text = [b" ".join(d[starts[a] : ends[a + m - 1]].split()).decode() for a, m in zip(s[keep], n[keep])]
+                    yield pa.record_batch({"key": pa.array(key[keep].view(np.int64)), "digest": pa.array(digest[keep].view(np.int64)), "first": pa.array(own[keep]), "words": pa.array(text, pa.string())})
+                    continue
                 yield pa.record_batch(
                     {
                         "key": pa.array(key.view(np.int64)),
                         "digest": pa.array(digest.view(np.int64)),
-                        "id": pa.array(ids[lo:][row[begin]]),
-                        "version": pa.array(versions[lo:][row[begin]]),
-                        "start": pa.array(s - first[row[begin]]),
-                        "n": pa.array(n),
-                        "words": pa.array(text, pa.string()),
+                        "id": pa.array(own),
+                        "version": pa.array(versions[lo:][of]),
+                        "start": pa.array((s - first[of]).astype(np.int32)),
+                        "n": pa.array(n.astype(np.int32)),
                     }
                 )
 
@@ -173,17 +183,18 @@ def segment_rows(window: int, gram: int, shared, busy):
 def shard_rows(window: int):
     """Streams each shard's segments, smallest document first, through the shard's automaton.
 
-    Returns for each segment the word ranges, from its start, that are repeated in its first document.
+    Returns for each segment that has any the word ranges, from its start, that are repeated in its first document.
     """
+    kind = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("first", pa.int64()), ("froms", pa.list_(pa.int32())), ("tos", pa.list_(pa.int32()))])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, automaton, waiting, owner = None, None, [], None
+        key, automaton, waiting, owner, last = None, None, [], None, None
         for batch in batches:
-            keys, ids = batch.column("key").to_pylist(), batch.column("first").to_pylist()
-            texts = batch.column("words").to_pylist()
-            froms, tos = [], []
-            for k, doc, text in zip(keys, ids, texts):
-                words = text.split(" ")
+            out: list[tuple] = []
+            for k, digest, doc, text in zip(*(batch.column(c).to_pylist() for c in ("key", "digest", "first", "words"))):
+                if (k, digest, doc) == last:  # again in the same document
+                    continue
+                last, words = (k, digest, doc), text.split(" ")
                 if k != key:
                     key, automaton, waiting, owner = k, None, [], doc
                 elif doc != owner:
@@ -201,9 +212,9 @@ def shard_rows(window: int):
                                 a.append(i - window + 1)
                                 b.append(i + 1)
                 waiting.append(words)
-                froms.append(a)
-                tos.append(b)
-            yield pa.record_batch({"key": batch.column("key"), "digest": batch.column("digest"), "first": batch.column("first"), "froms": pa.array(froms, pa.list_(pa.int64())), "tos": pa.array(tos, pa.list_(pa.int64()))})
+                if a:
+                    out.append((k, digest, doc, a, b))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [()] * 5, kind)], schema=kind)
 
     return rows
 
@@ -217,19 +228,24 @@ def removed_spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
     anchors = anchors.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     anchors = materialise(anchors.select("anchor", "n"), "anchors")
     shared, busy = (sc.broadcast(bit_table(x, "anchor")) for x in (anchors, anchors.where(F.col("n") > BUSY)))
-    segments = docs.mapInArrow(segment_rows(window, gram, shared, busy), "key long, digest long, id long, version long, start long, n long, words string")
+    segments = docs.mapInArrow(segment_rows(window, gram, shared, busy), "key long, digest long, id long, version long, start int, n int")
     segments = materialise(segments, "segments")
-    distinct = segments.groupBy("key", "digest").agg(F.min("id").alias("first"), F.any_value("words").alias("words"))
-    shards = distinct.repartition("key").sortWithinPartitions("key", "first", "digest")
-    shards = materialise(shards.mapInArrow(shard_rows(window), "key long, digest long, first long, froms array<long>, tos array<long>"), "shards")
-    spans = segments.select("key", "digest", "id", "version", "start", "n").join(shards, ["key", "digest"])
+    distinct = segments.groupBy("key", "digest").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    # A key has no more than some BUSY segments, or one window's.
+    whole = Window.partitionBy("key")
+    differ = (F.count("*").over(whole) > 1) & (F.min("first").over(whole) < F.max("first").over(whole))
+    distinct = materialise(distinct.withColumn("differ", differ).where("differ or first < last"), "distinct")
+    turned = F.shiftleft("first", 40).bitwiseOR(F.shiftrightunsigned("first", 24))
+    some = distinct.where("differ")
+    wanted = sc.broadcast(bit_table(some.select(F.col("digest").bitwiseXOR(turned).alias("h")), "h", table_bits(some.count())))
+    words = docs.mapInArrow(segment_rows(window, gram, shared, busy, wanted), "key long, digest long, first long, words string")
+    shards = materialise(words, "words").repartition("key").sortWithinPartitions("key", "first", "digest")
+    shards = materialise(shards.mapInArrow(shard_rows(window), "key long, digest long, first long, froms array<int>, tos array<int>"), "shards")
+    distinct = distinct.join(shards, ["key", "digest", "first"], "left").where("first < last or froms is not null")
+    spans = segments.join(distinct, ["key", "digest"])
     later = F.col("id") > F.col("first")
-    spans = spans.select(
-        "id",
-        "version",
-        F.when(later, F.array("start")).otherwise(F.transform("froms", lambda x: x + F.col("start"))).alias("froms"),
-        F.when(later, F.array(F.col("start") + F.col("n"))).otherwise(F.transform("tos", lambda x: x + F.col("start"))).alias("tos"),
-    ).where(F.size("froms") > 0)
+    ends = lambda c, one: F.when(later, F.array(one)).otherwise(F.transform(c, lambda x: x + F.col("start")))
+    spans = spans.select("id", "version", ends("froms", F.col("start")).alias("froms"), ends("tos", F.col("start") + F.col("n")).alias("tos")).where(F.size("froms") > 0)
     return spans.groupBy("id", "version").agg(F.flatten(F.collect_list("froms")).alias("froms"), F.flatten(F.collect_list("tos")).alias("tos"))
 
 
@@ -246,14 +262,14 @@ def untouched(table):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rest = batch.filter(pa.array(~has_bit(table.value, batch.column("__h").to_numpy().view(np.uint64)))).drop_columns(["__h"])
-            none = pa.nulls(rest.num_rows, pa.list_(pa.int64()))
+            none = pa.nulls(rest.num_rows, pa.list_(pa.int32()))
             yield from _removing([pa.RecordBatch.from_arrays([*rest.columns, none, none], [*rest.schema.names, "__froms", "__tos"])])
 
     return rows
 
 
 def _removing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (whole.slice(lo, 500) for whole in batches for lo in range(0, max(1, whole.num_rows), 500)):
         keep, count, less = [], [], []
         for text, froms, tos in zip(batch.column("__text"), batch.column("__froms"), batch.column("__tos")):
             words = (text.as_py() or "").encode().split()
@@ -276,7 +292,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Only documents that may lose words go through the exchange of the join.
     table = id_table(spans, "__id")
     fits = (F.col("__row_id") == F.col("__id")) & (F.col("__row_version") == F.col("__version"))
-    losing = rows.where(may_hold(table, "__row_id")).join(spans, fits, "left").select(*docs.columns, "__text", "__froms", "__tos")
+    losing = materialise(rows.where(may_hold(table, "__row_id")), "losing")
+    losing = losing.join(spans, fits, "left").select(*docs.columns, "__text", "__froms", "__tos")
     rest = rows.select(*docs.columns, "__text", F.xxhash64("__row_id").alias("__h"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "kept string, n_words long, n_removed long"])
     return losing.mapInArrow(_removing, schema).unionByName(rest.mapInArrow(untouched(table), schema))
