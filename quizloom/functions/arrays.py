@@ -25,8 +25,14 @@ def completion_mask(ids: Column, template: Column, size: int, ignored: Column) -
 
 
 def gather(logits: Column, ids: Column) -> Column:
-    """The logits of some vocabulary ids (from 0); null beyond the vocabulary."""
-    return F.transform(ids, lambda i: F.try_element_at(logits, i + 1))
+    """The logits of some vocabulary ids (from 0; an unknown id, null, is 0); null beyond the vocabulary."""
+    return F.transform(ids, lambda i: F.try_element_at(logits, F.coalesce(i, F.lit(0)) + 1))
+
+
+def answer_logits(sequence: Column, ids: Column, answer_offset: int = -2) -> Column:
+    """The logits of some vocabulary ids at one position of a sequence of logits, from its end if negative:
+    before the end of the sequence stands the answer. Null where the sequence is shorter."""
+    return gather(F.try_element_at(sequence, F.lit(answer_offset)), ids)
 
 
 def first_choices(logits: Column, n: Column) -> Column:
@@ -49,6 +55,11 @@ def answer_text(index: Column, n: Column) -> Column:
     return F.when(n.between(1, 5), (index + 1).cast("string"))
 
 
+def rejection(index: Column, n: Column) -> Column:
+    """Why answer_text is null; null where it isn't."""
+    return F.when(n.isNull() | (n < 1), "no choices").when(n > 5, "more than 5 choices").when(index.isNull(), "no scores")
+
+
 def class_of(text: Column, default: int | None = 0) -> Column:
     """'1'..'5' to 0..4; other texts get the default."""
     known = F.create_map(*(F.lit(x) for i in range(5) for x in (str(i + 1), i)))

@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 PROBLEM = "struct<question:string,choices:array<string>,answer:int,question_plus:string>"
+#: Literals that mean the same as JSON with either kind of quotes: one flat dict of strings without
+#: escapes or control characters, whole and decimal numbers, and lists. No names, tuples, spare commas.
+FLAT = r"""^\{(?:[ :,\[\]]|"[^"\\\x00-\x1f]*+"|'[^'\\\x00-\x1f]*+'|-?+(?:0|[1-9][0-9]{0,17}+)(?:\.[0-9]{1,15}+)?+(?![\w.]))*+\}$"""
 
 
 @F.pandas_udf(StructType([StructField("json", StringType()), StructField("error", StringType())]))
-def literal_json(texts: pd.Series) -> pd.DataFrame:
-    """Each literal as JSON, or the name of the error that reading it raised; null stays null.
-
-    A literal's grammar isn't JSON's (None, tuples, escapes), so Python reads it, in Arrow batches.
-    """
+def _evaluated(texts: pd.Series) -> pd.DataFrame:
+    """Each literal as JSON, or the name of the error that reading it raised; null stays null."""
     rows = []
     for text in texts:
         if text is None:
@@ -31,14 +31,30 @@ def literal_json(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["json", "error"])
 
 
+def literal_json(text: str | Column) -> Column:
+    """A struct of json, each literal as JSON, and error, the name of what reading it raised; null stays null.
+
+    Literals that are JSON, too, are read by Spark. A literal's grammar is wider (None, tuples,
+    escapes): what Spark can't read goes to Python, in Arrow batches that hold nulls for all else.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    plain = F.when(text.rlike(FLAT), F.get_json_object(text, "$"))
+    read = _evaluated(F.when(plain.isNull(), text))
+    return F.struct(F.coalesce(plain, read["json"]).alias("json"), read["error"].alias("error"))
+
+
 def parse_json(text: Column, schema: str) -> Column:
     """For columns known to hold clean JSON: no Python."""
     return F.from_json(text, schema)
 
 
-def required(parsed: Column, names: list[str]) -> Column:
-    """KeyError where a required field is missing."""
-    lacking = None
-    for name in names:
-        lacking = parsed[name].isNull() if lacking is None else lacking | parsed[name].isNull()
-    return F.when(parsed.isNotNull() & lacking, "KeyError")
+def field_error(json: Column, parsed: Column, required: list[str], fields: list[str]) -> Column:
+    """KeyError where a required field is missing, TypeError where a field's value isn't of its type or
+    the whole isn't a dict; a field that holds None is neither."""
+    keys = F.json_object_keys(json)
+    missing, unread = F.lit(False), F.lit(False)
+    for name in required:
+        missing |= ~F.array_contains(keys, name)
+    for name in fields:
+        unread |= F.get_json_object(json, f"$.{name}").isNotNull() & parsed[name].isNull()
+    return F.when(json.isNotNull(), F.when(keys.isNull(), "TypeError").when(missing, "KeyError").when(unread, "TypeError"))

@@ -29,7 +29,10 @@ def confusion(df: DataFrame) -> DataFrame:
 
 def class_f1(df: DataFrame) -> DataFrame:
     """class, support, predicted, tp, f1; classes are those seen in y or p."""
-    cells = confusion(df)
+    return _class_f1(confusion(df))
+
+
+def _class_f1(cells: DataFrame) -> DataFrame:
     pairs = F.explode(F.array(F.struct(F.col("y").alias("class"), F.col("n").alias("support"), F.lit(0).cast("long").alias("predicted")), F.struct(F.col("p").alias("class"), F.lit(0).cast("long").alias("support"), F.col("n").alias("predicted"))))
     hit = F.when((F.col("y") == F.col("p")) & (F.col("c.support") > 0), F.col("n")).otherwise(0)
     out = cells.select("y", "p", "n", pairs.alias("c")).select("c.class", "c.support", "c.predicted", hit.alias("tp"))
@@ -37,5 +40,28 @@ def class_f1(df: DataFrame) -> DataFrame:
     return out.withColumn("f1", F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("support") + F.col("predicted")), F.lit(0.0)))
 
 
+def evaluation(df: DataFrame) -> DataFrame:
+    """accuracy, macro_f1, n, n_classes, all from one confusion table, which has a row per pair of classes.
+
+    Pairs that lack y or p count in n, not in accuracy.
+    """
+    cells = confusion(df)
+    n = cells.select("y", "p", "n").groupBy().agg(
+        F.try_divide(F.sum(F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)), F.sum(F.when(F.col("y").isNotNull() & F.col("p").isNotNull(), F.col("n")))).alias("accuracy"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+        F.collect_list(F.struct("y", "p", "n")).alias("cells"),  # as many as pairs of classes
+    )
+    cells = F.col("cells")
+    classes = F.filter(F.array_union(cells["y"], cells["p"]), lambda c: c.isNotNull())
+    total = lambda test: F.aggregate(F.filter(cells, test), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    f1 = F.transform(
+        classes,
+        lambda c: F.coalesce(F.try_divide(2.0 * total(lambda x: (x["y"] == c) & (x["p"] == c)), total(lambda x: x["y"] == c) + total(lambda x: x["p"] == c)), F.lit(0.0)),
+    )
+    n = n.withColumn("f1", f1)
+    macro = F.try_divide(F.aggregate("f1", F.lit(0.0), lambda a, x: a + x), F.size("f1"))
+    return n.select("accuracy", macro.alias("macro_f1"), "n", F.size("f1").cast("long").alias("n_classes"))
+
+
 def macro_f1(df: DataFrame) -> DataFrame:
     return class_f1(df).agg(F.avg("f1").alias("macro_f1"), F.count("*").alias("n_classes"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Runs of two word characters or more, in every script.
@@ -44,18 +44,24 @@ def tfidf_vocabulary(counts: DataFrame, max_features: int = 1000) -> DataFrame:
 def tfidf(df: DataFrame, id_col: str, text_col: str, max_features: int = 1000) -> DataFrame:
     """id, term, weight: tf * (ln((1 + N) / (1 + df)) + 1), of length 1 per document.
 
-    The vocabulary has max_features rows at most, so it is broadcast.
+    The vocabulary has max_features rows at most, so it is broadcast. Documents without a term of the
+    vocabulary have no rows; those of one id count as one text.
     """
     counts = term_counts(df, id_col, text_col)
     n = df.count()
     known = counts.join(F.broadcast(tfidf_vocabulary(counts, max_features)), "term")
     known = known.withColumn("w", F.col("tf") * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0))
-    norms = known.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return known.join(norms, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    # A document has max_features rows at most.
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    return known.select("id", "term", (F.col("w") / norm).alias("weight"))
 
 
-def tfidf_wide(weights: DataFrame, terms: list[str], limit: int = 1000) -> DataFrame:
-    """A column per term, in alphabetical order; for at most `limit` terms."""
+def tfidf_wide(weights: DataFrame, terms: list[str], ids: DataFrame, limit: int = 1000) -> DataFrame:
+    """A row per row of ids (id), a column per term in alphabetical order; for at most `limit` terms.
+
+    A document without any of the terms has a row of zeros.
+    """
     if len(terms) > limit:
         raise ValueError(f"{len(terms)} terms; a wide frame holds {limit} at most")
-    return weights.groupBy("id").pivot("term", sorted(terms)).agg(F.sum("weight")).fillna(0.0)
+    wide = weights.groupBy("id").pivot("term", sorted(terms)).agg(F.sum("weight"))
+    return ids.select("id").join(wide, "id", "left").fillna(0.0, subset=sorted(terms))

@@ -6,12 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that a range of a run's steps is to hold.
+RANGE = 4096
+
+
 def running_best(log: DataFrame, greater_is_better: bool = False) -> DataFrame:
-    """log with best_before and is_best: strictly better than all earlier values; nulls never are."""
-    past = Window.partitionBy("run").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    before = (F.max if greater_is_better else F.min)("value").over(past)
+    """log with best_before and is_best: strictly better than all earlier values; nulls never are.
+
+    A run is cut into equal ranges of its steps. The best of each range is accumulated over the ranges,
+    and only inside a range are rows ordered, so a long run spreads. Null steps come first.
+    """
+    best, better_of = (F.max, F.greatest) if greater_is_better else (F.min, F.least)
+    sizes = log.groupBy(F.col("run").alias("__run")).agg(F.min("step").alias("__lo"), F.max("step").alias("__hi"), F.count("*").alias("__n"))
+    rows = log.join(sizes, log["run"].eqNullSafe(sizes["__run"]))
+    range_ = F.floor((F.col("step") - F.col("__lo")) * F.expr(f"1 + __n div {RANGE}") / (F.col("__hi") - F.col("__lo") + 1))
+    rows = rows.select(*log.columns, F.coalesce(range_, F.lit(-1)).cast("long").alias("__range"))
+    before = Window.partitionBy("__run").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    bests = rows.groupBy(F.col("run").alias("__run"), F.col("__range").alias("__at")).agg(best("value").alias("__best"))
+    bests = bests.withColumn("__base", best("__best").over(before)).drop("__best")
+    past = Window.partitionBy("run", "__range").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(bests, rows["run"].eqNullSafe(bests["__run"]) & (rows["__range"] == bests["__at"]))
+    rows = rows.withColumn("best_before", better_of("__base", best("value").over(past))).select(*log.columns, "best_before")
     better = F.col("value") > F.col("best_before") if greater_is_better else F.col("value") < F.col("best_before")
-    return log.withColumn("best_before", before).withColumn("is_best", F.col("value").isNotNull() & (F.col("best_before").isNull() | better))
+    return rows.withColumn("is_best", F.col("value").isNotNull() & (F.col("best_before").isNull() | better))
 
 
 def final_best(log: DataFrame, greater_is_better: bool = False) -> DataFrame:
@@ -48,5 +65,19 @@ def levels(messages: DataFrame) -> DataFrame:
     return messages.groupBy("level").agg(F.count("*").alias("n"))
 
 
+def iso_stamp(ts: Column) -> Column:
+    """A timestamp as in ISO 8601; microseconds only where there are any."""
+    fraction = F.when(F.date_format(ts, "SSSSSS") != "000000", F.date_format(ts, ".SSSSSS")).otherwise("")
+    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), fraction)
+
+
+def log_entry(message: Column, level: Column | str = "INFO", ts: Column | None = None) -> Column:
+    """timestamp, level, message; a null level is INFO. Stamped with the query's time unless ts is given."""
+    level = F.lit(level) if isinstance(level, str) else level
+    stamp = iso_stamp(F.current_timestamp() if ts is None else ts)
+    return F.struct(stamp.alias("timestamp"), F.coalesce(level, F.lit("INFO")).alias("level"), message.alias("message"))
+
+
 def run_name(ts: Column) -> Column:
+    """A run's default name."""
     return F.concat(F.lit("exp_"), F.date_format(ts, "yyyyMMdd_HHmmss"))

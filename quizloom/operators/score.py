@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quizloom.functions.arrays import answer_text, argmax, first_choices
+from quizloom.functions.arrays import answer_text, argmax, first_choices, rejection
 from quizloom.operators.profile import TERM
 
 
@@ -48,6 +48,12 @@ def predictions(scores: DataFrame) -> DataFrame:
     return scores.select("id", answer_text(best, F.col("len_choices")).alias("answer"))
 
 
+def rejected(scores: DataFrame) -> DataFrame:
+    """id, reason of the rows of id, len_choices, logits that get no answer."""
+    best = argmax(first_choices(F.col("logits"), F.greatest(F.col("len_choices"), F.lit(0))))
+    return scores.select("id", rejection(best, F.col("len_choices")).alias("reason")).where("reason is not null")
+
+
 def unanswered(questions: DataFrame, answers: DataFrame) -> DataFrame:
     """Questions without an answer."""
     return questions.join(answers.where("answer is not null"), "id", "left_anti")

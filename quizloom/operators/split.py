@@ -9,12 +9,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def seeded_index(df: DataFrame, id_col: str, seed: int | str = 42, digits: int = 3) -> DataFrame:
+#: Rows that a hash prefix is to have, and the longest prefix: its 16 ** 5 offsets are broadcast.
+PREFIX_ROWS, DIGITS = 4096, 5
+
+
+def prefix_digits(n: int) -> int:
+    """Hex digits that leave PREFIX_ROWS rows to a prefix, or fewer digits than that takes."""
+    return next((d for d in range(1, DIGITS) if n <= PREFIX_ROWS * 16**d), DIGITS)
+
+
+def seeded_index(df: DataFrame, id_col: str, seed: int | str = 42, digits: int | None = None) -> DataFrame:
     """df with row_index: place in the order of md5('seed:id'), then id.
 
-    Rows are numbered inside each hash prefix only; the prefixes' offsets (16 ** digits rows at most)
-    are accumulated and broadcast. More digits mean smaller groups.
+    Rows are numbered inside each hash prefix only, of as many digits as their number asks for; the
+    prefixes' offsets are accumulated and broadcast.
     """
+    digits = prefix_digits(df.count()) if digits is None else digits
     hashed = df.withColumn("__hash", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")).cast("binary")))
     hashed = hashed.withColumn("__prefix", F.substring("__hash", 1, digits))
     sizes = hashed.groupBy("__prefix").count()
@@ -32,8 +42,9 @@ def test_size(n: int, share: float) -> int:
 
 def split_column(df: DataFrame, id_col: str, share: float = 0.1, seed: int | str = 42) -> DataFrame:
     """df with split, 'test' for the first rows in seeded order and 'train' for the others."""
-    first = test_size(df.count(), share)
-    return seeded_index(df, id_col, seed).withColumn("split", F.when(F.col("row_index") < first, "test").otherwise("train")).drop("row_index")
+    n = df.count()
+    first = test_size(n, share)
+    return seeded_index(df, id_col, seed, prefix_digits(n)).withColumn("split", F.when(F.col("row_index") < first, "test").otherwise("train")).drop("row_index")
 
 
 def train_test_split(df: DataFrame, id_col: str, share: float = 0.1, seed: int | str = 42) -> tuple[DataFrame, DataFrame]:

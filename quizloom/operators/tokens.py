@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,8 +40,8 @@ def encoder(vocabulary: DataFrame) -> Callable[[Column], Column]:
         known = pa.array(shared.value, pa.string())
         for lists in batches:
             ids = pc.fill_null(pc.index_in(lists.flatten(), known), 0).cast(pa.int32())
-            ends = pa.array([0, *pc.cumulative_sum(pc.list_value_length(lists)).to_pylist()], pa.int32())
-            yield pa.ListArray.from_arrays(ends, ids)
+            ends = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())].astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), ids)
 
     return encode
 

@@ -1,4 +1,4 @@
-"""Whole jobs, each one lazy plan but for a count or a bounded vocabulary."""
+"""Whole jobs, each one lazy plan but for a count, a bounded vocabulary or a written table."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quizloom.functions import arrays, text
 from quizloom.operators import metrics, profile, runs, score, split, tokens
+from quizloom.sources import mcq as source
 
 
 def training_examples(mcq: DataFrame) -> DataFrame:
@@ -26,10 +27,12 @@ def inference_examples(mcq: DataFrame) -> DataFrame:
 def training_data(mcq: DataFrame, max_length: int = 1024, share: float = 0.1, seed: int = 42, max_vocab: int = 10_000, template: Callable = text.turn_template) -> DataFrame:
     """id, input_ids, attention_mask, labels, split."""
     chats = training_examples(mcq).select("id", template(F.col("messages")).alias("chat"))
-    vocabulary = tokens.build_vocabulary(chats, "chat", max_vocab)
+    vocabulary = source.written(tokens.build_vocabulary(chats, "chat", max_vocab), "vocabulary")
     rows = tokens.filter_by_length(tokens.tokenize(chats, "chat", tokens.encoder(vocabulary), ("id",)), max_length)
+    # Written, as the labels, the split's size and its order are all made from them.
+    rows = source.written(rows, "examples")
     model = vocabulary.where("term = 'model'").select("id").first()
-    opening = F.array(F.lit(1), F.lit(model[0] if model else 0))
+    opening = F.array(F.lit(1), F.lit(model[0] if model else None).cast("int"))  # without the term nothing matches
     rows = rows.withColumn("labels", arrays.completion_mask(F.col("input_ids"), opening, 2, F.lit(arrays.IGNORED)))
     return split.split_column(rows, "id", share, seed)
 
@@ -40,9 +43,9 @@ def answers(mcq: DataFrame, scorer: Callable | None = None) -> DataFrame:
 
 
 def evaluation(truth: DataFrame, predicted: DataFrame) -> DataFrame:
-    """accuracy, macro_f1, n: truth (id, answer) joined by id with predicted (id, answer)."""
+    """accuracy, macro_f1, n, n_classes: truth (id, answer) joined by id with predicted (id, answer)."""
     pairs = truth.select("id", F.col("answer").cast("string").alias("y")).join(predicted.select("id", F.col("answer").alias("p")), "id")
-    return metrics.accuracy(pairs).crossJoin(metrics.macro_f1(pairs))
+    return metrics.evaluation(pairs)
 
 
 def profiling(mcq: DataFrame, bins: int = 30) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -52,6 +55,14 @@ def profiling(mcq: DataFrame, bins: int = 30) -> tuple[DataFrame, DataFrame, Dat
     return profile.missing_values(mcq), profile.histogram(lengths, "question_length", bins), profile.tfidf(full, "id", "full_question")
 
 
+def question_profile(mcq: DataFrame) -> DataFrame:
+    """The profile as rows kind, key, value: missing values by column, question lengths by bin, terms by total weight."""
+    missing, lengths, weights = profiling(mcq)
+    row = lambda kind, key, value: (F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), value.cast("double").alias("value"))
+    terms = weights.groupBy("term").agg(F.sum("weight").alias("weight"))
+    return missing.select(*row("missing", "column", F.col("n_missing"))).unionByName(lengths.select(*row("length", "bin", F.col("n")))).unionByName(terms.select(*row("term", "term", F.col("weight"))))
+
+
 def run_comparison(log: DataFrame, greater_is_better: bool = False) -> DataFrame:
     """run, step, value, n_improvements."""
     improved = runs.running_best(log, greater_is_better).groupBy("run").agg(F.count_if("is_best").alias("n_improvements"))

@@ -109,7 +109,11 @@ def submission(spark, sf_dir):
 
 
 def metric_log_json(spark, sf_dir):
-    return source.metric_series(metric_log(spark, sf_dir))
+    """Each block of a metric's JSON series, its entries printed in a fixed form."""
+    series = source.metric_series(metric_log(spark, sf_dir))
+    blocks = series.select("name", "block", F.explode(F.from_json("json", source.LOG)).alias("of", "entries"))
+    entry = lambda e: F.concat_ws(" ", F.coalesce(F.format_string("%.6f", e["value"]), F.lit("~")), e["step"].cast("string"), e["timestamp"])
+    return blocks.where("of = name").select("name", "block", F.size("entries").alias("n"), F.array_join(F.transform("entries", entry), "|").alias("entries"))
 
 
 def metric_log_long(spark, sf_dir):
@@ -161,7 +165,7 @@ def tfidf_weights(spark, sf_dir):
 def tfidf_wide(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     terms = [r["term"] for r in profile.tfidf_vocabulary(profile.term_counts(docs, "doc_id", "text"), 20).collect()]
-    wide = profile.tfidf_wide(profile.tfidf(docs, "doc_id", "text", 20), terms)
+    wide = profile.tfidf_wide(profile.tfidf(docs, "doc_id", "text", 20), terms, docs.select(F.col("doc_id").alias("id")))
     values = F.array(*(F.round(F.col(f"`{t}`"), 6) for t in sorted(terms)))
     return wide.select(F.col("id").alias("doc_id"), F.array_join(F.transform(values, lambda x: F.format_string("%.6f", x)), "|").alias("weights"))
 
@@ -266,6 +270,23 @@ def confusion_matrix(spark, sf_dir):
     return metrics.confusion(graded(spark, sf_dir))
 
 
+def question_profile(spark, sf_dir):
+    return jobs.question_profile(mcq(spark, sf_dir)).select("kind", "key", F.round("value", 4).alias("value"))
+
+
+def rejected_answers(spark, sf_dir):
+    """Questions of one to seven choices; those of more than five, or of none, are rejected."""
+    rows = logits(spark, sf_dir).select(F.col("vec_id").alias("id"), (F.col("vec_id") % 8).cast("int").alias("len_choices"), "logits")
+    return score.rejected(rows)
+
+
+def eval_logits(spark, sf_dir):
+    """Each vector as a sequence of eight positions over a vocabulary of eight: the logits before the last one."""
+    steps = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(F.col("embedding").cast("array<double>"), i * 8 + 1, F.lit(8)))
+    five = arrays.answer_logits(steps, F.array(*map(F.lit, (3, 1, 4, 5, 2))))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(F.transform(five, lambda x: F.format_string("%.6f", x)), "|").alias("logits"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -273,7 +294,7 @@ QUERIES = {
         latest_checkpoint, checkpoint_order, question_length, missing_values, length_histogram, tfidf_vocab, tfidf_weights, tfidf_wide, tfidf_head,
         numbered_choices, create_prompt, training_messages, inference_messages, render_chat, build_vocab, tokenize_docs, filter_by_length, completion_mask,
         decode_labels, train_test_split, pad_batches, training_data, gather_logits, choice_softmax, choice_argmax, predict_choice, evaluate_answers,
-        accuracy, macro_f1, confusion_matrix,
+        accuracy, macro_f1, confusion_matrix, question_profile, rejected_answers, eval_logits,
     )
 }
 
@@ -324,6 +345,9 @@ SQL = {
     "parse_props": "SELECT event_id, json_extract_string(props, '$.k')::INTEGER AS k, NULL::VARCHAR AS error FROM events",
     "stage_counts": f"WITH {_MCQ}, s AS (SELECT {_ORDER.format(id='id')} AS i, ceil(count(*) OVER () * 0.1::DECIMAL(3,1)) AS k FROM mcq) SELECT stage, count(*) AS n FROM (SELECT unnest(['flattened', CASE WHEN i < k THEN 'test' ELSE 'train' END]) AS stage FROM s) GROUP BY stage",
     "submission": f"WITH {_MCQ}, {_ANSWERS} SELECT id, answer FROM answers",
+    "metric_log_json": f"""WITH l AS (SELECT event_type || '/' || (user_id % 10)::VARCHAR AS name, value, event_id AS step, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY timestamp, step, value) - 1 AS i FROM l)
+SELECT name, (i // {source.BLOCK})::BIGINT AS block, count(*)::INTEGER AS n, string_agg(coalesce(printf('%.6f', value), '~') || ' ' || step::VARCHAR || ' ' || timestamp, '|' ORDER BY i) AS entries FROM r GROUP BY ALL""",
     "metric_log_long": "SELECT event_type || '/' || (user_id % 10)::VARCHAR AS name, value, event_id AS step, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp FROM events",
     "log_levels": "SELECT CASE WHEN value > 100 THEN 'WARNING' WHEN value IS NULL THEN 'ERROR' ELSE 'INFO' END AS level, count(*) AS n FROM events GROUP BY level",
     "best_checkpoint": f"""WITH {_LOG}, b AS (SELECT run, step, value, row_number() OVER (PARTITION BY run ORDER BY value NULLS LAST, step) AS k FROM log),
@@ -340,7 +364,7 @@ SELECT b::INTEGER AS bin, round(lo + b * ((hi - lo) / 30), 6) AS low, round(lo +
     "tfidf_vocab": f"WITH {_TF}, {_VOCAB.format(n=TERMS)} SELECT term, ctf, df FROM vocab",
     "tfidf_weights": f"WITH {_WEIGHTS.replace('{n}', str(TERMS))} SELECT doc_id, term, round(weight, 6) AS weight FROM weights",
     "tfidf_wide": f"""WITH {_WEIGHTS.replace('{n}', '20')} SELECT doc_id, string_agg(printf('%.6f', coalesce(round(weight, 6), 0)), '|' ORDER BY term) AS weights
-FROM (SELECT DISTINCT doc_id FROM weights) CROSS JOIN (SELECT term FROM vocab) LEFT JOIN weights USING (doc_id, term) GROUP BY doc_id""",
+FROM (SELECT doc_id FROM documents) CROSS JOIN (SELECT term FROM vocab) LEFT JOIN weights USING (doc_id, term) GROUP BY doc_id""",
     "tfidf_head": f"WITH {_WEIGHTS.replace('{n}', str(TERMS))} SELECT doc_id, term, round(weight, 6) AS weight FROM weights ORDER BY doc_id, term LIMIT 20",
     "numbered_choices": f"WITH {_MCQ} SELECT id, {_NUMBERED} AS choices FROM mcq",
     "create_prompt": f"WITH {_MCQ} SELECT id, {_PROMPT} AS prompt FROM mcq",
@@ -359,6 +383,14 @@ SELECT doc_id, coalesce(ids, '') AS input_ids, len(t)::INTEGER AS attended FROM
 SELECT doc_id, batch::BIGINT AS batch, max(n) OVER (PARTITION BY batch) AS padded, n AS attended FROM d""",
     "training_data": f"""WITH {_MCQ}, t AS (SELECT id, len({_TOKENS % ("'" + text.SYSTEM_MESSAGE + "' || " + _nl(text.TURN_START + "user" + chr(10)) + " || " + _PROMPT + " || " + _MODEL_TURN + " || answer || " + _nl(text.TURN_END + chr(10)))})::INTEGER AS n, {_ORDER.format(id='id')} AS i FROM mcq)
 SELECT id, n, 2 AS n_labels, CASE WHEN i < ceil((SELECT count(*) FROM t) * 0.1::DECIMAL(3,1)) THEN 'test' ELSE 'train' END AS split FROM t""",
+    "question_profile": f"""WITH {_MCQ}, documents AS (SELECT id AS doc_id, question || coalesce(' ' || question_plus, '') AS text, length(question || coalesce(' ' || question_plus, ''))::DOUBLE AS x FROM mcq),
+{_WEIGHTS.replace('{n}', str(TERMS))}, m AS (SELECT CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS lo, CASE WHEN min(x) = max(x) THEN max(x) + 0.5 ELSE max(x) END AS hi FROM documents),
+c AS (SELECT least(floor((x - lo) * 30 / (hi - lo)), 29)::INTEGER AS bin, count(*) AS n FROM documents, m GROUP BY bin)
+SELECT 'length' AS kind, b::VARCHAR AS key, coalesce(c.n, 0)::DOUBLE AS value FROM range(30) AS r(b) LEFT JOIN c ON c.bin = b
+UNION ALL SELECT 'term', term, round(sum(weight), 4) FROM weights GROUP BY term
+UNION ALL """ + " UNION ALL ".join(f"SELECT 'missing', '{c}', (count(*) - count({c}))::DOUBLE FROM mcq" for c in ("id", "paragraph", "question", "choices", "answer", "question_plus")),
+    "rejected_answers": "SELECT vec_id AS id, CASE WHEN vec_id % 8 < 1 THEN 'no choices' ELSE 'more than 5 choices' END AS reason FROM embeddings WHERE vec_id % 8 NOT BETWEEN 1 AND 5",
+    "eval_logits": "SELECT vec_id, array_to_string([printf('%.6f', embedding[48 + i + 1]::DOUBLE) for i in [3, 1, 4, 5, 2]], '|') AS logits FROM embeddings",
     "gather_logits": f"WITH {_LOGITS} SELECT vec_id, array_to_string([printf('%.6f', x) for x in logits], '|') AS logits FROM l",
     "choice_softmax": f"WITH {_LOGITS}, x AS (SELECT vec_id, unnest(range(5))::INTEGER AS k, unnest(logits) AS v FROM l) SELECT vec_id, k, round(exp(v) / sum(exp(v)) OVER (PARTITION BY vec_id), 6) AS p FROM x",
     "choice_argmax": f"WITH {_LOGITS} SELECT vec_id AS id, list_position(logits[1:n], list_max(logits[1:n]))::VARCHAR AS answer FROM l",

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quizloom.functions.literal import PROBLEM, literal_json, required
+from quizloom.functions.literal import PROBLEM, field_error, literal_json
 
 RAW = "id string, paragraph string, problems string"
 LOG = "map<string,array<struct<value:double,step:bigint,timestamp:string>>>"
@@ -21,11 +22,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder the cluster shares, or, where none is set, in a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir isn't set: a cluster needs a folder that all executors share")
         app = spark.sparkContext.applicationId
         at = _own.setdefault(app, _own.get(app) or f"file://{tempfile.mkdtemp(prefix='spark-scratch-')}")
     return f"{at.rstrip('/')}/quizloom/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, where several results are made from it."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_mcq(spark: SparkSession, path: str, na_values: tuple[str, ...] = ()) -> DataFrame:
     """Raw questions. Cells may hold quotes ("" inside quotes) and newlines; a missing path fails here."""
     raw = spark.read.schema(RAW).csv(path, header=True, multiLine=True, quote='"', escape='"')
@@ -46,21 +56,68 @@ def write_submission(predictions: DataFrame, path: str, single_file: bool = Fals
 
 
 def flatten(raw: DataFrame) -> DataFrame:
-    """One row per raw row: id, paragraph, the problem's fields, and error (null if it could be read)."""
+    """One row per raw row: id, paragraph, the problem's fields, and error (null if it could be read).
+
+    error names what reading the cell raises: ValueError for a null cell, KeyError for a missing field,
+    TypeError for a value of another type, or what the literal itself raises.
+    """
     parsed = raw.withColumn("literal", literal_json("problems")).withColumn("p", F.from_json("literal.json", PROBLEM))
-    error = F.coalesce(F.col("literal.error"), required(F.col("p"), ["question", "choices"]))
+    wrong = field_error(F.col("literal.json"), F.col("p"), ["question", "choices"], ["question", "choices", "answer", "question_plus"])
+    error = F.when(F.col("problems").isNull(), "ValueError").otherwise(F.coalesce(F.col("literal.error"), wrong))
     return parsed.select("id", "paragraph", "p.question", "p.choices", "p.answer", "p.question_plus", error.alias("error"))
 
 
+def submission_path(root: str, artifact: str) -> str:
+    """Where the answers of an artifact (a checkpoint's name or path) go."""
+    return f"{root.rstrip('/')}/submissions/{artifact.rstrip('/').rpartition('/')[2]}/output.csv"
+
+
+def write_submissions(predictions: DataFrame, root: str, run_col: str = "run") -> DataFrame:
+    """Answers of many runs at once, a folder for each run; returns what was written, with the run."""
+    path = f"{root.rstrip('/')}/submissions"
+    out = predictions.select("id", "answer", F.col(run_col).alias("run"))
+    out.write.mode("overwrite").partitionBy("run").csv(path, header=True, quote='"', escape='"')
+    return predictions.sparkSession.read.schema("id string, answer string, run string").csv(path, header=True, quote='"', escape='"')
+
+
+def append_log(entries: DataFrame, path: str) -> None:
+    """Adds rows (messages, metric values) to a log of JSON lines; nulls are written, other scripts unescaped."""
+    entries.write.mode("append").option("ignoreNullFields", "false").json(path)
+
+
+def write_config(spark: SparkSession, config: dict, path: str) -> None:
+    """A configuration as one JSON line, replacing what is there."""
+    line = json.dumps(config, ensure_ascii=False, default=str)
+    spark.range(1).select(F.lit(line).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_best(best: DataFrame, path: str, metric_name: str, prefix: str = "checkpoint-") -> None:
+    """run, step, value of each run's best as JSON lines: run, original_checkpoint, step, metric, metric_name."""
+    name = F.concat(F.lit(prefix), F.col("step").cast("string")).alias("original_checkpoint")
+    best.select("run", name, "step", F.col("value").alias("metric"), F.lit(metric_name).alias("metric_name")).write.mode("overwrite").json(path)
+
+
 def metric_series(log: DataFrame) -> DataFrame:
-    """name, block, json: each metric's values in order of arrival, cut into blocks of at most BLOCK values
-    whose numbers rise in that order; log has name, value, step, timestamp."""
-    # A sort over the whole log spreads a busy name; ids rise by one inside a partition of it.
+    """name, block, json: each metric's values in order of timestamp, step and value, BLOCK to a block; log
+    has name, value, step, timestamp.
+
+    The log is sorted as a whole, so that a busy name spreads, and written with each row's place in its
+    part; a name's rows before a part are then summed over the parts, of which there are few.
+    """
+    spark = log.sparkSession
     log = log.select("name", "timestamp", "step", "value").orderBy("name", "timestamp", "step", "value")
-    log = log.withColumn("block", F.expr(f"monotonically_increasing_id() div {BLOCK}"))
+    path = scratch(spark, "log")
+    log.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()).write.parquet(path)
+    log = spark.read.schema("name string, timestamp string, step long, value double, part int, at long").parquet(path)
+    parts = log.groupBy("name", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col("name").alias("of"), "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    log = log.join(parts, (log["part"] == parts["part"]) & log["name"].eqNullSafe(parts["of"]))
+    log = log.select("name", "timestamp", "step", "value", F.expr(f"(at + shift) div {BLOCK}").alias("block"))
     entries = F.array_sort(F.collect_list(F.struct("timestamp", "step", "value")))
     series = F.transform(entries, lambda e: F.struct(e["value"].alias("value"), e["step"].alias("step"), e["timestamp"].alias("timestamp")))
-    return log.groupBy("name", "block").agg(F.to_json(F.map_from_arrays(F.array("name"), F.array(series))).alias("json"))
+    name = F.coalesce("name", F.lit(""))
+    return log.groupBy("name", "block").agg(series.alias("series")).select("name", "block", F.to_json(F.map_from_arrays(F.array(name), F.array("series"))).alias("json"))
 
 
 def metric_rows(logs: DataFrame) -> DataFrame:

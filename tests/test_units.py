@@ -1,3 +1,6 @@
+import ast
+import json
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -19,10 +22,26 @@ def test_literals(spark):
     rows = {r["id"]: r for r in mcq.flatten(raw).collect()}
     assert rows["0"]["choices"] == ["a", "b"] and rows["0"]["answer"] is None and rows["0"]["error"] is None
     assert rows["1"]["question"] == "\xa0" and rows["1"]["choices"] == ["it's"] and rows["1"]["answer"] == 2
-    assert [rows[str(i)]["error"] for i in (2, 3, 4, 5)] == ["KeyError", "SyntaxError", "ValueError", None]
+    assert [rows[str(i)]["error"] for i in (2, 3, 4, 5)] == ["KeyError", "SyntaxError", "ValueError", "ValueError"]
+    cells = ["{'question': 'q', 'choices': ['a'], 'answer': '2'}", "{'question': 'q', 'choices': 'a'}", "[1]", "{'question': None, 'choices': ['a'], 'answer': 1}"]
+    rows = mcq.flatten(spark.createDataFrame([(str(i), "p", c) for i, c in enumerate(cells)], mcq.RAW)).orderBy("id").collect()
+    assert [r["error"] for r in rows] == ["TypeError", "TypeError", "TypeError", None] and rows[3]["answer"] == 1
     assert one(spark, literal.parse_json(F.lit('{"question": "q", "choices": ["a"]}'), literal.PROBLEM)["choices"]) == ["a"]
 
 
+def test_both_tiers_of_literals_agree(spark):
+    cells = ["{}", "{'a': 1}", '{"a": [1, -2.5, "x y"], \'b\': "it\'s"}', "{'a': true}", "{'a': 01}", "{'a': 1} ", "{'a': 1}{'b': 2}", "{'a': 'x' 'y'}", "{'a': '한국 \"q\"'}", "{'a': 1,}", "{1: 2}", "{'a' 1}", "{'a': 1_000}", "{'a': 'b\\n'}", "{'a': [1}", "{'a': 1e5}", "{'a', 'b'}", "{'a': {'b': 1}}", "{'a': 1 2}", "{'a': '\t'}", "{'a': 1, 'a': 2}"]
+    df = spark.createDataFrame([(c,) for c in cells], "t string")
+    got = df.select("t", literal.literal_json("t").alias("l"), F.col("t").rlike(literal.FLAT).alias("flat")).collect()
+    for row in got:
+        try:
+            want, error = json.loads(json.dumps(ast.literal_eval(row["t"]), default=repr)), None
+        except (SyntaxError, ValueError) as e:
+            want, error = None, type(e).__name__
+        assert row["l"]["error"] == error and (row["l"]["json"] is None if error else json.loads(row["l"]["json"]) == want), row["t"]
+    assert sum(r["flat"] for r in got) >= 5
+
+
 def test_csv_round_trip(spark, tmp_path):
     rows = [("1", 'say "hi", ok', "a\nb"), ("2", "back\\slash", "NA"), ("3", None, "{'x': 1}")]
     path = str(tmp_path / "raw")
@@ -87,6 +106,70 @@ def test_split_and_batches(spark):
     assert all(r["sizes"] == r["l"] == 1 and r["n"] <= 8 for r in padded.collect())
 
 
+def test_running_best_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(runs, "RANGE", 4)
+    rows = [("a" if i % 3 else None, (i * 37) % 101 if i else None, None if i % 11 == 5 else float((i * 53) % 29), i) for i in range(100)]
+    log = spark.createDataFrame(rows, "run string, step long, value double, __other int")
+    for greater in (True, False):
+        got = {r["__other"]: (r["best_before"], r["is_best"]) for r in runs.running_best(log, greater).collect()}
+        assert len(got) == 100
+        for name in ("a", None):
+            best = None
+            for _, _, value, i in sorted((r for r in rows if r[0] == name), key=lambda r: -1 if r[1] is None else r[1]):
+                better = value is not None and (best is None or (value > best if greater else value < best))
+                assert got[i] == (best, better)
+                best = value if better else best
+
+
+def test_logs(spark, tmp_path):
+    ts = F.lit("2024-03-05 06:07:08").cast("timestamp")
+    assert one(spark, runs.run_name(ts)) == "exp_20240305_060708" and one(spark, runs.iso_stamp(ts)) == "2024-03-05T06:07:08"
+    assert one(spark, runs.iso_stamp(F.lit("2024-03-05 06:07:08.25").cast("timestamp"))) == "2024-03-05T06:07:08.250000"
+    path = str(tmp_path / "log")
+    for message, level in (("시작", None), ("late", "WARNING")):
+        mcq.append_log(spark.range(1).select(runs.log_entry(F.lit(message), F.lit(level).cast("string"), ts).alias("e")).select("e.*"), path)
+    log = spark.read.json(path)
+    assert {tuple(r) for r in log.select("level", "message", "timestamp").collect()} == {("INFO", "시작", "2024-03-05T06:07:08"), ("WARNING", "late", "2024-03-05T06:07:08")}
+    assert {r["level"]: r["n"] for r in runs.levels(log).collect()} == {"INFO": 1, "WARNING": 1}
+    mcq.write_config(spark, {"이름": "x", "rate": 2e-5}, str(tmp_path / "config"))
+    assert json.loads(spark.read.text(str(tmp_path / "config")).first()[0]) == {"이름": "x", "rate": 2e-5}
+    best = runs.final_best(spark.createDataFrame([("r", 10, 0.5), ("r", 20, 0.4)], "run string, step long, value double"))
+    mcq.write_best(best, str(tmp_path / "best"), "eval_loss")
+    assert spark.read.json(str(tmp_path / "best")).first().asDict() == {"run": "r", "original_checkpoint": "checkpoint-20", "step": 20, "metric": 0.4, "metric_name": "eval_loss"}
+
+
+def test_submissions_of_many_runs(spark, tmp_path):
+    assert mcq.submission_path("/data/", "out/checkpoint-1000/") == "/data/submissions/checkpoint-1000/output.csv"
+    rows = spark.createDataFrame([("1", "2", "checkpoint-1000"), ("2", "5", "best_model")], "id string, answer string, run string")
+    assert sorted(map(tuple, mcq.write_submissions(rows, str(tmp_path)).select("id", "answer", "run").collect())) == sorted(map(tuple, rows.collect()))
+    assert (tmp_path / "submissions" / "run=best_model").is_dir()
+
+
+def test_rejected_and_evaluated_logits(spark):
+    rows = [("a", 4, [0.0, 2.0]), ("c", 0, [1.0]), ("d", 6, [1.0] * 6), ("e", None, [1.0]), ("f", 2, None)]
+    scores = spark.createDataFrame(rows, "id string, len_choices int, logits array<double>")
+    assert {r["id"]: r["reason"] for r in score.rejected(scores).collect()} == {"c": "no choices", "d": "more than 5 choices", "e": "no choices", "f": "no scores"}
+    assert {r["id"] for r in score.predictions(scores).where("answer is null").collect()} == {"c", "d", "e", "f"}
+    sequence = F.array(*(F.array(*(F.lit(float(10 * i + j)) for j in range(3))) for i in range(4)))
+    ids = F.array(F.lit(2), F.lit(None).cast("int"), F.lit(9))
+    assert one(spark, arrays.answer_logits(sequence, ids)) == [22.0, 20.0, None] and one(spark, arrays.answer_logits(sequence, ids, -1))[0] == 32.0
+    assert one(spark, arrays.answer_logits(sequence, ids, -9)) == [None] * 3
+
+
+def test_evaluation_from_one_table(spark):
+    pairs = spark.createDataFrame([("1", "1"), ("1", "2"), ("2", "2"), ("3", None), (None, "4"), ("2", "2")], "y string, p string")
+    both = metrics.evaluation(pairs).first()
+    assert both["accuracy"] == metrics.accuracy(pairs).first()["accuracy"] == 0.75 and both["n"] == 6
+    assert (both["macro_f1"], both["n_classes"]) == (pytest.approx(metrics.macro_f1(pairs).first()["macro_f1"]), 4)
+    assert metrics.evaluation(pairs.limit(0)).first()["n"] == 0
+
+
+def test_map_batches(spark):
+    made = lambda: lambda batch: batch.assign(n=batch["t"].str.len())
+    got = tokens.map_batches(spark.createDataFrame([("ab",), ("c",)], "t string"), made, "t string, n long")
+    assert {tuple(r) for r in got.collect()} == {("ab", 2), ("c", 1)}
+
+
 def test_running_best(spark):
     log = spark.createDataFrame([("r", 1, None), ("r", 2, 0.5), ("r", 3, 0.5), ("r", 4, 0.7), ("r", 5, 0.4), ("n", 1, None)], "run string, step int, value double")
     assert [r["step"] for r in runs.running_best(log).where("is_best").orderBy("step").collect()] == [2, 5]
@@ -101,7 +184,7 @@ def test_running_best(spark):
 def test_metric_series_in_bounded_blocks(spark, monkeypatch):
     monkeypatch.setattr(mcq, "BLOCK", 100)
     log = spark.range(3000).select(F.when(F.col("id") % 10 < 9, "busy").otherwise("other").alias("name"), (F.col("id") * 0.5).alias("value"), F.col("id").alias("step"), F.format_string("%05d", F.col("id") % 700).alias("timestamp"))
-    series = mcq.metric_series(log).localCheckpoint()
+    series = mcq.metric_series(log)
     rows = series.select("name", "block", F.explode(F.from_json("json", mcq.LOG)).alias("n", "e")).select("name", "block", F.size("e").alias("size"), "e.timestamp", "e.step").orderBy("block").collect()
     assert len(rows) >= 30 and max(r["size"] for r in rows) <= 100
     for name in ("busy", "other"):
@@ -117,10 +200,13 @@ def test_profile_edges(spark):
     flat = profile.histogram(spark.range(3).select(F.lit(4).alias("n")), "n", 10).collect()
     assert sum(r["n"] for r in flat) == 3 and (min(r["low"] for r in flat), max(r["high"] for r in flat)) == (3.5, 4.5)
     assert profile.histogram(spark.range(0).select(F.lit(4).alias("n")), "n").count() == 0
+    texts = spark.createDataFrame([(1, "ab cd"), (2, "zz"), (3, None)], "id int, t string")
+    wide = profile.tfidf_wide(profile.tfidf(texts, "id", "t", 2), ["ab", "cd"], texts).orderBy("id").collect()
+    assert [tuple(r) for r in wide] == [(1, pytest.approx(0.5**0.5), pytest.approx(0.5**0.5)), (2, 0.0, 0.0), (3, 0.0, 0.0)]
     words = profile.term_counts(spark.createDataFrame([(1, "한국 가 한국 ab")], "id int, t string"), "id", "t")
     assert {(r["term"], r["tf"]) for r in words.collect()} == {("한국", 2), ("ab", 1)}
     with pytest.raises(ValueError):
-        profile.tfidf_wide(words, ["t"] * 3, limit=2)
+        profile.tfidf_wide(words, ["t"] * 3, words, limit=2)
 
 
 def test_encoding_keeps_empty_texts(spark):
