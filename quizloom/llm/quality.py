@@ -1,17 +1,21 @@
 """Compression classifier: zstandard dictionaries of good and of bad labelled texts.
 
-A text is compressed with either dictionary. The difference of the two sizes, normalised by their
-sum and by the text's length, is calibrated to a probability by a logistic regression that also
-sees the normalised sizes and the length: text that repeats itself compresses well with either.
+A text is compressed with either dictionary, in blocks: a long text would become a dictionary of its own, which
+hides the difference. The difference of the two sizes over the text's length is
+calibrated to a probability by a logistic regression of the label on it alone. So that a text of a few
+bytes, whose sizes hardly can differ, isn't taken for a bad one, PRIOR bytes that differ as the calibration's
+texts do on average are added to each text.
+
 Dictionaries and calibration come from a bounded sample of labelled rows: `per_class` rows of each
-class by hash of the id, of texts up to `longest` bytes; one half builds the dictionaries, the other
-fits the calibration, weighted to the classes' shares among all labelled rows. Every text is scored,
-whole.
+class, of texts of 1 to `longest` bytes, by hash of the id. The first half of a class, whole texts end to
+end, is the content of its dictionary (per_class / 2 * longest bytes at most); the other half fits the
+calibration, weighted to the classes' shares among all labelled rows. Every text is scored, whole.
 
 Nulls: a null text is empty, and an empty text's score is the share of good labels; rows with a null
 label are not learnt from; rows with a null id are in no held-out fold. A document labelled twice
-is good if at least half of its labels are. Repeated rows are scored alike. Without labels of
-both classes the score is the share of good labels, or 0.5 without any. Extra columns are kept.
+is good if at least half of its labels are; of rows that repeat an id the least text is learnt from. Repeated
+rows are scored alike. Without texts of both classes the score is the share of good labels, or 0.5 without
+any labels. Extra columns are kept.
 """
 
 from __future__ import annotations
@@ -26,7 +30,8 @@ from pyspark.sql.types import DoubleType
 
 from quizloom.llm.common import fold
 
-DICTIONARY = 1 << 19
+#: Bytes that are compressed by themselves, and bytes of average difference that are added to a text.
+BLOCK, PRIOR = 2048, 32
 
 
 class Model:
@@ -35,7 +40,7 @@ class Model:
     def __init__(self, good: bytes, bad: bytes, share: float, level: int) -> None:
         self.good, self.bad, self.share, self.level = good, bad, share, level
         prior = np.log(share / (1 - share)) if 0 < share < 1 else (20.0 if share else -20.0)
-        self.weights, self.centre, self.spread = np.r_[prior, np.zeros(20)], np.zeros(20), np.ones(20)
+        self.weights, self.mean = np.array([prior, 0.0]), 0.0
         self._by: list | None = None
 
     def __getstate__(self) -> dict:
@@ -52,27 +57,29 @@ class Model:
                 self._by.append(zstandard.ZstdCompressor(dict_data=held, level=self.level, write_checksum=False, write_content_size=False, write_dict_id=False))
         return self._by
 
-    def features(self, texts: list[bytes]) -> np.ndarray:
-        """The difference of the sizes over their sum and over the length, either size over the length,
-        the length's logarithm, and their products; zeros for empty texts."""
+    def saved(self, texts: list[bytes]) -> np.ndarray:
+        """How many bytes the good dictionary saves beyond the bad one, over all blocks."""
         if not (self.good and self.bad and texts):
-            return np.zeros((len(texts), 20))
-        good, bad = (np.array([len(c.compress(t)) for t in texts], float) for c in self.compressors())
-        n = np.maximum([len(t) for t in texts], 1.0)
-        x = np.stack([10 * (bad - good) / (bad + good), 10 * (bad - good) / n, good / n, bad / n, np.log(n) / 10], 1)
-        x = np.concatenate([x, *(x[:, i : i + 1] * x[:, i:] for i in range(5))], 1)
-        x[[not t for t in texts]] = 0
-        return x
-
-    def calibrate(self, x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1.0) -> None:
+            return np.zeros(len(texts))
+        sizes = lambda c, t: sum(len(c.compress(t[at : at + BLOCK])) for at in range(0, len(t), BLOCK))
+        good, bad = (np.array([sizes(c, t) for t in texts], float) for c in self.compressors())
+        return bad - good
+
+    def differences(self, texts: list[bytes]) -> np.ndarray:
+        """What the good dictionary saves beyond the bad one, in hundredths of a text's length and the prior's."""
+        n = np.array([len(t) for t in texts], float)
+        return (100 * self.saved(texts) + PRIOR * self.mean) / (n + PRIOR)
+
+    def calibrate(self, texts: list[bytes], y: np.ndarray, steps: int = 60, ridge: float = 1e-3) -> None:
         """Logistic regression of the label, by Newton's method, weighted to the classes' shares.
 
         A step is halved until the loss falls, so that it ends at the only minimum.
         """
         weight = np.where(y == 1, self.share / (y == 1).mean(), (1 - self.share) / (y == 0).mean())
-        self.centre, self.spread = x.mean(0), x.std(0) + 1e-9
-        a = np.concatenate([np.ones((len(x), 1)), (x - self.centre) / self.spread], 1)
-        w, pull = np.zeros(21), ridge * np.r_[0.0, np.ones(20)]
+        n = np.array([len(t) for t in texts], float)
+        self.mean = float(np.average(100 * self.saved(texts) / np.maximum(n, 1), weights=weight))
+        x = self.differences(texts)
+        a, w, pull = np.stack([np.ones(len(x)), x], 1), np.zeros(2), np.array([0.0, ridge])
 
         def loss(w: np.ndarray) -> float:
             z = a @ w
@@ -92,19 +99,13 @@ class Model:
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """0 to 1; an empty text has the classes' share."""
-        x = self.features(texts)
-        z = self.weights[0] + ((x - self.centre) / self.spread) @ self.weights[1:]
+        z = self.weights[0] + self.weights[1] * self.differences(texts)
         out = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         out[[not t for t in texts]] = self.share
         return out
 
 
-def dictionary(texts: list[bytes], size: int = DICTIONARY) -> bytes:
-    """The texts end to end, as the content of a zstandard dictionary."""
-    return b"\n".join(texts)[:size]
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", learn: Column | None = None, per_class: int = 3000, longest: int = 1 << 16, level: int = 6) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", learn: Column | None = None, per_class: int = 3000, longest: int = 1 << 14, level: int = 9) -> Model:
     """Learns from at most per_class rows of either class, among those where learn holds."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     if learn is not None:
@@ -113,23 +114,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n, share = known.agg(F.count("*"), F.avg("label")).first()
     if not n:
         return Model(b"", b"", 0.5, level)
-    known = known.withColumn("order", F.xxhash64("id"))
+    # Ids with a text of a fit length come first, so that the sample is as large as it may be.
+    fit_ids = docs.where(F.octet_length(text_col).between(1, longest)).select(F.col(id_col).cast("long").alias("id"))
+    known = known.join(fit_ids.distinct(), "id", "left_semi").withColumn("order", F.xxhash64("id"))
     picked = known.where("label = 1").orderBy("order", "id").limit(per_class).unionByName(known.where("label = 0").orderBy("order", "id").limit(per_class))
     # At most 2 * per_class rows, so they can be sent to every task.
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text").between(1, longest))
     rows = texts.join(F.broadcast(picked), "id").groupBy("id").agg(F.min("label").alias("label"), F.min("text").alias("text"), F.min("order").alias("order")).toArrow()
-    order = np.argsort(rows["order"].to_numpy(), kind="stable")
+    order = np.lexsort((rows["id"].to_numpy(), rows["order"].to_numpy()))
     label = rows["label"].to_numpy()[order]
     text = [t.encode() for t in rows["text"].take(pa.array(order)).to_pylist()]
     half = np.zeros(len(label), bool)
     for c in (0, 1):
         at = np.flatnonzero(label == c)
         half[at[: (len(at) + 1) // 2]] = True
-    good, bad = ([text[i] for i in np.flatnonzero(half & (label == c))] for c in (1, 0))
-    model = Model(dictionary(good) if good else b"", dictionary(bad) if bad else b"", float(share), level)
+    good, bad = (b"\n".join(text[i] for i in np.flatnonzero(half & (label == c))) for c in (1, 0))
+    model = Model(good, bad, float(share), level)
     rest = np.flatnonzero(~half)
     if good and bad and len(set(label[rest])) == 2:
-        model.calibrate(model.features([text[i] for i in rest]), label[rest])
+        model.calibrate([text[i] for i in rest], label[rest])
     return model
 
 
