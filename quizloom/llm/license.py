@@ -1,8 +1,8 @@
 """License scan by canonical digest, in DataFrame operations only.
 
 A text is normalised (lower case, spellings that mean the same, copyright statements dropped,
-punctuation and white space to single spaces) and the digest of the whole of it is hash-joined to the digests of
-known licences: `KNOWN` and the whole texts in the folder `licenses`, or a table of the caller's. The
+punctuation of any script's quotes and dashes, and white space, to single spaces) and the digest of the whole of it is hash-joined to the digests of
+known licences: `KNOWN` and the whole texts in the folder `licenses`, each also below its usual titles, or a table of the caller's. The
 fixed ones are few, so they are broadcast. How a text is cut into lines doesn't matter.
 
 Nulls: a null text is empty; an empty canonical text matches nothing. Rows with a null id and
@@ -43,6 +43,18 @@ STATEMENTS = (
     # Whole lines, where none begins.
     "(?md)^[^a-z0-9\\n]*(?:" + _OWNER + "|all rights reserved)(?:(?!" + OPENING + ")[^\\n])*$",
 )
+#: Punctuation and spaces beyond ASCII.
+MARKS = "\u00a0\u00ab\u00b7\u00bb\u2002\u2003\u2009\u200b\u2010\u2011\u2012\u2013\u2014\u2015\u2018\u2019\u201a\u201b\u201c\u201d\u201e\u2022\u2026\u2032\u2033\u2039\u203a\u3000\ufeff"
+#: Lines that may stand above a licence's text.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "License: MIT"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "License: ISC"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "0BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "The zlib/libpng License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License", "BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License", "Modified BSD License", "BSD License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
 PUNCTUATION = "[\\x00-/:-@\\[-`{-\\x7f]+"
 
 #: Short public licence texts and notices by SPDX name.
@@ -59,7 +71,7 @@ KNOWN = (
 
 def canonical(text: Column) -> Column:
     """The normalised text; ASCII capitals only are lowered, so that every engine agrees."""
-    out = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    out = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + MARKS, "abcdefghijklmnopqrstuvwxyz" + " " * len(MARKS))
     out = F.regexp_replace(out, F.lit("\\r\\n?"), F.lit("\n"))
     for pattern, replacement in EQUIVALENT:
         # The plain patterns don't need a regular expression.
@@ -75,9 +87,14 @@ def whole_texts() -> tuple[tuple[str, str], ...]:
     return KNOWN + tuple((p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "licenses").glob("*.txt")))
 
 
+def titled_texts() -> tuple[tuple[str, str], ...]:
+    """The whole texts, plain and below each of their titles."""
+    return tuple((name, head + text) for name, text in whole_texts() for head in ("", *(f"{t}\n\n" for t in TITLES.get(name, ()))))
+
+
 def known_digests(spark, known: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
     """license, known_digest of each known text."""
-    rows = F.inline(F.array(*(F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in known or whole_texts())))
+    rows = F.inline(F.array(*(F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in known or titled_texts())))
     return spark.range(1).select(rows).select("license", F.sha2(canonical(F.col("text")), 256).alias("known_digest"))
 
 

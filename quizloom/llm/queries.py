@@ -120,7 +120,7 @@ FROM placed WHERE passes > 0 OR greatest(0, least(n_tokens, rest - start)) > 0
 
 
 def _canonical(text: str) -> str:
-    out = f"regexp_replace(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\\r\\n?', chr(10), 'g')"
+    out = f"regexp_replace(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ{license.MARKS}', 'abcdefghijklmnopqrstuvwxyz{' ' * len(license.MARKS)}'), '\\r\\n?', chr(10), 'g')"
     for pattern, replacement in license.EQUIVALENT:
         out = f"regexp_replace({out}, '{pattern}', '{replacement}', 'g')"
     out = f"regexp_replace({out}, '{license.COPYRIGHT_LINE.replace('(?md)', '(?m)')}', '', 'g')"
