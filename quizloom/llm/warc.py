@@ -1,12 +1,17 @@
 """Deduplicated web archives: revisit resolution, writing and reading of WARC files.
 
-Headers (digest, id, address; no payload) are aggregated by payload digest: the record with the
-largest id is the response that the others revisit. Only digests that occur more than once are
-joined back, with an exchange on either side, so Spark can split a digest that a third of the
-pages share. Records are text, so Spark's text writer puts them into gzipped archives in the
-shared folder; a record's end (CRLF CRLF) is its line separator. A revisit carries fresh headers
-and no payload. Spark reads the archives as binary files; each task parses whole files, and checks
-every response's digest and length.
+Headers (digest, id, address; no payload) are a table of their own and are aggregated by payload
+digest: the record with the largest id is the response that the others revisit. Headers alone are
+joined with the digests that occur more than once, with an exchange on either side, so Spark can split
+a digest that a third of the pages share; that gives the revisits, which need no payload. Responses
+pass no exchange: a bit table says whose digest may be repeated, another which of those may be the
+response, and only pages that pass both are joined to be sure.
+
+Records are text, so Spark's text writer puts them into gzipped archives in the shared folder; a
+record's end (CRLF CRLF) is its line separator. A file is bounded in bytes: pages are written by size
+classes, each with as many records to a file as fit in FILE_BYTES. A revisit carries fresh headers and
+no payload. Spark reads the archives as binary files; each task parses whole files, and checks every
+response's digest and length.
 
 Nulls: a null payload is empty; a null address leaves its header out; a row with a null id is
 written without an id and revisits its digest's response, or is a response itself if no id is known.
@@ -17,6 +22,7 @@ never revisits. Extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import datetime
 import gzip
 import hashlib
 import io
@@ -26,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizloom.llm.common import materialise, new_path
+from quizloom.llm.common import id_table, materialise, may_hold, new_path
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = "\r\n"
+#: Payload bytes of the first size class, and those of a file where each record is as long as its class allows.
+SMALL, FILE_BYTES = 1 << 16, 1 << 28
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -45,13 +53,27 @@ def digest_of(payload: Column) -> Column:
 
 
 def resolved(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """pages (id, url, payload, digest, bytes) with refers_to and refers_url, null for responses."""
-    headers = pages.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.max(F.struct("id", "url")).alias("first"), F.count("*").alias("n"))
-    originals = headers.where((F.col("n") > 1) & F.col("first.id").isNotNull())
+    """pages (id, url, payload, digest, bytes) with refers_to and refers_url, null for responses; revisits lack a payload."""
+    heads = materialise(pages.drop("payload"), "headers")
+    # What decides between the rows of a digest; a row without an id is none of those with the largest.
+    key = F.concat_ws(":", "digest", "id").alias("key")
+    asked = heads.where(F.col("bytes") >= min_bytes)
+    originals = asked.groupBy("digest").agg(F.max(F.struct("id", "url")).alias("first"), F.count("*").alias("n"))
+    originals = originals.where((F.col("n") > 1) & F.col("first.id").isNotNull())
     originals = materialise(originals.select("digest", F.col("first.id").alias("to"), F.col("first.url").alias("to_url")), "originals")
-    pages = pages.join(originals, "digest", "left")
-    revisits = F.col("to").isNotNull() & (F.col("bytes") >= min_bytes) & ~F.col("id").eqNullSafe(F.col("to"))
-    return pages.withColumns({"refers_to": F.when(revisits, F.col("to")), "refers_url": F.when(revisits, F.col("to_url"))}).drop("to", "to_url")
+    repeated = id_table(originals, "digest")
+    again = asked.where(may_hold(repeated, "digest")).join(originals, "digest", "left")
+    again = materialise(again.select("digest", "id", "url", "bytes", "to", "to_url"), "again")
+    own = F.col("to").isNull() | F.col("id").eqNullSafe(F.col("to"))
+    answers = materialise(again.where(own).select(key).distinct(), "answers")
+    revisits = again.where(~own).select("id", "url", F.lit(None).cast("string").alias("payload"), "digest", "bytes", F.col("to").alias("refers_to"), F.col("to_url").alias("refers_url"))
+
+    none = {"refers_to": F.lit(None).cast("long"), "refers_url": F.lit(None).cast("string")}
+    first = pages.where((F.col("bytes") < min_bytes) | ~may_hold(repeated, "digest"))
+    # Of pages whose digest may be repeated, those that may be the response; the join decides.
+    some = pages.where(F.col("bytes") >= min_bytes).withColumn("key", key).where(may_hold(repeated, "digest") & may_hold(id_table(answers, "key"), "key"))
+    some = some.join(answers, "key", "left_semi").drop("key")
+    return revisits.unionByName(first.withColumns(none)).unionByName(some.withColumns(none))
 
 
 def _record_id(id_: Column, digest: Column) -> Column:
@@ -88,12 +110,21 @@ def record(date: str) -> Column:
     )
 
 
-def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 20_000) -> None:
-    """Writes the archives part-*.txt.gz under path."""
+def size_class(bytes_: Column) -> Column:
+    """0 for payloads of up to SMALL bytes, one more for each four times that."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(bytes_, F.lit(1)) / SMALL) / 2)).cast("int")
+
+
+def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, date: str | None = None) -> None:
+    """Writes the archives size=*/part-*.txt.gz under path; records are dated now unless date is given."""
+    date = date or datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.octet_length(payload).cast("long").alias("bytes"), digest_of(payload).alias("digest"))
-    out = resolved(rows, min_bytes).select(record(date).alias("value"))
-    out.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    rows = resolved(rows, min_bytes).withColumn("size", F.when(F.col("refers_to").isNull(), size_class(F.col("bytes"))).otherwise(0))
+    largest = pages.select(size_class(F.octet_length(payload)).alias("size")).agg(F.max("size")).first()[0]
+    for size in range(1 + (largest or 0)):
+        out = rows.where(F.col("size") == size).select(record(date).alias("value"))
+        out.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", max(1, FILE_BYTES // (SMALL * 4**size))).text(f"{path}/size={size}")
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -134,7 +165,7 @@ def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """A row per record of the archives under path."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInArrow(_read_rows, READ)
 
 
