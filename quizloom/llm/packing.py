@@ -15,6 +15,7 @@ are packed separately. Extra columns are ignored.
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -27,17 +28,29 @@ from pyspark.sql import functions as F
 from quizloom.llm.common import materialise
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
-ROWS_IN_BLOCK = 50_000
+#: Pieces of a length that a block, a group of one task, is to hold.
+ROWS_IN_BLOCK = 1024
 #: Entries of an encoder's memory, some 200 bytes each.
 WORDS_HELD, PARTS_HELD = 800_000, 600_000
 SIMPLE = re.compile(rb"([A-Za-z]+)([.,;:!?]*)")
 _encoders: dict[str, Callable[[str], bytes]] = {}
 
 
+def cuts_words(path: str) -> bool:
+    """Whether a tokenizer's file says that it lower-cases and first of all keeps only what a pattern finds,
+    which takes letters and marks apart."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    steps = [(told.get(kind) or {}).get(parts) or [told.get(kind) or {}] for kind, parts in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+    first = steps[1][0]
+    found = (first.get("pattern") or {}).get("Regex", "")
+    return any(s.get("type") == "Lowercase" for s in steps[0]) and first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and found.endswith("[^\\s\\p{L}\\p{N}]+") and "[\\p{L}]+" in found
+
+
 def word_encoder(path: str) -> Callable[[str], bytes]:
-    """Encodes whole texts with a lower-casing tokenizer that drops white space, word by word.
+    """Encodes whole texts; those of a lower-casing tokenizer that drops white space, word by word.
 
-    Such a tokenizer never joins what white space parts, nor a letter and a mark, so each distinct
+    Such a tokenizer (others get whole texts) never joins what white space parts, nor a letter and a mark, so each distinct
     word, and each run of ASCII letters or marks in one, is encoded once and remembered. The
     memory is bounded: once it is full, other words are encoded again. Ids are 4 bytes each.
     """
@@ -48,6 +61,9 @@ def word_encoder(path: str) -> Callable[[str], bytes]:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        if not cuts_words(path):
+            _encoders[path] = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return _encoders[path]
         held: dict[bytes, bytes] = {}
         parts: dict[bytes, bytes] = {}
 
@@ -204,8 +220,10 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         histogram[length] = n
     shared = docs.sparkSession.sparkContext.broadcast(places(plan(histogram, limit)))
 
-    blocks = int(histogram.sum()) // ROWS_IN_BLOCK + 1
-    pieces = pieces.withColumn("block", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(blocks)))
+    # As many blocks as a length has pieces for; a row per length, so at most `limit` rows are broadcast.
+    there = [(int(n), int(histogram[n]) // ROWS_IN_BLOCK + 1) for n in np.flatnonzero(histogram)]
+    blocks = docs.sparkSession.createDataFrame(there, "length long, blocks int")
+    pieces = pieces.join(F.broadcast(blocks), "length").withColumn("block", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), "blocks")).drop("blocks")
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     counts = pieces.groupBy("length", "block").count()
     counts = materialise(counts.select("length", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before")), "blocks")
