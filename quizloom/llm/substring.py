@@ -162,6 +162,8 @@ def segment_rows(window: int, gram: int, shared, busy, wanted=None):
                 own = ids[lo:][of]
                 if wanted:
                     keep = np.flatnonzero(has_bit(wanted.value, _wanted(digest, own.astype(np.uint64))))
+                    # A passage that a document repeats is sent once.
+                    keep = np.sort(keep[np.unique(mix(digest[keep] ^ mix(own[keep].astype(np.uint64))), return_index=True)[1]])
                     d = data.tobytes()
                     text = [b" ".join(d[starts[a] : ends[a + m - 1]].split()).decode() for a, m in zip(s[keep], n[keep])]
                     yield pa.record_batch({"key": pa.array(key[keep].view(np.int64)), "digest": pa.array(digest[keep].view(np.int64)), "first": pa.array(own[keep]), "words": pa.array(text, pa.string())})
