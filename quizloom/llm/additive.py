@@ -13,8 +13,8 @@ Queries and rows are dealt to blocks of bounded size; each block of queries meet
 rows in a task of its own and returns no more than k rows a query.
 
 Vectors that are null, zero or of another length than most, hold null or non-finite components or
-have a null id take no part. Rows that repeat a query's id are that query's own. Extra columns are
-ignored.
+have a null id take no part. Rows that repeat a query's id are that query's own; of rows that repeat
+another id the nearest counts. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizloom.llm.common import materialise
-from quizloom.llm.vectors import bounded_sample, distances, k_means, matrix, unit, usable
+from quizloom.llm.vectors import bounded_sample, distances, k_means, matrix, scaled, unit, usable
 
 ROWS, QUERIES = 8192, 1024
 
@@ -69,7 +69,7 @@ def nearest(rows: DataFrame, queries: Column, id_col: str = "vec_id", vector_col
                 codes, norms, errors = encode(unit(matrix(part.column("v"))), shared.value, beam)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array(errors)], [*part.schema.names, "codes", "norm", "error"])
 
-    index = materialise(good.mapInArrow(coded, "id long, v array<double>, codes binary, norm double, error double"), "index")
+    index = materialise(good.mapInArrow(coded, f"id long, v {good.schema['v'].dataType.simpleString()}, codes binary, norm double, error double"), "index")
     row_blocks, query_blocks = n // ROWS + 1, asked // QUERIES + 1
     salt = lambda blocks: F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
@@ -78,7 +78,7 @@ def nearest(rows: DataFrame, queries: Column, id_col: str = "vec_id", vector_col
 
     def searched(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
-        ids, asks, norm, x = table["id"].to_numpy(), table["asks"].to_numpy(), table["norm"].to_numpy(), matrix(table["v"])
+        ids, asks, norm, x = table["id"].to_numpy(), table["asks"].to_numpy(), table["norm"].to_numpy(), scaled(matrix(table["v"]))
         ask, at = np.flatnonzero(asks), np.flatnonzero(~asks)
         codes = np.frombuffer(b"".join(table["codes"].take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1)
         size = np.sqrt((x * x).sum(1))
@@ -112,6 +112,6 @@ def nearest(rows: DataFrame, queries: Column, id_col: str = "vec_id", vector_col
         q, v, s = (np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         return pa.table({"query_id": q, "vec_id": v, "score": s})
 
-    found = a.unionByName(b).groupBy("r", "q").applyInArrow(searched, "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id"])
+    found = a.unionByName(b).groupBy("r", "q").applyInArrow(searched, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

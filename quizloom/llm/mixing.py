@@ -7,12 +7,12 @@ never gets more than its subtree can give, a shortage reaches the ancestors only
 is left. Splits are in whole tokens and sum to the budget exactly.
 
 A leaf with T tokens and an allotment of e * T + r tokens gives e whole epochs, and of the next one
-the first r tokens in the seeded order of that epoch: md5 of seed, epoch and id. Where a leaf's
+the first r tokens in the seeded order of that epoch: md5 of seed, epoch and id (of a row without an id,
+of its text's md5). Where a leaf's
 prefix ends is found without sorting the leaf: rows fall into buckets by the hash's first digits,
 bucket sums are accumulated per leaf, and only inside a bucket are rows ordered.
 
-Nulls in domain, language or source are the empty string; a null text has no tokens; rows with a
-null id are ordered first. Repeated rows count as often as they occur. An empty table gives an
+Nulls in domain, language or source are the empty string; a null text has no tokens. Repeated rows count as often as they occur. An empty table gives an
 empty result. Weights are whole numbers; children without one have weight 1; weight 0 gives none.
 """
 
@@ -96,8 +96,9 @@ def mixed(docs: DataFrame, domain: Column, budget_share: float, epochs: int, wei
     The budget is budget_share of all tokens. row_col, a key of the rows, is kept and orders rows of equal ids.
     """
     key = [row_col] if row_col else []
+    nameless = F.when(F.col(id_col).cast("long").isNull(), F.md5(F.coalesce(text_col, F.lit("")).cast("binary")))
     plain = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), plain(domain).alias("domain"), plain(F.col(lang_col)).alias("language"), plain(F.col(source_col)).alias("source"), tokens(F.col(text_col)).alias("n_tokens"), *key)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), plain(domain).alias("domain"), plain(F.col(lang_col)).alias("language"), plain(F.col(source_col)).alias("source"), tokens(F.col(text_col)).alias("n_tokens"), nameless.alias("nameless"), *key)
     rows = materialise(rows, "tokens")
     leaf = ["domain", "language", "source"]
     leaves = materialise(rows.groupBy(*leaf).agg(F.sum("n_tokens").alias("total"), F.count("*").alias("n")), "leaves")
@@ -105,7 +106,7 @@ def mixed(docs: DataFrame, domain: Column, budget_share: float, epochs: int, wei
     given = leaf_budgets(leaves.drop("n"), budget, epochs, weights).join(leaves.select(*leaf, "n"), leaf)
     given = given.withColumns({"passes": F.expr("allotment div total"), "rest": F.expr("allotment % total"), "buckets": F.expr(f"1 + n div {BUCKET_ROWS}")})
     given = materialise(given.where("allotment > 0").select(*leaf, "passes", "rest", "buckets"), "given")
-    rows = rows.join(given, leaf).withColumn("order", F.md5(F.concat_ws(":", F.lit(seed), F.col("passes").cast("string"), F.col("id").cast("string")).cast("binary")))
+    rows = rows.join(given, leaf).withColumn("order", F.md5(F.concat_ws(":", F.lit(seed), F.col("passes").cast("string"), F.coalesce(F.col("id").cast("string"), "nameless")).cast("binary")))
     # The first 28 bits of the order, cut into as many equal ranges as the leaf has buckets.
     rows = rows.withColumn("bucket", F.expr("(cast(conv(substring(order, 1, 7), 16, 10) as bigint) * buckets) div 268435456"))
     sums = rows.groupBy(*leaf, "bucket").agg(F.sum("n_tokens").alias("here"))

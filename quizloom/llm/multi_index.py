@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizloom.llm.common import components, materialise
+from quizloom.llm.common import components, materialise, tidy
 from quizloom.llm.vectors import bounded_sample, distances, k_means, matrix, unit, usable
 
 LISTED, VISITING = 1024, 4096
 #: Vectors compared with all rows to fix the visits, and the fewest visits.
 ASKED, LEAST = 1024, 8
+#: Vectors that a cell is to list, and the fewest centres of a half.
+CELL, LEAST_CENTRES = 256, 32
 
 
 class Grid:
@@ -48,18 +50,22 @@ class Grid:
         i, j = np.divmod(first, tops[1].shape[1])
         return np.take_along_axis(tops[0], i, 1) * len(self.books[1]) + np.take_along_axis(tops[1], j, 1)
 
-    def ranks(self, x: np.ndarray) -> np.ndarray:
-        """The place of every cell in each row's order."""
-        return np.argsort(self.order(x, self.cells), axis=1).astype(np.int32)
+    def rank(self, x: np.ndarray, row: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """The place of each cell in the order of its row of x: how many cells are nearer."""
+        a, b = (distances(h, book) for h, book in zip((x[:, : self.cut], x[:, self.cut :]), self.books))
+        in_order = np.sort(b, axis=1)
+        i, j = np.divmod(cell, len(self.books[1]))
+        room = (a[row, i] + b[row, j])[:, None] - a[row]
+        return np.array([np.searchsorted(in_order[r], m).sum() for r, m in zip(row, room)], np.int64)
 
 
 def enough(grid: Grid, classes: DataFrame, threshold: float, recall: float) -> int:
     """Cells to visit so that links of up to ASKED vectors with all rows are found from either end."""
     asked = bounded_sample(classes, ASKED)
-    shared = classes.sparkSession.sparkContext.broadcast((grid, asked, grid.ranks(asked), grid.order(asked, 1)[:, 0]))
+    shared = classes.sparkSession.sparkContext.broadcast((grid, asked, grid.order(asked, 1)[:, 0]))
 
     def linked(batches):
-        grid, asked, ranks, home = shared.value
+        grid, asked, home = shared.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 x = unit(matrix(batch.column("v").slice(lo, 512)))
@@ -67,12 +73,15 @@ def enough(grid: Grid, classes: DataFrame, threshold: float, recall: float) -> i
                 other = (x[i] != asked[q]).any(1)
                 i, q = i[other], q[other]
                 if len(i):
-                    which, back = np.unique(i, return_inverse=True)
-                    best = np.minimum(grid.ranks(x[which])[back, home[q]], ranks[q, grid.order(x[which], 1)[back, 0]])
+                    own = grid.order(x, 1)[:, 0]
+                    # Near vectors lie in few cells, so each row and cell is asked for once.
+                    there, back = np.unique(np.stack([i, home[q]]), axis=1, return_inverse=True)
+                    here, forth = np.unique(np.stack([q, own[i]]), axis=1, return_inverse=True)
+                    best = np.minimum(grid.rank(x, *there)[back.ravel()], grid.rank(asked, *here)[forth.ravel()])
                     rank, n = np.unique(best, return_counts=True)
-                    yield pa.record_batch({"rank": pa.array(rank, pa.int32()), "n": pa.array(n, pa.int64())})
+                    yield pa.record_batch({"rank": pa.array(rank, pa.int64()), "n": pa.array(n, pa.int64())})
 
-    found = classes.select("v").mapInArrow(linked, "rank int, n long").groupBy("rank").agg(F.sum("n").alias("n")).orderBy("rank").toArrow()
+    found = classes.select("v").mapInArrow(linked, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).orderBy("rank").toArrow()
     if not found.num_rows:
         return grid.visits
     n = np.cumsum(found["n"].to_numpy())
@@ -123,14 +132,16 @@ def block_links(threshold: float):
     return rows
 
 
-def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, recall: float = 0.995, centres: int = 32, sample: int = 20_000) -> DataFrame:
-    """A row per row of rows: id, n_links, component_id, kept."""
+@tidy
+def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, recall: float = 0.995, centres: int | None = None, sample: int = 20_000) -> DataFrame:
+    """A row per row of rows: id, n_links, component_id, kept. Without centres, as many as leave CELL vectors
+    to a cell, LEAST_CENTRES at least and a quarter of the sample at most."""
     good = usable(rows, id_col, vector_col).withColumn("class", F.struct(F.xxhash64("v").alias("a"), F.xxhash64("v", F.lit(1)).alias("b")))
     good = materialise(good, "vectors")
     classes = materialise(good.groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("weight"), F.any_value("v").alias("v")), "classes")
     vectors, grid = classes.select(F.col("rep").alias("id"), "v"), None
-    if not classes.isEmpty():
-        grid = Grid(bounded_sample(vectors, sample), centres)
+    if n := classes.count():
+        grid = Grid(bounded_sample(vectors, sample), centres or min(max(LEAST_CENTRES, int((n / CELL) ** 0.5)), sample // 4))
         grid.visits = enough(grid, vectors, threshold, recall)
     shared = rows.sparkSession.sparkContext.broadcast(grid)
 
@@ -142,7 +153,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 visits = pa.ListArray.from_arrays(pa.array(np.arange(len(cells) + 1, dtype=np.int32) * cells.shape[1]), pa.array(cells.ravel()))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cells[:, 0].copy()), visits], [*part.schema.names, "home", "visits"])
 
-    index = classes.select(F.col("rep").alias("id"), "weight", "v").mapInArrow(indexed, "id long, weight long, v array<double>, home int, visits array<int>")
+    index = classes.select(F.col("rep").alias("id"), "weight", "v").mapInArrow(indexed, f"id long, weight long, v {classes.schema['v'].dataType.simpleString()}, home int, visits array<int>")
     index = materialise(index, "index")
     # Sizes of cells: at most centres * centres rows.
     listed = index.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count("*") / LISTED).cast("int").alias("lists"))

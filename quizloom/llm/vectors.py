@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """id and v (array<double>) of rows that take part: no null, zero or non-finite vector, no null
+    """id and v (array<float> if the vectors are that, else array<double>) of rows that take part: no null, zero or non-finite vector, no null
     id, and as many components as most rows have."""
-    v = F.col(vector_col).cast("array<double>")
+    # Floats are exact in double precision, where all is computed; they are half as much to move.
+    v = F.col(vector_col).cast("array<float>" if rows.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>")
     rows = rows.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(
         F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     )
@@ -27,6 +28,11 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows by powers of two, so that no square overflows; directions stay exact."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1]) if x.size else x
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     big = np.abs(x).max(1, keepdims=True) if x.size else np.ones((len(x), 1))
     x = x / big
