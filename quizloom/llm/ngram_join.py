@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quizloom.llm.common import HELD, LOWER, Counter, bit_table, components, gram_hashes, has_bit, id_table, materialise, may_hold, mix, split_words, table_bits, text_chunks, tidy, word_hashes
+from quizloom.llm.common import HELD, LOWER, Counter, bit_table, components, gram_hashes, has_bit, id_table, lean, materialise, may_hold, mix, split_words, table_bits, text_chunks, tidy, word_hashes
 
 SIGNATURE_BITS = 2048
 BLOCK = 1024
@@ -98,7 +98,7 @@ def set_rows(k: int):
                     }
                 )
 
-    return rows
+    return lean(rows)
 
 
 def _of(batch: pa.RecordBatch, reps) -> pa.RecordBatch:
@@ -124,7 +124,7 @@ def count_rows(k: int, percent: int, reps):
                     counter = Counter()
         yield passed()
 
-    return rows
+    return lean(rows)
 
 
 def prefix_rows(k: int, percent: int, reps, shared, common):
@@ -151,7 +151,7 @@ def prefix_rows(k: int, percent: int, reps, shared, common):
                         key = mix(flat ^ (band + np.uint64(not own)) * np.uint64(0x9E3779B97F4A7C15))
                     yield pa.record_batch({"key": pa.array(key.view(np.int64)), "id": pa.array(ids[lo:][row]), "n": pa.array(n[row]), "pos": pa.array(pos), "own": pa.array(np.full(len(row), own))})
 
-    return rows
+    return lean(rows)
 
 
 def _linked(na, nb, overlap, percent: int):
@@ -194,7 +194,7 @@ def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     sigs = materialise(sets.where("n > 0").select("id", "n", "sig").where(may_hold(id_table(_ends(pairs), "id"), "id")), "paired")
     near = pairs.join(sigs.toDF("a", "na", "sa"), "a").join(sigs.toDF("b", "nb", "sb"), "b")
-    return near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(rows, "a long, b long").distinct()
+    return near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lean(rows), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -213,7 +213,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 
     near = materialise(pairs, "near")
     docs = materialise(docs.where(may_hold(id_table(_ends(near), "id"), "id")), "texts")
-    return near.join(docs.toDF("a", "ta"), "a").join(docs.toDF("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(rows, "a long, b long").distinct()
+    return near.join(docs.toDF("a", "ta"), "a").join(docs.toDF("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(lean(rows), "a long, b long").distinct()
 
 
 def tile_pairs(percent: int):
@@ -256,7 +256,7 @@ def tile_pairs(percent: int):
                     yield pa.record_batch({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
             step += 1
 
-    return rows
+    return lean(rows)
 
 
 @tidy

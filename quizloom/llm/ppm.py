@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizloom.llm.common import HELD, LOWER, Counter, fold, materialise, split_words, text_chunks, word_hashes
+from quizloom.llm.common import HELD, LOWER, Counter, fold, lean, materialise, split_words, text_chunks, word_hashes
 
 END = 0xFF
 WORDS, GRAMS, ENDS, UNTRAINED = 0, 1, 2, 3
@@ -85,7 +85,7 @@ def count_rows(order: int):
             yield passed(kind)
         yield pa.record_batch({"kind": pa.array([ENDS], pa.int32()), "key": pa.array([0], pa.int64()), "n": pa.array([ends], pa.int64())})
 
-    return rows
+    return lean(rows)
 
 
 class Lookup:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quizloom.llm.common import bit_table, gram_hashes, has_bit, id_table, materialise, may_hold, mix, split_words, table_bits, text_chunks, tidy, word_hashes
+from quizloom.llm.common import bit_table, gram_hashes, has_bit, id_table, lean, materialise, may_hold, mix, split_words, table_bits, text_chunks, tidy, word_hashes
 
 BUSY = 1000
 SEGMENT = 64
@@ -122,7 +122,7 @@ def anchor_rows(window: int, gram: int):
                 new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]) if len(row) else np.empty(0, np.int64)
                 yield pa.record_batch({"anchor": pa.array(anchor[new].view(np.int64)), "id": pa.array(ids[lo:][row[new]])})
 
-    return rows
+    return lean(rows)
 
 
 def _wanted(digest: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -179,7 +179,7 @@ def segment_rows(window: int, gram: int, shared, busy, wanted=None):
                     }
                 )
 
-    return rows
+    return lean(rows)
 
 
 def shard_rows(window: int):
@@ -218,7 +218,7 @@ def shard_rows(window: int):
                     out.append((k, digest, doc, a, b))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [()] * 5, kind)], schema=kind)
 
-    return rows
+    return lean(rows)
 
 
 @tidy
@@ -258,44 +258,50 @@ def kept_words(words: list[bytes], froms, tos) -> list[bytes]:
     return [w for w, k in zip(words, np.cumsum(change[:-1]).tolist()) if not k]
 
 
-def untouched(table):
+def untouched(table, text: str):
     """Rows whose id isn't in the table lose nothing."""
+    remove = removing(text)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rest = batch.filter(pa.array(~has_bit(table.value, batch.column("__h").to_numpy().view(np.uint64)))).drop_columns(["__h"])
             none = pa.nulls(rest.num_rows, pa.list_(pa.int32()))
-            yield from _removing([pa.RecordBatch.from_arrays([*rest.columns, none, none], [*rest.schema.names, "__froms", "__tos"])])
+            yield from remove([pa.RecordBatch.from_arrays([*rest.columns, none, none], [*rest.schema.names, "__froms", "__tos"])])
 
-    return rows
+    return lean(rows)
 
 
-def _removing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (whole.slice(lo, 500) for whole in batches for lo in range(0, max(1, whole.num_rows), 500)):
-        keep, count, less = [], [], []
-        for text, froms, tos in zip(batch.column("__text"), batch.column("__froms"), batch.column("__tos")):
-            words = (text.as_py() or "").encode().split()
-            left = kept_words(words, np.asarray(froms.values), np.asarray(tos.values)) if froms.is_valid and len(words) else words
-            keep.append(b" ".join(left).decode())
-            count.append(len(words))
-            less.append(len(words) - len(left))
-        own = [c for c in batch.schema.names if c not in ("__text", "__froms", "__tos")]
-        columns = [*(batch.column(c) for c in own), pa.array(keep, pa.string()), pa.array(count, pa.int64()), pa.array(less, pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, [*own, "kept", "n_words", "n_removed"])
+def removing(text: str):
+    """Rows with kept, n_words and n_removed by the spans of the column text that they lose."""
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(lo, 500) for whole in batches for lo in range(0, max(1, whole.num_rows), 500)):
+            keep, count, less = [], [], []
+            for t, froms, tos in zip(batch.column(text), batch.column("__froms"), batch.column("__tos")):
+                words = (t.as_py() or "").encode().split()
+                left = kept_words(words, np.asarray(froms.values), np.asarray(tos.values)) if froms.is_valid and len(words) else words
+                keep.append(b" ".join(left).decode())
+                count.append(len(words))
+                less.append(len(words) - len(left))
+            own = [c for c in batch.schema.names if c not in ("__froms", "__tos")]
+            columns = [*(batch.column(c) for c in own), pa.array(keep, pa.string()), pa.array(count, pa.int64()), pa.array(less, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*own, "kept", "n_words", "n_removed"])
+
+    return lean(rows)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, gram: int = 6) -> DataFrame:
-    """docs with kept (the words left, joined by one space), n_words and n_removed; own columns of these names are replaced."""
+    """docs with kept (the words left, joined by one space), n_words and n_removed; other own columns of these names are replaced."""
     version = F.xxhash64(text_col)
     bare = docs.select(F.col(id_col).cast("long").alias("id"), version.alias("version"), F.col(text_col).alias("text"))
     spans = removed_spans(bare, window, gram).toDF("__id", "__version", "__froms", "__tos")
-    docs = docs.drop("kept", "n_words", "n_removed")
-    rows = docs.withColumns({"__row_id": F.col(id_col).cast("long"), "__row_version": version, "__text": F.col(text_col)})
+    docs = docs.drop(*({"kept", "n_words", "n_removed"} - {id_col, text_col}))
+    rows = docs.withColumns({"__row_id": F.col(id_col).cast("long"), "__row_version": version})
     # Only documents that may lose words go through the exchange of the join.
     table = id_table(spans, "__id")
     fits = (F.col("__row_id") == F.col("__id")) & (F.col("__row_version") == F.col("__version"))
     losing = materialise(rows.where(may_hold(table, "__row_id")), "losing")
-    losing = losing.join(spans, fits, "left").select(*docs.columns, "__text", "__froms", "__tos")
-    rest = rows.select(*docs.columns, "__text", F.xxhash64("__row_id").alias("__h"))
+    losing = losing.join(spans, fits, "left").select(*docs.columns, "__froms", "__tos")
+    rest = rows.select(*docs.columns, F.xxhash64("__row_id").alias("__h"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "kept string, n_words long, n_removed long"])
-    return losing.mapInArrow(_removing, schema).unionByName(rest.mapInArrow(untouched(table), schema))
+    return losing.mapInArrow(removing(text_col), schema).unionByName(rest.mapInArrow(untouched(table, text_col), schema))
