@@ -1,8 +1,8 @@
 """A training corpus from `documents`: filter, deduplicate, mix and pack.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the
-columns of documents; the last returns packed pieces. Nulls, repeats and extra columns: see the
-operators.
+columns of documents; the last returns packed pieces. Stages that end in a Python step write its result,
+in the small batches of `materialise`. Nulls, repeats and extra columns: see the operators.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ MIX_SHARE = 0.9
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores 0.7 or more."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), learn=quality.learnable())
-    return quality.with_score(docs, model, score_col="__score").where(F.col("__score") >= 0.7).select(*docs.columns)
+    return materialise(quality.with_score(docs, model, score_col="__score").where(F.col("__score") >= 0.7).select(*docs.columns), "good")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,11 +44,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the 13-word passages of earlier ones; those with no other words go."""
-    out = substring.remove_repeats(docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row")))
-    out = out.where("n_removed = 0 or n_removed < n_words")
-    changed = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
-    own = (F.when(F.col("n_removed") > 0, changed[c]).otherwise(F.col(f"__row.{c}")).alias(c) if c in changed else F.col(f"__row.`{c}`") for c in docs.columns)
-    return out.select(*own)
+    others = F.struct(*(c for c in docs.columns if c != "text")).alias("__others")  # whatever their names
+    out = substring.remove_repeats(docs.select("doc_id", "text", others)).where("n_removed = 0 or n_removed < n_words")
+    changed = F.col("n_removed") > 0
+    own = {c: F.col(f"__others.`{c}`") for c in docs.columns if c != "text"}
+    own |= {"text": F.when(changed, F.col("kept")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("kept").cast("long")).otherwise(own["n_chars"])}
+    return materialise(out.select(*(own[c].alias(c) for c in docs.columns)), "unrepeated")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
