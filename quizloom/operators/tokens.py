@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from quizloom.functions.arrays import attention_mask
+
 SPECIAL = ("<unk>", "<start_of_turn>", "<end_of_turn>")
 #: Turn marks, runs of word characters, single other characters.
 TOKEN = r"<start_of_turn>|<end_of_turn>|[\p{L}\p{M}\p{N}\p{Pc}]+|[^\p{L}\p{M}\p{N}\p{Pc}\s]"
@@ -43,13 +45,14 @@ def encoder(vocabulary: DataFrame) -> Callable[[Column], Column]:
             ends = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())].astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(ends), ids)
 
-    return encode
+    # So that a filter by length isn't pushed below it, which would encode (and render) each text twice.
+    return encode.asNondeterministic()
 
 
 def tokenize(df: DataFrame, text_col: str, encode: Callable[[Column], Column], keep: tuple[str, ...]) -> DataFrame:
     """The kept columns, input_ids and attention_mask."""
     ids = df.withColumn("input_ids", encode(tokens(F.col(text_col))))
-    return ids.select(*keep, "input_ids", F.array_repeat(F.lit(1), F.size("input_ids")).alias("attention_mask"))
+    return ids.select(*keep, "input_ids", attention_mask(F.col("input_ids")).alias("attention_mask"))
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
