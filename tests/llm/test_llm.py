@@ -6,13 +6,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import zstandard
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quizloom.llm import additive, license, mixing, multi_index, ngram_join, packing, ppm, quality, queries, substring, warc
+from quizloom.llm import additive, common, license, mixing, multi_index, ngram_join, packing, ppm, quality, queries, substring, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key long, kept string"
 LONG = " ".join(f"w{i % 977}x{i % 13}" for i in range(30_000))
@@ -41,6 +42,37 @@ def empty(odd):
     return odd.limit(0)
 
 
+def test_hashes_do_not_depend_on_windows(monkeypatch):
+    rng = np.random.default_rng(2)
+    parts = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in [*rng.integers(1, 40, 300), 500_000, 131_072, 131_073, 7]]
+    data = np.frombuffer(b" ".join(parts), np.uint8)
+    starts, ends, first = common.split_words(data, np.array([0, len(data)]))
+    assert [bytes(data[a:b]) for a, b in zip(starts, ends)] == parts and first.tolist() == [0, len(parts)]
+    plain = []
+    for w in parts:
+        total = 0
+        for b in reversed(w):
+            total = (total * int(common._BASE) + b + 1) % (1 << 64)
+        plain.append((total + len(w) * int(common._STEP)) % (1 << 64))
+    assert (common.word_hashes(data, starts, ends) == common.mix(np.array(plain, np.uint64))).all()
+
+
+def test_rows_end_words():
+    texts = ["ab", "", "c", " d", "e ", None, "fg"]
+    (chunk,) = common.text_chunks(pa.array(texts))
+    starts, ends, first = common.split_words(*chunk[2:])
+    assert [bytes(chunk[2][a:b]) for a, b in zip(starts, ends)] == [b"ab", b"c", b"d", b"e", b"fg"] and first.tolist() == [0, 1, 1, 2, 3, 4, 4, 5]
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"w{i * 7919 % 1_000_003}" for i in range(2_000_000))  # some 15 MB
+    df = spark.createDataFrame([(1, long), (2, long + " end"), (3, "x" * 3_000_000), (4, "short one")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_classes(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+    gone = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring.remove_repeats(df).select("doc_id", "n_words", "n_removed").collect()}
+    assert gone == {1: (2_000_000, 0), 2: (2_000_001, 2_000_000), 3: (1, 0), 4: (2, 0)}
+
+
 def words(text):
     return (text or "").encode().split()
 
