@@ -89,16 +89,47 @@ def leaf_budgets(leaves: DataFrame, budget: int, epochs: int, weights: dict[str,
     return leaves.select("domain", "language", "source", "total", F.col("share").alias("allotment"))
 
 
+def leaf_columns(domain: Column, lang_col: str, source_col: str) -> dict[str, Column]:
+    plain = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    return {"domain": plain(domain), "language": plain(F.col(lang_col)), "source": plain(F.col(source_col))}
+
+
+def order_of(seed: str, passes: Column, id_: Column, text: Column) -> Column:
+    """A row's place in the epoch after its passes."""
+    nameless = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.md5(F.concat_ws(":", F.lit(seed), passes.cast("string"), F.coalesce(id_.cast("long").cast("string"), nameless)).cast("binary"))
+
+
+def taken(docs: DataFrame, domain: Column, budget_share: float, epochs: int, weights: dict[str, dict[str, int]], seed: str = "0", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows of docs, as they are, of which the mix takes a part at least; of equal rows all, if one.
+
+    In a leaf these are all rows, or those with words up to a last one in the epoch's order. So a row per
+    leaf is joined, and no text passes an exchange.
+    """
+    leaf, inner = leaf_columns(domain, lang_col, source_col), F.xxhash64(text_col)
+    chosen = mixed(docs.withColumn("__row", inner), domain, budget_share, epochs, weights, seed, id_col, text_col, lang_col, source_col, row_col="__row")
+    place = F.struct("order", F.col(id_col).cast("long").alias("id"), F.col("__row").alias("row"))
+    last = chosen.groupBy(*leaf).agg(F.max("passes").alias("__passes"), F.max(F.when(F.col("prefix_tokens") > 0, place)).alias("__last"))
+    last = materialise(last, "last").withColumnsRenamed({c: f"__{c}" for c in leaf})
+    own = docs.withColumns({f"__own_{c}": of for c, of in leaf.items()})
+    both = own.join(last, [F.col(f"__own_{c}") == F.col(f"__{c}") for c in leaf])
+    order = order_of(seed, F.col("__passes"), F.col(id_col), F.col(text_col))
+    place = F.struct(order.alias("order"), F.col(id_col).cast("long").alias("id"), inner.alias("row"))
+    words = F.coalesce(F.col(text_col), F.lit("")).rlike(WORD)
+    return both.where((F.col("__passes") > 0) | (words & (place <= F.col("__last")))).select(*docs.columns)
+
+
 def mixed(docs: DataFrame, domain: Column, budget_share: float, epochs: int, weights: dict[str, dict[str, int]], seed: str = "0", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """A row per row of docs that is chosen: id, domain, language, source, n_tokens, passes (whole
     epochs) and prefix_tokens (tokens taken in the epoch after those).
 
-    The budget is budget_share of all tokens. row_col, a key of the rows, is kept and orders rows of equal ids.
+    The budget is budget_share of all tokens. row_col, a key of the rows, orders rows of equal ids; it and order are kept.
     """
     key = [row_col] if row_col else []
+    # The text that orders a row without an id; only its digest is kept.
     nameless = F.when(F.col(id_col).cast("long").isNull(), F.md5(F.coalesce(text_col, F.lit("")).cast("binary")))
-    plain = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), plain(domain).alias("domain"), plain(F.col(lang_col)).alias("language"), plain(F.col(source_col)).alias("source"), tokens(F.col(text_col)).alias("n_tokens"), nameless.alias("nameless"), *key)
+    own = leaf_columns(domain, lang_col, source_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), *(c.alias(n) for n, c in own.items()), tokens(F.col(text_col)).alias("n_tokens"), nameless.alias("nameless"), *key)
     rows = materialise(rows, "tokens")
     leaf = ["domain", "language", "source"]
     leaves = materialise(rows.groupBy(*leaf).agg(F.sum("n_tokens").alias("total"), F.count("*").alias("n")), "leaves")
@@ -116,4 +147,4 @@ def mixed(docs: DataFrame, domain: Column, budget_share: float, epochs: int, wei
     rows = rows.join(sums, [*leaf, "bucket"]).withColumn("start", F.col("base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     taken = F.greatest(F.lit(0), F.least(F.col("n_tokens"), F.col("rest") - F.col("start")))
     rows = rows.withColumn("prefix_tokens", taken).where("passes > 0 or prefix_tokens > 0")
-    return rows.select(F.col("id").alias(id_col), *leaf, "n_tokens", "passes", "prefix_tokens", *key)
+    return rows.select(F.col("id").alias(id_col), *leaf, "n_tokens", "passes", "prefix_tokens", *key, *(["order"] if key else []))

@@ -475,7 +475,7 @@ def plain_split(children, budget):
 
 
 def plain_mix(rows, share):
-    """Rows (doc_id, text, lang, source) that are taken in one epoch; rows of one leaf and id are alike here."""
+    """Rows (doc_id, text, lang, source) that are taken in one epoch; rows of one leaf and id are alike here, and go together."""
     weight, leaves = (lambda level, x: queries.WEIGHTS[level].get(x, 1)), {}
     for r in rows:
         number = re.search("[0-9]+", r["source"] or "")
@@ -491,9 +491,12 @@ def plain_mix(rows, share):
                     out += of
                     continue
                 key = lambda r: hashlib.md5(":".join(["7", "0", hashlib.md5((r["text"] or "").encode()).hexdigest() if r["doc_id"] is None else str(r["doc_id"])]).encode()).hexdigest()
+                last = None
                 for r in sorted(of, key=lambda r: (key(r), r["doc_id"] is not None, r["doc_id"] or 0)):
                     n = len(words(r["text"]))
-                    out += [r] if left > 0 and n else []
+                    if n and (left > 0 or (r["doc_id"], r["text"]) == last):  # equal rows go together
+                        out.append(r)
+                        last = (r["doc_id"], r["text"])
                     left -= n
     return out
 
