@@ -55,13 +55,11 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix to the target weights takes, whole if it takes a part.
 
-    The mix decides on each row by itself, also on rows that have no id or repeat one. A text without
-    words has no tokens to take: it stays where the mix takes all of its leaf, and goes elsewhere.
+    The mix decides on each row by itself, also on rows that have no id or repeat one; equal rows go
+    together. A text without words has no tokens to take: it stays where the mix takes all of its leaf,
+    and goes elsewhere.
     """
-    # Written, as a row must have the same key in both reads.
-    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    chosen = mixing.mixed(rows, queries.domain(), MIX_SHARE, 1, queries.WEIGHTS, seed="7", row_col="__row").select("__row")
-    return rows.join(materialise(chosen, "chosen"), "__row", "left_semi").select(*docs.columns)
+    return mixing.taken(docs, queries.domain(), MIX_SHARE, 1, queries.WEIGHTS, seed="7")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
