@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizloom.llm import additive, license, mixing, multi_index, ngram_join, packing, ppm, quality, substring, warc
+from quizloom.llm import additive, license, mixing, multi_index, ngram_join, packing, ppm, quality, spelling, substring, toxicity, warc, whitening
 from quizloom.llm.common import fold
 
 WEIGHTS = {"domain": {"d0": 5, "d1": 3, "d2": 2}, "language": {"en": 4, "de": 2, "fr": 2, "es": 2}, "source": {"src0": 2, "src1": 3}}
@@ -71,7 +71,28 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_model, op2_revisits, op3_mixing, op4_packing, op5_quality, op6_substring, op7_nearest, op8_license, op9_multi_index, op10_ngram_join)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.with_score(docs, table(spark, sf_dir, "labels"), learn=toxicity.learnable())
+    held = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_model, op2_revisits, op3_mixing, op4_packing, op5_quality, op6_substring, op7_nearest, op8_license, op9_multi_index, op10_ngram_join,
+        op11_whitening, op12_toxicity, op13_spelling,
+    )
+}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -127,6 +148,16 @@ def _canonical(text: str) -> str:
     return f"trim(regexp_replace({out}, '{license.PUNCTUATION}', ' ', 'g'), ' ')"
 
 
+def _crc_table() -> list[int]:
+    """crc32 of single bytes, by its rule: a division of polynomials over bits."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
 _KNOWN = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in license.KNOWN)
 
 SQL = {
@@ -161,4 +192,17 @@ edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT a, b FROM edges UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a)
 SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, least(d.doc_id, min(reach.b))::BIGINT AS component_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id""",
+    "op13_spelling": rf"""
+WITH RECURSIVE r AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWERED}, '[{spelling.LETTERS}]{{7,}}')) AS run FROM documents) GROUP BY ALL),
+bytes AS (SELECT *, [{", ".join(map(str, _crc_table()))}]::BIGINT[] AS t, coalesce(doc_id::VARCHAR, '') || ':' || run AS x FROM r),
+hashed AS (SELECT run, n, xor(list_reduce([4294967295] || [('0x' || substr(hex(encode(x)), 2 * i + 1, 2))::BIGINT FOR i IN range(strlen(x))], lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM bytes),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT n, CASE WHEN h % 31 = 0 THEN run[:(h % length(run))::INTEGER] || run[(h % length(run))::INTEGER + 2:] ELSE run END AS word FROM hashed) GROUP BY word HAVING length(word) >= 7 AND sum(n) >= 2),
+less AS (SELECT word, n, p, word[:p] || word[p + 2:] AS rest FROM (SELECT word, n, unnest(range(length(word))) AS p FROM w)),
+near AS (SELECT DISTINCT a.word, b.word AS other, b.n FROM less a JOIN less b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+         UNION SELECT a.word, b.word, b.n FROM less a JOIN w b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM less a JOIN w b ON a.rest = b.word),
+counted AS (SELECT word, count(*) AS n_near, max(n) AS m FROM near GROUP BY word),
+best AS (SELECT word, any_value(n_near) AS n_near, any_value(m) AS m, min(other) FILTER (WHERE near.n = m) AS other FROM counted JOIN near USING (word) GROUP BY word),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * w.n THEN other END AS form, CASE WHEN m >= 10 * w.n THEN m END AS form_n FROM w LEFT JOIN best USING (word)),
+chain AS (SELECT word, coalesce(form, word) AS root, 0 AS step FROM forms UNION ALL SELECT chain.word, forms.form, step + 1 FROM chain JOIN forms ON chain.root = forms.word WHERE forms.form IS NOT NULL)
+SELECT word, form, (SELECT arg_max(root, step) FROM chain WHERE chain.word = forms.word) AS root, n, n_near, form_n FROM forms""",
 }
