@@ -37,12 +37,16 @@ STEMS, NEAR, STEP = (4, 5, 6), 5, 0.02
 FEATURES = "plain slight entries near_second second capitals shouted asking punctuation mark_runs obfuscated plain_read words".split()
 
 _WORD = re.compile(r"[^\W\d_]+")
-_GAP = re.compile(r"[\W\d_]+")
-_MIXED = re.compile(r"[^\W\d_]+(?:[0-9@$!|*.\-_]+[^\W\d_]+)+|[0-9@$]+[^\W\d_]{2,}")
-_RUN = re.compile(r"[!?]{2,}|\.{3,}|\*{2,}")
-_SHOUT = re.compile(r"\b[^\W\d_a-zß-öø-ÿ]{3,}\b")
-_CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ]")
-_ASK, _MARK = re.compile(r"[!?]"), re.compile(r"[^\w\s!?]")
+#: Digits or signs before a letter, and dots or hyphens between single letters.
+_MIXED = (re.compile(r"[0-9@$!|*_]+(?=[^\W\d_])"), re.compile(r"[.\-](?=[^\W\d_][.\-][^\W\d_][.\-])"))
+_INSIDE, WIDEST = frozenset("@$!|*_.-"), 64
+_SHOUT = re.compile(r"[A-ZÀ-ÖØ-Þ]{3,}")
+_RUN, _RUNS = re.compile(r"[!?]{2,}|\.{3,}|\*{2,}"), ("!!", "??", "!?", "?!", "...", "**")
+#: Of the first 256 characters: other than letters as spaces, capitals as small letters; capitals, asking marks, other marks, signs or dots.
+_LOWER = bytes(ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in range(256))
+_KINDS = np.array([[t(chr(c)) for t in (str.isupper, "!?".__contains__, lambda x: not (x.isalnum() or x.isspace() or x in "!?_"), "0123456789@$!|*_.-".__contains__)] for c in range(256)], float)
+
+_CAPITAL = _KINDS[:, 0] > 0
 
 
 def entries(text: Column) -> Column:
@@ -74,56 +78,58 @@ class Reader:
     """Makes the features of texts; a small picklable value."""
 
     def __init__(self, plain: list[str], slight: list[str]) -> None:
-        self.tier = {e: 0 for e in plain} | {e: 1 for e in slight}
+        self.tier = {e: 1 for e in slight} | {e: 0 for e in plain}
         self.second = frozenset(SECOND)
-        self._search = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_search": None}
-
-    def search(self):
-        """Finds entries in ` words apart by single spaces `: whole ones between spaces, beginnings after one."""
-        import ahocorasick
-
-        if self._search is None:
-            self._search = ahocorasick.Automaton()
-            for entry, tier in self.tier.items():
-                self._search.add_word(f" {entry[:-1]}" if entry.endswith("*") else f" {entry} ", (entry, tier))
-            self._search.make_automaton()
-        return self._search
-
-    def hits(self, spaced: str) -> list[tuple[int, str, int]]:
-        """Place where the word begins, entry and tier; of a word's entries the surest."""
-        if not self.tier:
-            return []
-        best: dict[int, tuple[int, str]] = {}
-        for end, (entry, tier) in self.search().iter(spaced):
-            at = end - (len(entry) - 1 if entry.endswith("*") else len(entry) + 1) + 1
-            if at not in best or (tier, entry) < best[at]:
-                best[at] = (tier, entry)
-        return [(at, entry, tier) for at, (tier, entry) in sorted(best.items())]
+        self.heads = frozenset(e.rstrip("*")[: min(STEMS)] for e in self.tier)
+
+    def hit(self, word: str) -> tuple[int, str] | None:
+        """The surest entry that the word has: tier and entry."""
+        found = [(self.tier[e], e) for e in (word, *(f"{word[:k]}*" for k in STEMS if len(word) > k)) if e in self.tier]
+        return min(found) if found else None
+
+    def hits(self, words: list[str]) -> list[tuple[int, int, str]]:
+        """Place, tier and entry of each word that has one."""
+        heads, size = self.heads, min(STEMS)
+        some = {w: h for w in [w for w in set(words) if w[:size] in heads] if (h := self.hit(w))}
+        return [(i, *some[w]) for i, w in enumerate(words) if w in some] if some else []
 
     def features(self, text: str) -> list[float]:
-        lower = text.lower()
-        spaced = f" {_GAP.sub(' ', lower).strip()} "
-        n = spaced.count(" ") - 1
-        if n < 1 or not spaced.strip():
+        raw = text.encode("latin-1", "ignore")
+        words = raw.translate(_LOWER).decode("latin-1").split() if len(raw) == len(text) else _WORD.findall(text.lower())
+        n, length = len(words), len(text)
+        if not n:
             return [0.0] * len(FEATURES)
-        hits = self.hits(spaced)
-        # Some words before and after a hit; texts between its neighbouring spaces.
-        near = sum(not self.second.isdisjoint(spaced[max(0, at - 60) : at].split()[-NEAR:] + spaced[at : at + 80].split()[1 : 1 + NEAR]) for at, _, tier in hits if tier == 0)
-        plain = sum(tier == 0 for _, _, tier in hits)
-        mixed = _MIXED.findall(lower)
-        read = "".join(f" {x} " for x in (_WORD.findall(re.sub(r"[*.\-_]", "", m.translate(SIGNS))) for m in mixed) for x in x)
-        plain_read = sum(tier == 0 for _, _, tier in self.hits(read)) if read else 0
-        length = len(text)
+        codes = np.frombuffer(raw, np.uint8)
+        capitals, asking, marks, signs = (np.bincount(codes, minlength=256) @ _KINDS).tolist()
+        large = _CAPITAL[codes]
+        shouted = len(_SHOUT.findall(text)) if capitals >= 3 and (large[:-2] & large[1:-1] & large[2:]).any() else 0
+        runs = len(_RUN.findall(text)) if any(r in text for r in _RUNS) else 0
+        hits = self.hits(words)
+        plain = [(i, e) for i, tier, e in hits if tier == 0]
+        near = sum(not self.second.isdisjoint(words[max(0, i - NEAR) : i + NEAR + 1]) for i, _ in plain)
+        mixed = self.mixed(text.lower()) if signs else []
+        read = [self.hit(re.sub(r"[*.\-_]", "", m.translate(SIGNS))) for m in mixed]
         return [
-            100.0 * plain / n, 100.0 * (len(hits) - plain) / n, float(np.log1p(len({e for _, e, tier in hits if tier == 0}))), near / max(plain, 1),
-            100.0 * sum(spaced.count(f" {w} ") for w in SECOND) / n, len(_CAPITAL.findall(text)) / length, len(_SHOUT.findall(text)) / n,
-            100.0 * len(_ASK.findall(text)) / length, 100.0 * len(_MARK.findall(text)) / length, 100.0 * len(_RUN.findall(text)) / n,
-            100.0 * len(mixed) / n, 100.0 * plain_read / n, float(np.log1p(n)),
+            100.0 * len(plain) / n, 100.0 * (len(hits) - len(plain)) / n, float(np.log1p(len({e for _, e in plain}))), near / max(len(plain), 1),
+            100.0 * sum(map(self.second.__contains__, words)) / n, capitals / length, shouted / n,
+            100.0 * asking / length, 100.0 * marks / length, 100.0 * runs / n,
+            100.0 * len(mixed) / n, 100.0 * sum(h is not None and h[0] == 0 for h in read) / n, float(np.log1p(n)),
         ]
 
+    def mixed(self, text: str) -> list[str]:
+        """Words with signs inside, and what stands around them without a space, WIDEST characters to a side at most."""
+        out, end = [], 0
+        for found in sorted((f for p in _MIXED for f in p.finditer(text) if f.start() and text[f.start() - 1].isalpha()), key=re.Match.start):
+            if found.start() >= end:
+                a, b = found.span()
+                while a > max(0, found.start() - WIDEST) and (text[a - 1].isalnum() or text[a - 1] in _INSIDE):
+                    a -= 1
+                while b < min(len(text), found.end() + WIDEST) and (text[b].isalnum() or text[b] in _INSIDE):
+                    b += 1
+                out.append(text[a:b])
+                end = b
+        return out
+
 
 def with_features(docs: DataFrame, reader: Reader, text_col: str = "text", features_col: str = "features") -> DataFrame:
     """docs with an array of doubles, in the order of FEATURES."""
