@@ -15,6 +15,7 @@ PLUS_HEAD = "\n\n<보기>:\n"
 CHOICES_HEAD = "\n\n선택지:\n"
 ANSWER_HEAD = "\n\n1, 2, 3, 4, 5 중에 하나를 정답으로 고르세요.\n정답:"
 TURN_START, TURN_END = "<start_of_turn>", "<end_of_turn>"
+RESPONSE = "<start_of_turn>model"
 
 MESSAGES = "array<struct<role:string,content:string>>"
 

@@ -45,7 +45,7 @@ def tfidf(df: DataFrame, id_col: str, text_col: str, max_features: int = 1000) -
     """id, term, weight: tf * (ln((1 + N) / (1 + df)) + 1), of length 1 per document.
 
     The vocabulary has max_features rows at most, so it is broadcast. Documents without a term of the
-    vocabulary have no rows; those of one id count as one text.
+    vocabulary have no rows; those of one id count as one text, and so do those without an id.
     """
     counts = term_counts(df, id_col, text_col)
     n = df.count()
@@ -59,9 +59,10 @@ def tfidf(df: DataFrame, id_col: str, text_col: str, max_features: int = 1000) -
 def tfidf_wide(weights: DataFrame, terms: list[str], ids: DataFrame, limit: int = 1000) -> DataFrame:
     """A row per row of ids (id), a column per term in alphabetical order; for at most `limit` terms.
 
-    A document without any of the terms has a row of zeros.
+    A document without any of the terms has a row of zeros. A null id is an id like any other.
     """
     if len(terms) > limit:
         raise ValueError(f"{len(terms)} terms; a wide frame holds {limit} at most")
-    wide = weights.groupBy("id").pivot("term", sorted(terms)).agg(F.sum("weight"))
-    return ids.select("id").join(wide, "id", "left").fillna(0.0, subset=sorted(terms))
+    wide = weights.groupBy(F.col("id").alias("__id")).pivot("term", sorted(terms)).agg(F.sum("weight"))
+    ids = ids.select("id")
+    return ids.join(wide, ids["id"].eqNullSafe(wide["__id"]), "left").drop("__id").fillna(0.0, subset=sorted(terms))

@@ -5,32 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-#: Rows that a range of a run's steps is to hold.
-RANGE = 4096
+from quizloom.sources.mcq import in_order
 
 
 def running_best(log: DataFrame, greater_is_better: bool = False) -> DataFrame:
-    """log with best_before and is_best: strictly better than all earlier values; nulls never are.
+    """log with best_before and is_best: strictly better than all earlier values of the run; nulls never are.
 
-    A run is cut into equal ranges of its steps. The best of each range is accumulated over the ranges,
-    and only inside a range are rows ordered, so a long run spreads. Null steps come first.
+    Rows go by step, those of one step as they stand in the log; null steps come first. The log is sorted as a
+    whole into even parts. The best of each run and part is accumulated over the parts, of which there are few, and only
+    inside a part are rows gone through, so a long run spreads, whatever its steps are.
     """
     best, better_of = (F.max, F.greatest) if greater_is_better else (F.min, F.least)
-    sizes = log.groupBy(F.col("run").alias("__run")).agg(F.min("step").alias("__lo"), F.max("step").alias("__hi"), F.count("*").alias("__n"))
-    rows = log.join(sizes, log["run"].eqNullSafe(sizes["__run"]))
-    range_ = F.floor((F.col("step") - F.col("__lo")) * F.expr(f"1 + __n div {RANGE}") / (F.col("__hi") - F.col("__lo") + 1))
-    rows = rows.select(*log.columns, F.coalesce(range_, F.lit(-1)).cast("long").alias("__range"))
-    before = Window.partitionBy("__run").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
-    bests = rows.groupBy(F.col("run").alias("__run"), F.col("__range").alias("__at")).agg(best("value").alias("__best"))
-    bests = bests.withColumn("__base", best("__best").over(before)).drop("__best")
-    past = Window.partitionBy("run", "__range").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.join(bests, rows["run"].eqNullSafe(bests["__run"]) & (rows["__range"] == bests["__at"]))
-    rows = rows.withColumn("best_before", better_of("__base", best("value").over(past))).select(*log.columns, "best_before")
+    rows = in_order(log, "evaluations", "run", "step")
+    before = Window.partitionBy("__run").orderBy("__in").rowsBetween(Window.unboundedPreceding, -1)
+    bests = rows.groupBy(F.col("run").alias("__run"), F.col("__part").alias("__in")).agg(best("value").alias("__best"))
+    bests = bests.withColumn("__base", best("__best").over(before)).where("__base is not null").drop("__best")
+    past = Window.partitionBy("run", "__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__past", best("value").over(past))
+    # A row per run and part that goes on from an earlier one: hardly more than parts and runs.
+    rows = rows.join(bests, rows["run"].eqNullSafe(bests["__run"]) & (rows["__part"] == bests["__in"]), "left")
+    rows = rows.select(*log.columns, better_of("__base", "__past").alias("best_before"))
     better = F.col("value") > F.col("best_before") if greater_is_better else F.col("value") < F.col("best_before")
     return rows.withColumn("is_best", F.col("value").isNotNull() & (F.col("best_before").isNull() | better))
 
 
+def improvements(log: DataFrame, greater_is_better: bool = False) -> DataFrame:
+    """run, step, value, n_improvements: the last improvement of a run is its best, so one pass gives both.
+
+    A run without any value has nulls and no improvements.
+    """
+    rows = running_best(log.select("run", "step", "value"), greater_is_better)
+    last = F.max_by if greater_is_better else F.min_by
+    best = last(F.struct("step", "value"), F.when(F.col("is_best"), F.col("value")))
+    return rows.groupBy("run").agg(best.alias("b"), F.count_if("is_best").alias("n_improvements")).select("run", "b.step", "b.value", "n_improvements")
+
+
 def final_best(log: DataFrame, greater_is_better: bool = False) -> DataFrame:
     """run, step, value of each run's best, the earliest on ties: a plain aggregate. Null if all are."""
     sign = -1 if greater_is_better else 1

@@ -1,7 +1,8 @@
-"""A word vocabulary and encoding with it; any other tokenizer plugs in as a function over batches."""
+"""A word vocabulary and encoding with it, tokenizers from files, and any other as a function over batches."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -49,6 +50,68 @@ def encoder(vocabulary: DataFrame) -> Callable[[Column], Column]:
     return encode.asNondeterministic()
 
 
+class WordTokenizer:
+    """A vocabulary of build_vocabulary."""
+
+    def __init__(self, vocabulary: DataFrame) -> None:
+        self.vocabulary = vocabulary
+
+    def encode(self, text: Column) -> Column:
+        return encoder(self.vocabulary)(tokens(text))
+
+    def ids(self, text: str) -> list[int | None]:
+        """Ids of one text, on the driver; null for an unknown token, so that it matches nothing."""
+        rows = self.vocabulary.sparkSession.createDataFrame([(text,)], "t string").select(F.posexplode(tokens(F.col("t"))).alias("i", "term"))
+        found = rows.join(self.vocabulary, "term", "left").orderBy("i").select("id").collect()
+        return [r["id"] for r in found]
+
+    def digest(self) -> str:
+        """Tells vocabularies of other words or another order apart."""
+        row = self.vocabulary.agg(F.count("*").alias("n"), F.sum(F.xxhash64("term", "id").cast("decimal(38,0)")).alias("h")).first()
+        return f"words:{row['n']}:{row['h']}"
+
+
+class FileTokenizer:
+    """A tokenizer in a file of the `tokenizers` library, which every executor can read at the same path.
+
+    Special tokens' strings in a text are ordinary text unless `special` is set.
+    """
+
+    def __init__(self, path: str, special: bool = False) -> None:
+        self.path, self.special, self._made = path, special, None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_made": None}
+
+    def made(self):
+        from tokenizers import Tokenizer
+
+        if self._made is None:
+            self._made = Tokenizer.from_file(self.path)
+            self._made.encode_special_tokens = not self.special
+        return self._made
+
+    def encode(self, text: Column) -> Column:
+        own = self
+
+        @F.arrow_udf(ArrayType(IntegerType()))
+        def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for texts in batches:
+                some = (texts.slice(lo, 256).to_pylist() for lo in range(0, len(texts), 256))
+                ids = [e.ids for part in some for e in own.made().encode_batch([t or "" for t in part], add_special_tokens=False)]
+                yield pa.array(ids, pa.list_(pa.int32()))
+
+        return encode.asNondeterministic()(text)
+
+    def ids(self, text: str) -> list[int]:
+        return self.made().encode(text, add_special_tokens=False).ids
+
+    def digest(self) -> str:
+        """Of the file's content: the same tokenizer elsewhere has the same."""
+        with open(self.path, "rb") as file:
+            return f"file:{hashlib.sha256(file.read()).hexdigest()}:{self.special}"
+
+
 def tokenize(df: DataFrame, text_col: str, encode: Callable[[Column], Column], keep: tuple[str, ...]) -> DataFrame:
     """The kept columns, input_ids and attention_mask."""
     ids = df.withColumn("input_ids", encode(tokens(F.col(text_col))))

@@ -99,15 +99,33 @@ def parse_props(spark, sf_dir):
 
 
 def stage_counts(spark, sf_dir):
-    flat = source.flatten(raw_mcq(spark, sf_dir)).where("error is null")
-    both = split.split_column(flat, "id").select(F.explode(F.array(F.lit("flattened"), F.col("split"))).alias("stage"))
-    return both.groupBy("stage").agg(F.count("*").alias("n"))
+    return jobs.staged(raw_mcq(spark, sf_dir))[1].where("stage <> 'raw'")
+
+
+def staged_questions(spark, sf_dir):
+    return jobs.staged(raw_mcq(spark, sf_dir))[0].select("id", "answer", "split")
 
 
 def submission(spark, sf_dir):
     return source.write_submission(jobs.answers(mcq(spark, sf_dir)), source.scratch(spark, "submission"))
 
 
+def submission_runs(spark, sf_dir):
+    """Three runs' answers, written by two calls; the second replaces one run's and adds another."""
+    questions, root = mcq(spark, sf_dir), source.scratch(spark, "runs")
+    of = lambda run, answer: questions.select("id", F.lit(answer).alias("answer"), F.lit(run).alias("run"))
+    source.write_submissions(of("checkpoint-1000", "1").unionByName(of("best_model", "2")), root)
+    return source.write_submissions(of("checkpoint-1000", "3").unionByName(of("checkpoint-2000", "4")), root)
+
+
+def lexical_scores(spark, sf_dir):
+    """Questions of which some have no choices, and two of which share an id each."""
+    key = F.col("id").cast("long")
+    choices = F.when(key % 7 == 1, F.array().cast("array<string>")).when(key % 7 != 0, F.col("choices"))
+    rows = mcq(spark, sf_dir).select(F.expr("id div 2").cast("string").alias("id"), "paragraph", "question", choices.alias("choices"))
+    return score.lexical_scores(rows).select("id", "len_choices", F.array_join(F.transform("logits", lambda x: F.format_string("%.6f", x)), "|").alias("logits"))
+
+
 def metric_log_json(spark, sf_dir):
     """Each block of a metric's JSON series, its entries printed in a fixed form."""
     series = source.metric_series(metric_log(spark, sf_dir))
@@ -133,6 +151,18 @@ def running_best(spark, sf_dir):
     return runs.running_best(log(spark, sf_dir), greater_is_better=True)
 
 
+def running_best_stamps(spark, sf_dir):
+    """Steps as far apart as stamps in nanoseconds, some of them negative."""
+    stamp = ((F.col("step") % 1000 - 500) * 10**15 + F.col("step")).alias("step")
+    return runs.running_best(log(spark, sf_dir).select("run", stamp, "value"))
+
+
+def best_records(spark, sf_dir):
+    """From the log's JSON blocks to the record of each metric's best, as it is written."""
+    series = source.metric_series(metric_log(spark, sf_dir))
+    return jobs.best_records(series, source.scratch(spark, "best"), "eval_loss")
+
+
 def latest_checkpoint(spark, sf_dir):
     return runs.latest_artifact(artifacts(spark, sf_dir))
 
@@ -205,6 +235,15 @@ def tokenize_docs(spark, sf_dir):
     return encoded(spark, sf_dir).select("doc_id", joined("input_ids", " ").alias("input_ids"), F.aggregate("attention_mask", F.lit(0), lambda a, b: a + b).alias("attended"))
 
 
+def tokenize_reused(spark, sf_dir):
+    """The second of two builds of one table, which finds the first's."""
+    docs = table(spark, sf_dir, "documents")
+    words = tokens.WordTokenizer(tokens.build_vocabulary(docs, "text", VOCABULARY))
+    for _ in range(2):
+        rows = jobs.tokenized(docs.select("doc_id", "text"), "text", words, ("doc_id",))
+    return rows.select("doc_id", joined("input_ids", " ").alias("input_ids"), F.aggregate("attention_mask", F.lit(0), lambda a, b: a + b).alias("attended"))
+
+
 def filter_by_length(spark, sf_dir):
     return tokens.filter_by_length(encoded(spark, sf_dir), LENGTH).select("doc_id", F.size("input_ids").alias("n"))
 
@@ -235,6 +274,14 @@ def training_data(spark, sf_dir):
     return rows.select("id", F.size("input_ids").alias("n"), F.size(F.filter("labels", lambda x: x != -100)).alias("n_labels"), "split")
 
 
+def training_data_bpe(spark, sf_dir):
+    """The training build with a tokenizer from a file."""
+    import public_tokenizers
+
+    rows = jobs.training_data(mcq(spark, sf_dir), tokenizer=tokens.FileTokenizer(public_tokenizers.path("word_bpe_49k.json")))
+    return rows.select("id", F.size("input_ids").alias("n"), F.size(F.filter("labels", lambda x: x != -100)).alias("n_labels"), "split")
+
+
 def gather_logits(spark, sf_dir):
     return logits(spark, sf_dir).select("vec_id", F.transform("logits", lambda x: F.format_string("%.6f", x)).alias("l")).select("vec_id", F.array_join("l", "|").alias("logits"))
 
@@ -258,6 +305,36 @@ def evaluate_answers(spark, sf_dir):
     return out.select(F.round("accuracy", 6).alias("accuracy"), F.round("macro_f1", 6).alias("macro_f1"), "n", "n_classes")
 
 
+#: A vocabulary of eight; the answers' ids are 3, 1, 4, 5, 2.
+PIECES = ["<pad>", "2", "5", "1", "3", "4", "\n", text.TURN_END]
+
+
+def logits_evaluation(spark, sf_dir):
+    """Each vector as eight positions over eight pieces; labels say the vector's label, some of them nothing."""
+    steps = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(F.col("embedding").cast("array<double>"), i * 8 + 1, F.lit(8)))
+    ignored = F.array_repeat(F.lit(arrays.IGNORED), 5)
+    said = F.array(F.element_at(F.array(*map(F.lit, (3, 1, 4, 5, 2))), (F.col("label") % 5 + 1).cast("int")), F.lit(7), F.lit(6))
+    labels = F.when(F.col("label") < 9, F.concat(ignored, said)).otherwise(ignored)
+    out = jobs.evaluate_logits(table(spark, sf_dir, "embeddings").select(steps.alias("sequence"), labels.alias("labels")), PIECES)
+    return out.select(F.round("accuracy", 6).alias("accuracy"), F.round("macro_f1", 6).alias("macro_f1"), "n", "n_classes")
+
+
+def kappa(cells: Column) -> Column:
+    """Agreement beyond chance (Cohen), a caller's own metric."""
+    n = metrics.cells_where(cells, lambda x: x["y"].isNotNull() & x["p"].isNotNull())
+    share = lambda k: F.try_divide(k.cast("double"), n)
+    seen = share(metrics.cells_where(cells, lambda x: x["y"] == x["p"]))
+    side = lambda c, of: share(metrics.cells_where(cells, lambda x: (x[of] == c) & x["y"].isNotNull() & x["p"].isNotNull()))
+    chance = F.aggregate(F.transform(metrics.classes_of(cells), lambda c: side(c, "y") * side(c, "p")), F.lit(0.0), lambda a, x: a + x)
+    return F.try_divide(seen - chance, 1 - chance)
+
+
+def evaluate_metrics(spark, sf_dir):
+    """Given metrics and a caller's from one confusion table."""
+    out = metrics.evaluation(graded(spark, sf_dir), {"accuracy": metrics.accuracy_of, "macro_f1": metrics.macro_f1_of, "kappa": kappa})
+    return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
+
+
 def accuracy(spark, sf_dir):
     return metrics.accuracy(graded(spark, sf_dir)).select(F.round("accuracy", 6).alias("accuracy"), "n")
 
@@ -295,6 +372,7 @@ QUERIES = {
         numbered_choices, create_prompt, training_messages, inference_messages, render_chat, build_vocab, tokenize_docs, filter_by_length, completion_mask,
         decode_labels, train_test_split, pad_batches, training_data, gather_logits, choice_softmax, choice_argmax, predict_choice, evaluate_answers,
         accuracy, macro_f1, confusion_matrix, question_profile, rejected_answers, eval_logits,
+        staged_questions, submission_runs, lexical_scores, running_best_stamps, best_records, tokenize_reused, training_data_bpe, logits_evaluation, evaluate_metrics,
     )
 }
 
@@ -389,6 +467,26 @@ c AS (SELECT least(floor((x - lo) * 30 / (hi - lo)), 29)::INTEGER AS bin, count(
 SELECT 'length' AS kind, b::VARCHAR AS key, coalesce(c.n, 0)::DOUBLE AS value FROM range(30) AS r(b) LEFT JOIN c ON c.bin = b
 UNION ALL SELECT 'term', term, round(sum(weight), 4) FROM weights GROUP BY term
 UNION ALL """ + " UNION ALL ".join(f"SELECT 'missing', '{c}', (count(*) - count({c}))::DOUBLE FROM mcq" for c in ("id", "paragraph", "question", "choices", "answer", "question_plus")),
+    "staged_questions": f"WITH {_MCQ} SELECT id, answer, CASE WHEN i < k THEN 'test' ELSE 'train' END AS split FROM (SELECT id, answer, {_ORDER.format(id='id')} AS i, ceil(count(*) OVER () * 0.1::DECIMAL(3,1)) AS k FROM mcq)",
+    "submission_runs": f"WITH {_MCQ} SELECT id, answer, run FROM mcq, (VALUES ('checkpoint-1000', '3'), ('best_model', '2'), ('checkpoint-2000', '4')) AS r(run, answer)".replace("SELECT id, answer, run", "SELECT id, r.answer, run"),
+    "lexical_scores": f"""WITH {_MCQ}, q AS (SELECT id::BIGINT AS key, CASE id::BIGINT % 7 WHEN 0 THEN NULL WHEN 1 THEN []::VARCHAR[] ELSE choices END AS c, {_TERMS_OF % "paragraph || ' ' || question"} AS context FROM mcq),
+rows_ AS (SELECT key, i - 1 AS k, {_TERMS_OF % "c[i]"} AS terms, context FROM q, unnest(range(1, coalesce(len(c), 0) + 1)) AS u(i)),
+df AS (SELECT term, count(*) AS df FROM (SELECT unnest(terms) AS term FROM rows_) GROUP BY term),
+hits AS (SELECT key, k, sum(ln((1.0 + (SELECT count(*) FROM rows_)) / (1.0 + df)) + 1.0) AS s FROM (SELECT key, k, unnest(list_intersect(terms, context)) AS term FROM rows_) JOIN df USING (term) GROUP BY ALL),
+l AS (SELECT key, string_agg(printf('%.6f', round(coalesce(s, 0), 9)), '|' ORDER BY k) AS logits FROM rows_ LEFT JOIN hits USING (key, k) GROUP BY key)
+SELECT (key // 2)::VARCHAR AS id, len(c)::INTEGER AS len_choices, coalesce(logits, '') AS logits FROM q LEFT JOIN l USING (key)""",
+    "running_best_stamps": f"WITH {_LOG}, w AS (SELECT run, (step % 1000 - 500) * 1000000000000000 + step AS step, value FROM log) SELECT run, step, value, m AS best_before, value IS NOT NULL AND (m IS NULL OR value < m) AS is_best FROM (SELECT *, min(value) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM w)",
+    "best_records": """WITH l AS (SELECT event_type || '/' || (user_id % 10)::VARCHAR AS run, value, event_id AS step FROM events WHERE value IS NOT NULL)
+SELECT run, 'checkpoint-' || step AS original_checkpoint, step, value AS metric, 'eval_loss' AS metric_name FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY value, step) AS k FROM l) WHERE k = 1""",
+    "tokenize_reused": f"""WITH {_IDS}, p AS (SELECT doc_id, unnest(t) AS term, unnest(range(len(t))) AS i FROM d),
+e AS (SELECT doc_id, string_agg(coalesce(id, 0)::VARCHAR, ' ' ORDER BY i) AS ids FROM p LEFT JOIN vocabulary USING (term) GROUP BY doc_id)
+SELECT doc_id, coalesce(ids, '') AS input_ids, len(t)::INTEGER AS attended FROM d LEFT JOIN e USING (doc_id)""",
+    "logits_evaluation": f"""WITH l AS (SELECT [embedding[48 + i + 1]::DOUBLE for i in [3, 1, 4, 5, 2]] AS five, label FROM embeddings),
+g AS (SELECT CASE WHEN label < 9 THEN label % 5 ELSE 0 END AS y, list_position(five, list_max(five)) - 1 AS p FROM l), {_F1}
+SELECT round(avg((y = p)::INTEGER), 6) AS accuracy, (SELECT round(avg(f1), 6) FROM f1) AS macro_f1, count(*) AS n, (SELECT count(*) FROM f1) AS n_classes FROM g""",
+    "evaluate_metrics": f"""WITH {_GRADED}, {_F1}, k AS (SELECT sum(a * b) AS chance FROM (SELECT c, avg((y = c)::INTEGER) AS a, avg((p = c)::INTEGER) AS b FROM g, f1 WHERE y IS NOT NULL AND p IS NOT NULL GROUP BY c)),
+a AS (SELECT avg((y = p)::INTEGER) AS accuracy FROM g)
+SELECT round(accuracy, 6) AS accuracy, (SELECT round(avg(f1), 6) FROM f1) AS macro_f1, round((accuracy - chance) / (1 - chance), 6) AS kappa FROM a, k""",
     "rejected_answers": "SELECT vec_id AS id, CASE WHEN vec_id % 8 < 1 THEN 'no choices' ELSE 'more than 5 choices' END AS reason FROM embeddings WHERE vec_id % 8 NOT BETWEEN 1 AND 5",
     "eval_logits": "SELECT vec_id, array_to_string([printf('%.6f', embedding[48 + i + 1]::DOUBLE) for i in [3, 1, 4, 5, 2]], '|') AS logits FROM embeddings",
     "gather_logits": f"WITH {_LOGITS} SELECT vec_id, array_to_string([printf('%.6f', x) for x in logits], '|') AS logits FROM l",

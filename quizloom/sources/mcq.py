@@ -18,15 +18,20 @@ BLOCK = 1 << 12
 _own: dict[str, str] = {}
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder the cluster shares, or, where none is set, in a temporary one."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster shares, or, where none is set, a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir isn't set: a cluster needs a folder that all executors share")
         app = spark.sparkContext.applicationId
         at = _own.setdefault(app, _own.get(app) or f"file://{tempfile.mkdtemp(prefix='spark-scratch-')}")
-    return f"{at.rstrip('/')}/quizloom/{name}-{uuid.uuid4().hex}"
+    return f"{at.rstrip('/')}/quizloom"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -36,6 +41,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_order(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """df as a table sorted as a whole by keys, then as it stood, with __part and __at, each row's part and place.
+
+    Spark takes the parts' bounds from the data, and rows of equal keys may lie in several, so parts are
+    even whatever the keys are. Null keys come first. The table is written: parts don't change once they are.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    rows = df.withColumn("__stood", F.monotonically_increasing_id()).orderBy(*keys, "__stood").drop("__stood")
+    rows = rows.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()})
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def read_mcq(spark: SparkSession, path: str, na_values: tuple[str, ...] = ()) -> DataFrame:
     """Raw questions. Cells may hold quotes ("" inside quotes) and newlines; a missing path fails here."""
     raw = spark.read.schema(RAW).csv(path, header=True, multiLine=True, quote='"', escape='"')
@@ -73,11 +91,18 @@ def submission_path(root: str, artifact: str) -> str:
 
 
 def write_submissions(predictions: DataFrame, root: str, run_col: str = "run") -> DataFrame:
-    """Answers of many runs at once, a folder for each run; returns what was written, with the run."""
-    path = f"{root.rstrip('/')}/submissions"
+    """Answers of many runs at once, a folder for each run; returns those of all runs there are.
+
+    A run that was written before is replaced, other runs' answers stay.
+    """
     out = predictions.select("id", "answer", F.col(run_col).alias("run"))
-    out.write.mode("overwrite").partitionBy("run").csv(path, header=True, quote='"', escape='"')
-    return predictions.sparkSession.read.schema("id string, answer string, run string").csv(path, header=True, quote='"', escape='"')
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").csv(f"{root.rstrip('/')}/submissions", header=True, quote='"', escape='"')
+    return read_submissions(predictions.sparkSession, root)
+
+
+def read_submissions(spark: SparkSession, root: str) -> DataFrame:
+    """id, answer, run of all runs under root."""
+    return spark.read.schema("id string, answer string, run string").csv(f"{root.rstrip('/')}/submissions", header=True, quote='"', escape='"')
 
 
 def append_log(entries: DataFrame, path: str) -> None:
@@ -104,16 +129,12 @@ def metric_series(log: DataFrame) -> DataFrame:
     The log is sorted as a whole, so that a busy name spreads, and written with each row's place in its
     part; a name's rows before a part are then summed over the parts, of which there are few.
     """
-    spark = log.sparkSession
-    log = log.select("name", "timestamp", "step", "value").orderBy("name", "timestamp", "step", "value")
-    path = scratch(spark, "log")
-    log.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()).write.parquet(path)
-    log = spark.read.schema("name string, timestamp string, step long, value double, part int, at long").parquet(path)
-    parts = log.groupBy("name", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    before = Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(F.col("name").alias("of"), "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
-    log = log.join(parts, (log["part"] == parts["part"]) & log["name"].eqNullSafe(parts["of"]))
-    log = log.select("name", "timestamp", "step", "value", F.expr(f"(at + shift) div {BLOCK}").alias("block"))
+    log = in_order(log.select("name", "timestamp", "step", "value"), "log", "name", "timestamp", "step", "value")
+    parts = log.groupBy("name", "__part").agg(F.min("__at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("name").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col("name").alias("of"), "__part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    log = log.join(parts, (log["__part"] == parts["__part"]) & log["name"].eqNullSafe(parts["of"]))
+    log = log.select("name", "timestamp", "step", "value", F.expr(f"(__at + shift) div {BLOCK}").alias("block"))
     entries = F.array_sort(F.collect_list(F.struct("timestamp", "step", "value")))
     series = F.transform(entries, lambda e: F.struct(e["value"].alias("value"), e["step"].alias("step"), e["timestamp"].alias("timestamp")))
     name = F.coalesce("name", F.lit(""))

@@ -10,7 +10,8 @@ def test_equals_sql(name, spark, sf_dir, same):
 
 
 def test_every_query_has_sql():
-    assert set(registry.QUERIES) == set(registry.SQL)
+    # Byte pair encoding can't be written in SQL; test_training_data_with_a_tokenizer_file holds it.
+    assert set(registry.QUERIES) == set(registry.SQL) | {"training_data_bpe"}
 
 
 def test_entry(spark):

@@ -106,19 +106,140 @@ def test_split_and_batches(spark):
     assert all(r["sizes"] == r["l"] == 1 and r["n"] <= 8 for r in padded.collect())
 
 
-def test_running_best_in_ranges(spark, monkeypatch):
-    monkeypatch.setattr(runs, "RANGE", 4)
-    rows = [("a" if i % 3 else None, (i * 37) % 101 if i else None, None if i % 11 == 5 else float((i * 53) % 29), i) for i in range(100)]
-    log = spark.createDataFrame(rows, "run string, step long, value double, __other int")
-    for greater in (True, False):
-        got = {r["__other"]: (r["best_before"], r["is_best"]) for r in runs.running_best(log, greater).collect()}
-        assert len(got) == 100
-        for name in ("a", None):
-            best = None
-            for _, _, value, i in sorted((r for r in rows if r[0] == name), key=lambda r: -1 if r[1] is None else r[1]):
-                better = value is not None and (best is None or (value > best if greater else value < best))
-                assert got[i] == (best, better)
-                best = value if better else best
+def plain_running_best(rows, greater):
+    best, out = {}, {}
+    for run, _, value, i in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[3])):
+        old = best.get(run)
+        better = value is not None and (old is None or (value > old if greater else value < old))
+        out[i] = (old, better)
+        best[run] = value if better else old
+    return out
+
+
+@pytest.mark.parametrize("greater", [True, False])
+def test_running_best_whatever_the_steps(spark, greater):
+    values = [None if i % 11 == 5 else float((i * 53) % 29) for i in range(300)]
+    steps = {
+        "spread": [(i * 37) % 101 if i % 10 else None for i in range(300)],
+        "outlier": [10**13 if i == 17 else i % 250 for i in range(300)],
+        "wide": [(-1) ** i * (i * 37 % 301) * 10**16 for i in range(300)],
+        "null": [None] * 300,
+        "same": [7] * 300,
+    }
+    rows = [(None if name == "spread" and i % 3 else name, step, values[i], 1000 * k + i) for k, (name, of) in enumerate(steps.items()) for i, step in enumerate(of)]
+    log = spark.createDataFrame(rows, "run string, step long, value double, __other int").coalesce(1)
+    got = {r["__other"]: (r["best_before"], r["is_best"]) for r in runs.running_best(log, greater).collect()}
+    assert got == plain_running_best(rows, greater)
+    best = {r["run"]: (r["step"], r["value"]) for r in runs.improvements(log, greater).collect()}
+    assert best == {r["run"]: (r["step"], r["value"]) for r in runs.final_best(log, greater).collect() if r["run"] in best} or greater
+
+
+def test_a_run_of_one_step_spreads(spark):
+    for steps in (F.lit(5), F.lit(None).cast("long"), F.when(F.col("id") == 9, 10**13).otherwise(F.col("id") % 3)):
+        log = spark.range(100_000).select(F.lit("r").alias("run"), steps.cast("long").alias("step"), F.rand(1).alias("value"))
+        conf = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            parts = [r["count"] for r in mcq.in_order(log, "log", "run", "step").groupBy("__part").count().collect()]
+        finally:
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", conf)
+        assert len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(parts) < 2 * 100_000 / len(parts)
+
+
+def test_runs_without_values(spark):
+    log = spark.createDataFrame([("a", 1, None), ("b", 2, 0.5), ("b", 3, 0.25), ("b", 4, 0.25), (None, 1, 2.0)], "run string, step long, value double")
+    assert {r["run"]: tuple(r)[1:] for r in runs.improvements(log).collect()} == {"a": (None, None, 0), "b": (3, 0.25, 2), None: (1, 2.0, 1)}
+
+
+def test_records_from_a_log(spark, tmp_path):
+    rows = [("a", 0.5, 10, "t1"), ("a", 0.4, 20, "t2"), ("a", 0.4, 30, "t3"), ("a", None, 40, "t4"), ("b", 0.1, None, "t1"), ("b", 3.0, 5, "t2"), ("c", None, 1, "t1")]
+    series = mcq.metric_series(spark.createDataFrame(rows, "name string, value double, step long, timestamp string"))
+    out = {r["run"]: (r["original_checkpoint"], r["step"], r["metric"], r["metric_name"]) for r in jobs.best_records(series, str(tmp_path / "best"), "eval_loss").collect()}
+    assert out == {"a": ("checkpoint-20", 20, 0.4, "eval_loss"), "b": ("checkpoint-5", 5, 3.0, "eval_loss")}
+    assert jobs.best_records(series, str(tmp_path / "best"), "accuracy", True).where("run = 'a'").first()["step"] == 10
+
+
+def test_stages_are_counted_as_rows_pass(spark):
+    cells = ["{'question': 'q', 'choices': ['a'], 'answer': 1}"] * 21 + ["{oops", None]
+    rows, counts = jobs.staged(spark.createDataFrame([(str(i), "p", c) for i, c in enumerate(cells)], mcq.RAW))
+    assert {r["stage"]: r["n"] for r in counts.collect()} == {"raw": 23, "flattened": 21, "test": 3, "train": 18}
+    assert {r["split"]: r["count"] for r in rows.groupBy("split").count().collect()} == {"test": 3, "train": 18}
+
+
+def test_tables_are_reused(spark, tmp_path):
+    path, calls = str(tmp_path / "texts"), spark.sparkContext.accumulator(0)
+    spark.createDataFrame([(i, f"text {i}") for i in range(20)], "id long, text string").write.parquet(path)
+
+    class Counting(tokens.FileTokenizer):
+        def __init__(self, name):
+            self.name = name
+
+        def encode(self, column):
+            @F.udf("array<int>")
+            def ids(t):
+                calls.add(1)
+                return [len(t)]
+
+            return ids(column)
+
+        def digest(self):
+            return self.name
+
+    build = lambda name, rows=None, **more: jobs.tokenized(spark.read.parquet(path) if rows is None else rows, "text", Counting(name), ("id",), **more)
+    first = sorted(map(str, build("a").collect()))
+    assert len(first) == 20 and calls.value == 20
+    assert sorted(map(str, build("a").collect())) == first and calls.value == 20  # found
+    build("b").collect()
+    assert calls.value == 40  # another tokenizer
+    build("a", spark.read.parquet(path).where("id < 5")).collect()
+    assert calls.value == 45  # other rows of the same files
+    build("a", reuse=False).collect()
+    assert calls.value == 65
+    spark.createDataFrame([(99, "new")], "id long, text string").write.mode("append").parquet(path)
+    assert build("a").count() == 21 and calls.value == 86  # other files
+    build("a", spark.createDataFrame([(1, "x")], "id long, text string")).collect()
+    build("a", spark.createDataFrame([(1, "x")], "id long, text string")).collect()
+    assert calls.value == 88  # rows that are in no file have no identity
+
+
+def test_training_data_with_a_tokenizer_file(spark, sf_dir):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    tokenizers = pytest.importorskip("tokenizers")
+    from quizloom.plans import registry
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own = tokenizers.Tokenizer.from_file(path)
+    own.encode_special_tokens = True
+    questions = registry.mcq(spark, sf_dir)
+    rows = {r["id"]: r for r in jobs.training_data(questions, tokenizer=tokens.FileTokenizer(path)).collect()}
+    chats = jobs.training_examples(questions).select("id", text.turn_template(F.col("messages")).alias("chat")).collect()
+    opening = own.encode(text.RESPONSE, add_special_tokens=False).ids
+    assert rows and len(opening) > 2
+    for r in chats:
+        ids = own.encode(r["chat"], add_special_tokens=False).ids
+        at = max(i for i in range(len(ids)) if ids[i : i + len(opening)] == opening) + len(opening)
+        assert rows[r["id"]]["input_ids"] == ids and rows[r["id"]]["labels"] == [-100] * at + ids[at:]
+    with pytest.raises(ValueError):
+        jobs.training_data(questions, tokenizer=tokens.FileTokenizer(path), response="")
+
+
+def test_evaluation_from_logits(spark):
+    pieces = ["<unk>", "1", "2", "3", "4", "<end_of_turn>", "\n"]  # no "5"
+    line = lambda *best: [[3.0 if i == b else 0.0 for i in range(7)] for b in best]
+    rows = [(line(2, 2, 5), [-100, 2, 5]), (line(3, 4, 5), [-100, -100, 3, 5, 6]), (line(0, 0, 0), [-100]), (line(1), [1]), (None, [4, 5]), (line(0, 0, 0), [99, 6, 4, 5])]
+    df = spark.createDataFrame(rows, "sequence array<array<double>>, labels array<int>")
+    # Predictions: 1, 3, 4 (the missing piece has id 0's logit), none (too short), none, 4; truth: 1, 2, 0, 0, 3, 3.
+    got = jobs.evaluate_logits(df, pieces, given={"accuracy": metrics.accuracy_of, "n": metrics.count_of, "hits": lambda c: metrics.cells_where(c, lambda x: x["y"] == x["p"])}).first()
+    assert (got["accuracy"], got["n"], got["hits"]) == (0.25, 6, 1)
+
+
+def test_given_metrics_share_a_table(spark):
+    from quizloom.plans import registry
+
+    pairs = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, 2), (2, 2), (2, 1), (3, None)], "y int, p int")
+    got = metrics.evaluation(pairs, {"kappa": registry.kappa, "n": metrics.count_of}).first()
+    assert got["kappa"] == pytest.approx(1 / 3) and got["n"] == 7
+    assert metrics.evaluation(pairs.limit(0), {"kappa": registry.kappa}).first()["kappa"] is None
 
 
 def test_logs(spark, tmp_path):
@@ -145,6 +266,26 @@ def test_submissions_of_many_runs(spark, tmp_path):
     assert (tmp_path / "submissions" / "run=best_model").is_dir()
 
 
+def test_submissions_keep_other_runs(spark, tmp_path):
+    of = lambda *rows: spark.createDataFrame(rows, "id string, answer string, run string")
+    mcq.write_submissions(of(("1", "1", "checkpoint-1"), ("2", "2", "checkpoint-1"), ("1", "5", "best_model")), str(tmp_path))
+    mcq.write_submissions(of(("1", "3", "checkpoint-2")), str(tmp_path))
+    mcq.write_submissions(of(("2", "4", "checkpoint-1")), str(tmp_path))
+    want = {("2", "4", "checkpoint-1"), ("1", "5", "best_model"), ("1", "3", "checkpoint-2")}
+    assert {tuple(r) for r in mcq.read_submissions(spark, str(tmp_path)).collect()} == want
+
+
+def test_every_question_is_scored(spark):
+    kind = "id string, paragraph string, question string, choices array<string>"
+    rows = [("1", "red fox", "which animal", ["red fox", "blue whale"]), ("2", "p", "q", []), ("3", "p", "q", None), ("4", "blue whale", "q", ["red fox", "blue whale"]), ("4", "red", "q", ["red fox", "blue whale"]), ("5", "p", "q", [None, "x"]), (None, None, None, ["red"])]
+    scores = score.lexical_scores(spark.createDataFrame(rows, kind))
+    got = sorted((r["id"] or "", r["len_choices"], len(r["logits"])) for r in scores.collect())
+    assert got == [("", 1, 1), ("1", 2, 2), ("2", 0, 0), ("3", None, 0), ("4", 2, 2), ("4", 2, 2), ("5", 2, 2)]
+    assert sorted(r["answer"] for r in score.predictions(scores).where("id = '4'").collect()) == ["1", "2"]
+    assert {r["id"]: r["reason"] for r in score.rejected(scores).collect()} == {"2": "no choices", "3": "no choices"}
+    assert score.lexical_scores(spark.createDataFrame([], kind)).count() == 0
+
+
 def test_rejected_and_evaluated_logits(spark):
     rows = [("a", 4, [0.0, 2.0]), ("c", 0, [1.0]), ("d", 6, [1.0] * 6), ("e", None, [1.0]), ("f", 2, None)]
     scores = spark.createDataFrame(rows, "id string, len_choices int, logits array<double>")
@@ -203,6 +344,8 @@ def test_profile_edges(spark):
     texts = spark.createDataFrame([(1, "ab cd"), (2, "zz"), (3, None)], "id int, t string")
     wide = profile.tfidf_wide(profile.tfidf(texts, "id", "t", 2), ["ab", "cd"], texts).orderBy("id").collect()
     assert [tuple(r) for r in wide] == [(1, pytest.approx(0.5**0.5), pytest.approx(0.5**0.5)), (2, 0.0, 0.0), (3, 0.0, 0.0)]
+    lost = spark.createDataFrame([(None, "ab"), (4, "zz")], "id int, t string")
+    assert {r["id"]: r["ab"] for r in profile.tfidf_wide(profile.tfidf(lost, "id", "t"), ["ab"], lost).collect()} == {None: 1.0, 4: 0.0}
     words = profile.term_counts(spark.createDataFrame([(1, "한국 가 한국 ab")], "id int, t string"), "id", "t")
     assert {(r["term"], r["tf"]) for r in words.collect()} == {("한국", 2), ("ab", 1)}
     with pytest.raises(ValueError):
