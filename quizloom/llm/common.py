@@ -51,21 +51,45 @@ def new_path(spark: SparkSession, name: str) -> str:
 BATCH_ROWS = 1000
 
 
+def small_batches(spark: SparkSession) -> str:
+    """From now on Arrow batches have BATCH_ROWS rows at most; returns the setting there was."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = spark.conf.get(setting)
+    spark.conf.set(setting, str(min(BATCH_ROWS, int(rows)) if int(rows) > 0 else BATCH_ROWS))
+    return rows
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it: cuts lineage, survives lost executors."""
-    conf, setting = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     path = new_path(df.sparkSession, name)
     if (written := _tables.get()) is not None:
         written.append(path)
-    rows = conf.get(setting)
-    conf.set(setting, str(min(BATCH_ROWS, int(rows)) if int(rows) > 0 else BATCH_ROWS))
+    rows = small_batches(df.sparkSession)
     try:
         df.write.parquet(path)
     finally:
-        conf.set(setting, rows)
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def tables() -> Iterator[list[str]]:
+    """The paths of the tables that materialise writes meanwhile, but for those of tidy operators inside."""
+    own: list[str] = []
+    outer = _tables.set(own)
+    try:
+        yield own
+    finally:
+        _tables.reset(outer)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
 def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """An operator whose result is written as a table, after which the tables that led to it go.
 
@@ -74,17 +98,10 @@ def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
     @functools.wraps(operator)
     def tidied(*args, **named) -> DataFrame:
-        own: list[str] = []
-        outer = _tables.set(own)
-        try:
+        with tables() as own:
             result = operator(*args, **named)
-        finally:
-            _tables.reset(outer)
         result = materialise(result, operator.__name__)
-        jvm, conf = result.sparkSession._jvm, result.sparkSession._jsc.hadoopConfiguration()
-        for path in own:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+        remove(result.sparkSession, own)
         return result
 
     return tidied

@@ -1,6 +1,6 @@
 """Deduplicated web archives: revisit resolution, writing and reading of WARC files.
 
-Headers (digest, id, address; no payload) are a table of their own and are aggregated by payload
+Pages are read and hashed once, into a table. Headers (digest, id, address; no payload) are aggregated by payload
 digest: the record with the largest id is the response that the others revisit. Headers alone are
 joined with the digests that occur more than once, with an exchange on either side, so Spark can split
 a digest that a third of the pages share; that gives the revisits, which need no payload. Responses
@@ -8,8 +8,8 @@ pass no exchange: a bit table says whose digest may be repeated, another which o
 response, and only pages that pass both are joined to be sure.
 
 Records are text, so Spark's text writer puts them into gzipped archives in the shared folder; a
-record's end (CRLF CRLF) is its line separator. A file is bounded in bytes: pages are written by size
-classes, each with as many records to a file as fit in FILE_BYTES. A revisit carries fresh headers and
+record's end (CRLF CRLF) is its line separator. A file is bounded in bytes: one write deals each task's records by size
+class, and to a new file once as many as fit in FILE_BYTES may be there. A revisit carries fresh headers and
 no payload. Spark reads the archives as binary files; each task parses whole files, and checks every
 response's digest and length.
 
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizloom.llm.common import id_table, materialise, may_hold, new_path
+from quizloom.llm.common import id_table, materialise, may_hold, new_path, remove, tables
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -54,7 +54,7 @@ def digest_of(payload: Column) -> Column:
 
 def resolved(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """pages (id, url, payload, digest, bytes) with refers_to and refers_url, null for responses; revisits lack a payload."""
-    heads = materialise(pages.drop("payload"), "headers")
+    heads = pages.drop("payload")
     # What decides between the rows of a digest; a row without an id is none of those with the largest.
     key = F.concat_ws(":", "digest", "id").alias("key")
     asked = heads.where(F.col("bytes") >= min_bytes)
@@ -116,15 +116,25 @@ def size_class(bytes_: Column) -> Column:
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, date: str | None = None) -> None:
-    """Writes the archives size=*/part-*.txt.gz under path; records are dated now unless date is given."""
+    """Writes the archives size=*/file=*/part-*.txt.gz under path; records are dated now unless date is given."""
     date = date or datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.octet_length(payload).cast("long").alias("bytes"), digest_of(payload).alias("digest"))
-    rows = resolved(rows, min_bytes).withColumn("size", F.when(F.col("refers_to").isNull(), size_class(F.col("bytes"))).otherwise(0))
-    largest = pages.select(size_class(F.octet_length(payload)).alias("size")).agg(F.max("size")).first()[0]
-    for size in range(1 + (largest or 0)):
-        out = rows.where(F.col("size") == size).select(record(date).alias("value"))
-        out.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", max(1, FILE_BYTES // (SMALL * 4**size))).text(f"{path}/size={size}")
+    with tables() as own:
+        rows = materialise(rows, "pages")
+        largest = rows.agg(F.max(size_class(F.col("bytes")))).first()[0] or 0
+        rows = resolved(rows, min_bytes)
+    rows = rows.withColumn("size", F.when(F.col("refers_to").isNull(), size_class(F.col("bytes"))).otherwise(0))
+    nth = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # of its task
+    most = F.greatest(F.lit(1), F.floor(FILE_BYTES / (SMALL * F.pow(F.lit(4), F.col("size")))))
+    rows = rows.withColumn("file", F.floor(nth / most).cast("int"))
+    out = rows.select(record(date).alias("value"), "size", "file").write.partitionBy("size", "file")
+    out.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
+    jvm, conf = pages.sparkSession._jvm, pages.sparkSession._jsc.hadoopConfiguration()
+    for size in range(largest + 1):  # a folder for every class up to the largest, also for those that no page is in
+        at = jvm.org.apache.hadoop.fs.Path(f"{path}/size={size}")
+        at.getFileSystem(conf).mkdirs(at)
+    remove(pages.sparkSession, own)
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
