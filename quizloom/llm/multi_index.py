@@ -3,14 +3,17 @@
 Codebooks of either half of the vectors, fitted on a bounded sample, span a grid of cells. A vector
 is listed in the cell of its nearest centres and visits cells in order of the sum of its distances
 to their two centres (the multi-sequence order), as many as bring the wanted recall on the links of
-a bounded set of vectors, which are compared with all rows, and `LEAST` at least. What lies in a visited cell is verified by cosine in double precision.
+a bounded set of vectors, which are compared with all rows. Where these meet few links or none, visits are still enough for
+links just at the threshold: to each of those vectors another is made that lies there in a random direction, and the visits find
+`edge_recall` of these. What lies in a visited cell is verified by cosine in double precision.
 
 Equal vectors are one row with a weight. A busy cell is split into blocks of listed and of
 visiting vectors, so no task gets more than one block of each. A block returns a row per vector with links:
 how many, and a root of its local component, never the pairs themselves.
 
 Vectors that are null, zero or of another length than most, hold null or non-finite components or
-have a null id link with nothing. Repeated rows link with each other. Extra columns are ignored.
+have a null id link with nothing. Repeated rows link with each other. Rows that repeat an id with other vectors are one
+document: its links are those of all its vectors, and whatever links with one of them is in their component. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -59,9 +62,24 @@ class Grid:
         return np.array([np.searchsorted(in_order[r], m).sum() for r, m in zip(row, room)], np.int64)
 
 
-def enough(grid: Grid, classes: DataFrame, threshold: float, recall: float) -> int:
+def at_the_edge(grid: Grid, asked: np.ndarray, threshold: float, recall: float, turns: int = 4) -> int:
+    """Cells to visit so that a vector just at the threshold, in a random direction, is found from either end."""
+    rng, n = np.random.default_rng(0), []
+    for _ in range(turns):
+        z = rng.standard_normal(asked.shape)
+        z = z - (z * asked).sum(1, keepdims=True) * asked
+        size = np.sqrt((z * z).sum(1, keepdims=True))
+        other = threshold * asked + np.sqrt(max(0.0, 1 - threshold**2)) * z / np.maximum(size, 1e-300)
+        row = np.arange(len(asked))
+        n.append(np.minimum(grid.rank(asked, row, grid.order(other, 1)[:, 0]), grid.rank(other, row, grid.order(asked, 1)[:, 0])))
+    n = np.sort(np.concatenate(n))
+    return int(n[min(len(n) - 1, int(np.ceil(recall * len(n))) - 1)]) + 1
+
+
+def enough(grid: Grid, classes: DataFrame, threshold: float, recall: float, edge_recall: float) -> int:
     """Cells to visit so that links of up to ASKED vectors with all rows are found from either end."""
     asked = bounded_sample(classes, ASKED)
+    least = max(grid.visits, at_the_edge(grid, asked, threshold, edge_recall))
     shared = classes.sparkSession.sparkContext.broadcast((grid, asked, grid.order(asked, 1)[:, 0]))
 
     def linked(batches):
@@ -83,9 +101,9 @@ def enough(grid: Grid, classes: DataFrame, threshold: float, recall: float) -> i
 
     found = classes.select("v").mapInArrow(linked, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).orderBy("rank").toArrow()
     if not found.num_rows:
-        return grid.visits
+        return least
     n = np.cumsum(found["n"].to_numpy())
-    return max(grid.visits, int(found["rank"].to_numpy()[np.searchsorted(n, recall * n[-1])]) + 1)
+    return max(least, int(found["rank"].to_numpy()[np.searchsorted(n, recall * n[-1])]) + 1)
 
 
 def block_links(threshold: float):
@@ -133,7 +151,7 @@ def block_links(threshold: float):
 
 
 @tidy
-def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, recall: float = 0.995, centres: int | None = None, sample: int = 20_000) -> DataFrame:
+def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, recall: float = 0.995, edge_recall: float = 0.98, centres: int | None = None, sample: int = 20_000) -> DataFrame:
     """A row per row of rows: id, n_links, component_id, kept. Without centres, as many as leave CELL vectors
     to a cell, LEAST_CENTRES at least and a quarter of the sample at most."""
     good = usable(rows, id_col, vector_col).withColumn("class", F.struct(F.xxhash64("v").alias("a"), F.xxhash64("v", F.lit(1)).alias("b")))
@@ -142,7 +160,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     vectors, grid = classes.select(F.col("rep").alias("id"), "v"), None
     if n := classes.count():
         grid = Grid(bounded_sample(vectors, sample), centres or min(max(LEAST_CENTRES, int((n / CELL) ** 0.5)), sample // 4))
-        grid.visits = enough(grid, vectors, threshold, recall)
+        grid.visits = enough(grid, vectors, threshold, recall, edge_recall)
     shared = rows.sparkSession.sparkContext.broadcast(grid)
 
     def indexed(batches):
@@ -165,11 +183,15 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     found = a.unionByName(b).groupBy("cell", "list", "call").applyInArrow(block_links(threshold), "id long, links long, root long")
     found = materialise(found, "found")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    groups = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    member = good.select("id", "class").join(classes.select("class", "rep", "weight"), "class")
+    # Rows that repeat an id with other vectors are in several classes, which it links.
+    again = materialise(good.select("id", "class").distinct().groupBy("id").count().where("count > 1").select("id"), "again")
+    again = good.join(again, "id", "left_semi").join(classes.select("class", "rep"), "class").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
+    groups = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(again))
+    # A vector of an id: its class, or all classes that the id itself stands for.
+    member = good.select("id", "class").distinct().join(classes.select("class", "rep", "weight"), "class").groupBy("id", "rep").agg(F.sum(F.col("weight") - 1).alias("copies"))
     member = member.join(materialise(links, "links").withColumnRenamed("id", "rep"), "rep", "left").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
     member = member.groupBy("id").agg(
-        F.max(F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.min(F.coalesce("component", "rep")).alias("component_id")
+        F.sum(F.coalesce("links", F.lit(0)) + F.col("copies")).alias("n_links"), F.min(F.coalesce("component", "rep")).alias("component_id")
     )
     out = rows.select(F.col(id_col).cast("long").alias("id")).join(materialise(member, "member"), "id", "left")
     out = out.select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
