@@ -8,8 +8,8 @@ texts do on average are added to each text.
 
 Dictionaries and calibration come from a bounded sample of labelled rows: `per_class` rows of each
 class, of texts of 1 to `longest` bytes, by hash of the id. The first half of a class, whole texts end to
-end, is the content of its dictionary (per_class / 2 * longest bytes at most); the other half fits the
-calibration, weighted to the classes' shares among all labelled rows. Every text is scored, whole.
+end, is the content of its dictionary, as far as they fit into `dictionary` bytes (zstandard hardly looks further back than some 3
+MB at this level); all others fit the calibration, weighted to the classes' shares among all labelled rows. Every text is scored, whole.
 
 Nulls: a null text is empty, and an empty text's score is the share of good labels; rows with a null
 label are not learnt from; rows with a null id are in no held-out fold. A document labelled twice
@@ -105,7 +105,7 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", learn: Column | None = None, per_class: int = 3000, longest: int = 1 << 14, level: int = 9) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", learn: Column | None = None, per_class: int = 3000, longest: int = 1 << 14, dictionary: int = 2_500_000, level: int = 9) -> Model:
     """Learns from at most per_class rows of either class, among those where learn holds."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     if learn is not None:
@@ -127,7 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     half = np.zeros(len(label), bool)
     for c in (0, 1):
         at = np.flatnonzero(label == c)
-        half[at[: (len(at) + 1) // 2]] = True
+        at = at[: (len(at) + 1) // 2]
+        half[at[np.cumsum([len(text[i]) + 1 for i in at]) <= dictionary + 1]] = True
     good, bad = (b"\n".join(text[i] for i in np.flatnonzero(half & (label == c))) for c in (1, 0))
     model = Model(good, bad, float(share), level)
     rest = np.flatnonzero(~half)
