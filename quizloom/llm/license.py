@@ -30,12 +30,12 @@ COPYRIGHT_LINE = "(?md)^[^a-z0-9\\n]*(copyright |\\(c\\) |© |all rights reserve
 #: Where licences begin after their owner.
 OPENING = "(?:" + "|".join(
     x.replace(" ", "\\s+")
-    for x in ("permission is hereby granted", "permission to use", "redistribution and use", "this software is provided", "licensed under", "everyone is permitted", "this program is free software", "this program comes with", "gnomovision comes with", "this is free and unencumbered")
+    for x in ("permission is hereby granted", "permission to use", "redistribution and use", "this software is provided", "licensed under", "everyone is permitted", "this program is free software", "this library is free software", "this program comes with", "gnomovision comes with", "this is free and unencumbered")
 ) + ")"
 #: What follows the word copyright, or an enumerating (c), in a licence's body. Java's patterns from here.
 _BODY = "(?:notices?|patents?|ownership|owners?|holders?|laws?|licenses?|statements?|interests?|rights?|treat(?:y|ies)|protection|disclaimers?|claims?|and|or|in|of|on|to|is|are|that|as|under|may|shall|which|infringement|permission)\\b"
 _LISTED = "(?:you|under|the|an?|any|all|if|to|for|in|it|on|by|with|where|when|that|this|and|or|make|give|retain|use)\\b"
-_OWNER = "(?:copyright[ \\t:]+(?!" + _BODY + ")|©\\s*|\\(c\\)[ \\t]+(?!" + _LISTED + "))"
+_OWNER = "(?:(?:portions |parts )?(?:are )?copyright(?:[ \\t:]+|,[ \\t]*(?=[0-9(©]))(?!" + _BODY + ")|©\\s*|\\(c\\)[ \\t]+(?!" + _LISTED + "))"
 _CLAUSE = "\\b(?:licenses?|may|must|not|you|shall|only|warrant(?:y|ies)|provided)\\b|\\n[ \\t]*\\n"
 STATEMENTS = (
     # Up to a licence's begin: with a sign or a year anywhere, else from a line's begin; no clause is dropped with it.
@@ -43,6 +43,8 @@ STATEMENTS = (
     # Whole lines, where none begins.
     "(?md)^[^a-z0-9\\n]*(?:" + _OWNER + "|all rights reserved)(?:(?!" + OPENING + ")[^\\n])*$",
 )
+#: A line that names the licence to tools.
+SPDX = "(?md)^[^a-z0-9\\n]*spdx-license-identifier:[^\\n]*$"
 #: Punctuation and spaces beyond ASCII.
 MARKS = "\u00a0\u00ab\u00b7\u00bb\u2002\u2003\u2009\u200b\u2010\u2011\u2012\u2013\u2014\u2015\u2018\u2019\u201a\u201b\u201c\u201d\u201e\u2022\u2026\u2032\u2033\u2039\u203a\u3000\ufeff"
 #: Lines that may stand above a licence's text.
@@ -76,8 +78,10 @@ def canonical(text: Column) -> Column:
     for pattern, replacement in EQUIVALENT:
         # The plain patterns don't need a regular expression.
         out = F.regexp_replace(out, F.lit(pattern), F.lit(replacement)) if "?" in pattern else F.replace(out, F.lit(pattern), F.lit(replacement))
-    for pattern in STATEMENTS:
-        out = F.regexp_replace(out, F.lit(pattern), F.lit(""))
+    out = F.regexp_replace(out, F.lit(SPDX), F.lit(""))
+    # A statement up to a licence's begin takes long to look for in texts of many owners: only where one begins.
+    out = F.when(out.rlike(OPENING), F.regexp_replace(out, F.lit(STATEMENTS[0]), F.lit(""))).otherwise(out)
+    out = F.regexp_replace(out, F.lit(STATEMENTS[1]), F.lit(""))
     out = F.trim(F.regexp_replace(out, F.lit(PUNCTUATION), F.lit(" ")))
     return F.replace(out, F.lit("copyright holder"), F.lit("copyright owner"))  # also where a line ended between them
 
