@@ -2,6 +2,7 @@ import hashlib
 import math
 import re
 import textwrap
+import time
 import zlib
 from collections import Counter
 
@@ -277,6 +278,18 @@ def test_quality_equals_plain_compression(spark, sf_dir, odd, odd_rows):
         assert r["score"] == pytest.approx(1 / (1 + math.exp(-np.clip(w[0] + w[1] * difference(t), -30, 30))) if t else share, abs=1e-6)
 
 
+def test_dictionaries_stay_within_reach(spark):
+    """What a dictionary begins with is still found, however long the labelled texts are together."""
+    rng = np.random.default_rng(8)
+    texts = [(i, bytes(rng.integers(97, 123, 12_000).astype(np.uint8)).decode()) for i in range(900)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(900)], "doc_id long, quality int")
+    model = quality.fit(spark.createDataFrame(texts, "doc_id long, text string").repartition(4), labels)
+    assert all(2_400_000 < len(d) <= 2_500_000 for d in (model.good, model.bad))
+    for compressor, of in zip(model.compressors(), (model.good, model.bad)):
+        first = of.split(b"\n")[0]
+        assert all(len(compressor.compress(first[at : at + 2048])) < 100 for at in range(0, len(first), 2048))
+
+
 def test_substrings_odd(odd, empty):
     rows = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substring.remove_repeats(odd).collect()]
     by = {i: (n, gone) for i, n, gone, _ in rows}
@@ -361,6 +374,24 @@ def test_nearest_in_a_large_group(spark):
     assert len(got) == 45 and all(got[q] == set(np.argsort(-s[q])[:5].tolist()) for q in got)
 
 
+def test_few_rows_are_compared(spark):
+    """Each query alone prunes: on the given vectors all true neighbours are found from a twentieth of the rows."""
+    table = queries.table(spark, "/root/testdata/sf0.1", "embeddings").select("vec_id", "embedding").toPandas()
+    ids, x = table["vec_id"].to_numpy(), np.stack(table["embedding"]).astype(float)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    books = additive.codebooks(u, 16, 256)
+    codes, norms, _ = additive.encode(u, books, 4)
+    ask = ids % 50 == 0
+    search = additive.Search(ids[ask], x[ask], books, 5, 32)
+    for lo in range(0, len(ids), 700):
+        part = slice(lo, lo + 700)
+        search.see(ids[part], x[part], codes[part], norms[part], *(a[part] for a in additive.along(u, codes, norms, books)))
+    s = u[ask] @ u.T
+    s[ids[ask][:, None] == ids[None]] = -2
+    assert all(set(best) == set(ids[np.argsort(-row)[:5]]) for (_, best), row in zip(search.best, s))
+    assert search.compared < 0.05 * ask.sum() * len(ids)
+
+
 def test_visits_without_links_in_the_sample(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(1500, 32))
@@ -410,6 +441,22 @@ def test_license_in_any_lines(spark):
     assert [(i, got[i]) for i in range(len(rows))] == list(enumerate([*want, None]))
 
 
+def test_license_below_other_lines(spark):
+    whole = dict(license.whole_texts())
+    heads = ["SPDX-License-Identifier: MIT\n\n", "// SPDX-License-Identifier: MIT\n// Copyright 2020 X\n\n", "Copyright, 2020, A. Body\n", "Portions Copyright (c) 2010 A. Body\nCopyright (c) 2020 X\n", "MIT License\n\nCopyright (c) 2021 A\nPortions copyright (c) 2022 B\n\n"]
+    rows = [(i, head + whole["MIT"]) for i, head in enumerate(heads)]
+    rows += [(100, "SPDX-License-Identifier: MIT"), (101, "copyright notices and patents\n" + whole["MIT"])]
+    got = {r["doc_id"]: r["license"] for r in license.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: "MIT" for i in range(len(heads))} | {100: None, 101: None}
+
+
+def test_license_very_long_texts(spark):
+    rows = [(1, "Copyright 2020 a\n" * 200_000), (2, "copyright (c) 2020\n" * 200_000), (3, dict(license.whole_texts())["GPL-3.0"] + "\nword" * 500_000)]
+    began = time.time()
+    assert [r["license"] for r in license.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [None] * 3
+    assert time.time() - began < 30
+
+
 def plain_classes(rows, k, percent):
     sets = {}
     for i, t in rows:
@@ -578,3 +625,31 @@ def test_near_duplicate_stage_keeps_rows_without_an_id(spark, sf_dir, odd):
     got = sorted((r["doc_id"] or 0 for r in corpus_pipeline.near_duplicate_stage(spark, odd, sf_dir).collect()))
     texts = [(r[0], r[1]) for r in {r[0]: r for r in ROWS if r[0] is not None}.values()]
     assert got == [0, *(i for i, (_, c) in plain_classes(texts, 5, 80).items() if i == c)]
+
+
+def test_ids_that_repeat_with_other_vectors(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 16))
+    x[12], x[30], x[31] = rng.normal(size=16), x[13] + 1e-6, x[13] + 2e-6
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(50, x[11].tolist()), (50, x[12].tolist()), (7, x[8].tolist()), (7, x[8].tolist()), (50, None)]
+    got = {}
+    for r in multi_index.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), centres=4).collect():
+        got.setdefault(r["vec_id"], set()).add((r["n_links"], r["component_id"], r["kept"]))
+    assert got[11] == {(1, 11, True)} and got[12] == {(1, 11, False)} and got[50] == {(2, 11, False)}
+    assert got[8] == {(2, 7, False)} and {r[1:] for r in got[7]} == {(7, True)} and got[13] == {(2, 13, True)} and got[31] == {(2, 13, False)}
+    assert all(got[i] == {(0, i, True)} for i in range(40) if i not in (7, 8, 11, 12, 13, 30, 31))
+
+
+@pytest.mark.parametrize("centres", [32, 256])
+def test_visits_find_links_just_at_the_threshold(centres):
+    """Isotropic vectors, pairs of cosine 0.953 in directions that the visits were not fixed by."""
+    rng = np.random.default_rng(centres)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    grid = multi_index.Grid(unit(rng.standard_normal((12_000, 64))), centres)
+    grid.visits = multi_index.at_the_edge(grid, unit(rng.standard_normal((1024, 64))), 0.95, 0.98)
+    a = unit(rng.standard_normal((2000, 64)))
+    z = rng.standard_normal(a.shape)
+    b = 0.953 * a + (1 - 0.953**2) ** 0.5 * unit(z - (z * a).sum(1, keepdims=True) * a)
+    of_a, of_b = (grid.order(x, grid.visits) for x in (a, b))
+    found = (of_a == of_b[:, :1]).any(1) | (of_b == of_a[:, :1]).any(1)
+    assert found.mean() >= 0.97 and grid.visits < grid.cells / 20
