@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from quizloom.functions import arrays, literal, text
 from quizloom.operators import metrics, profile, runs, score, split, tokens
 from quizloom.plans import jobs
 from quizloom.sources import mcq as source
+from quizloom.streaming.answers import answer_stream
 
 QUESTION = "Which nation is the customer's?"
 TERMS, VOCABULARY, LENGTH, BATCH = 1000, 2000, 250, 8
@@ -143,6 +146,22 @@ def log_levels(spark, sf_dir):
     return runs.levels(table(spark, sf_dir, "events").select(level.alias("level")))
 
 
+def log_entries(spark, sf_dir):
+    """Messages with their level (INFO where none is given), appended to a log in two calls and read back."""
+    rows, path = table(spark, sf_dir, "events"), source.scratch(spark, "messages")
+    level = F.when(F.col("value") > 100, "WARNING")
+    entry = runs.log_entry(F.concat(F.lit("event "), F.col("event_id").cast("string")), level, F.col("ts"))
+    for part in (F.col("event_id") % 2 == 0, F.col("event_id") % 2 == 1):
+        source.append_log(rows.where(part).select(entry.alias("e")).select("e.*"), path)
+    return spark.read.schema("timestamp string, level string, message string").json(path)
+
+
+def run_names(spark, sf_dir):
+    """The default name that a run begun at each order's or event's time has, and that time in a log."""
+    times = table(spark, sf_dir, "events").select("ts").unionByName(table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("timestamp").alias("ts")))
+    return times.select(runs.run_name(F.col("ts")).alias("name"), runs.iso_stamp(F.col("ts")).alias("stamp")).groupBy("name", "stamp").agg(F.count("*").alias("n"))
+
+
 def best_checkpoint(spark, sf_dir):
     return jobs.run_comparison(log(spark, sf_dir))
 
@@ -227,6 +246,12 @@ def render_chat(spark, sf_dir):
     return chats(spark, sf_dir)
 
 
+def render_inference(spark, sf_dir):
+    """The chat up to the model's turn, by the template that the model's name chooses."""
+    template = text.choose_template(None, "Gemma-2-it", lambda messages, **_: F.lit("another template"))
+    return jobs.inference_examples(mcq(spark, sf_dir)).select("id", template(F.col("messages"), add_generation_prompt=True).alias("chat"))
+
+
 def build_vocab(spark, sf_dir):
     return tokens.build_vocabulary(table(spark, sf_dir, "documents"), "text", VOCABULARY)
 
@@ -299,6 +324,31 @@ def predict_choice(spark, sf_dir):
     return jobs.answers(mcq(spark, sf_dir))
 
 
+def by_id() -> Callable:
+    """A scorer that prefers the choice after the id's remainder by five."""
+    return lambda batch: batch["id"].map(lambda i: [float(k == int(i) % 5) for k in range(5)])
+
+
+def scored_choices(spark, sf_dir):
+    """Answers of a scorer over batches of messages."""
+    return jobs.answers(mcq(spark, sf_dir), by_id)
+
+
+def stream_answers(spark, sf_dir):
+    """The same from the questions as a stream."""
+    path, out, state = (source.scratch(spark, name) for name in ("questions", "answers", "state"))
+    questions = mcq(spark, sf_dir)
+    questions.write.parquet(path)
+    answer_stream(spark.readStream.schema(questions.schema).parquet(path), by_id, out, state).awaitTermination()
+    return spark.read.schema("id string, answer string").parquet(out)
+
+
+def unanswered_questions(spark, sf_dir):
+    """Those of vectors with one to seven choices, or none, that get no answer."""
+    rows = logits(spark, sf_dir).select(F.col("vec_id").alias("id"), (F.col("vec_id") % 8).cast("int").alias("len_choices"), "logits")
+    return score.unanswered(rows.select("id", "len_choices"), score.predictions(rows))
+
+
 def evaluate_answers(spark, sf_dir):
     questions = mcq(spark, sf_dir)
     out = jobs.evaluation(questions, jobs.answers(questions))
@@ -372,6 +422,7 @@ QUERIES = {
         numbered_choices, create_prompt, training_messages, inference_messages, render_chat, build_vocab, tokenize_docs, filter_by_length, completion_mask,
         decode_labels, train_test_split, pad_batches, training_data, gather_logits, choice_softmax, choice_argmax, predict_choice, evaluate_answers,
         accuracy, macro_f1, confusion_matrix, question_profile, rejected_answers, eval_logits,
+        log_entries, run_names, render_inference, scored_choices, stream_answers, unanswered_questions,
         staged_questions, submission_runs, lexical_scores, running_best_stamps, best_records, tokenize_reused, training_data_bpe, logits_evaluation, evaluate_metrics,
     )
 }
@@ -467,6 +518,14 @@ c AS (SELECT least(floor((x - lo) * 30 / (hi - lo)), 29)::INTEGER AS bin, count(
 SELECT 'length' AS kind, b::VARCHAR AS key, coalesce(c.n, 0)::DOUBLE AS value FROM range(30) AS r(b) LEFT JOIN c ON c.bin = b
 UNION ALL SELECT 'term', term, round(sum(weight), 4) FROM weights GROUP BY term
 UNION ALL """ + " UNION ALL ".join(f"SELECT 'missing', '{c}', (count(*) - count({c}))::DOUBLE FROM mcq" for c in ("id", "paragraph", "question", "choices", "answer", "question_plus")),
+    "log_entries": """SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN strftime(ts, '%f') <> '000000' THEN '.' || strftime(ts, '%f') ELSE '' END AS timestamp,
+CASE WHEN value > 100 THEN 'WARNING' ELSE 'INFO' END AS level, 'event ' || event_id AS message FROM events""",
+    "run_names": """SELECT strftime(ts, 'exp_%Y%m%d_%H%M%S') AS name, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN strftime(ts, '%f') <> '000000' THEN '.' || strftime(ts, '%f') ELSE '' END AS stamp, count(*) AS n
+FROM (SELECT ts FROM events UNION ALL SELECT o_orderdate::TIMESTAMP FROM orders) GROUP BY ALL""",
+    "render_inference": f"WITH {_MCQ} SELECT id, '{text.SYSTEM_MESSAGE}' || {_nl(text.TURN_START + 'user' + chr(10))} || {_PROMPT} || {_MODEL_TURN} AS chat FROM mcq",
+    "scored_choices": f"WITH {_MCQ} SELECT id, (id::BIGINT % 5 + 1)::VARCHAR AS answer FROM mcq",
+    "stream_answers": f"WITH {_MCQ} SELECT id, (id::BIGINT % 5 + 1)::VARCHAR AS answer FROM mcq",
+    "unanswered_questions": "SELECT vec_id AS id, (vec_id % 8)::INTEGER AS len_choices FROM embeddings WHERE vec_id % 8 NOT BETWEEN 1 AND 5",
     "staged_questions": f"WITH {_MCQ} SELECT id, answer, CASE WHEN i < k THEN 'test' ELSE 'train' END AS split FROM (SELECT id, answer, {_ORDER.format(id='id')} AS i, ceil(count(*) OVER () * 0.1::DECIMAL(3,1)) AS k FROM mcq)",
     "submission_runs": f"WITH {_MCQ} SELECT id, answer, run FROM mcq, (VALUES ('checkpoint-1000', '3'), ('best_model', '2'), ('checkpoint-2000', '4')) AS r(run, answer)".replace("SELECT id, answer, run", "SELECT id, r.answer, run"),
     "lexical_scores": f"""WITH {_MCQ}, q AS (SELECT id::BIGINT AS key, CASE id::BIGINT % 7 WHEN 0 THEN NULL WHEN 1 THEN []::VARCHAR[] ELSE choices END AS c, {_TERMS_OF % "paragraph || ' ' || question"} AS context FROM mcq),

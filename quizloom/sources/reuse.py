@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import inspect
 import json
+import re
 import uuid
 from collections.abc import Callable
 from types import ModuleType
@@ -26,15 +27,22 @@ def file_identity(spark: SparkSession, paths: list[str]) -> list[tuple[str, int,
 
 
 def identity(df: DataFrame) -> str | None:
-    """A digest of a frame's plan and of the files it reads; None where it can't be told: rows from elsewhere than
-    files, expressions that may give others each time, or functions in Python."""
+    """A digest of a frame's plan, of the files it reads and of how it reads them; None where it can't be told: rows
+    from elsewhere than files, expressions that may give others each time, or functions in Python."""
     plan = df._jdf.queryExecution().optimizedPlan()
-    leaves = plan.collectLeaves()
-    names = [leaves.apply(i).getClass().getSimpleName() for i in range(leaves.size())]
-    text = plan.canonicalized().toJSON() if all(n == "LogicalRelation" for n in names) and plan.deterministic() else None
-    if text is None or "PythonUDF" in text:
+    found = plan.collectLeaves()
+    leaves = [found.apply(i) for i in range(found.size())]
+    if not plan.deterministic() or any(leaf.getClass().getSimpleName() != "LogicalRelation" for leaf in leaves):
         return None
-    return hashlib.sha256(json.dumps([plan.canonicalized().toString(), file_identity(df.sparkSession, df.inputFiles())]).encode()).hexdigest()
+    relations = [leaf.relation() for leaf in leaves]
+    if any(r.getClass().getSimpleName() != "HadoopFsRelation" for r in relations):
+        return None
+    # Whole, unlike a printed plan, but for what is another in each session.
+    text = re.sub(r'"jvmId":"[^"]*"', "", plan.canonicalized().toJSON())
+    if "PythonUDF" in text or "ScalaUDF" in text:
+        return None
+    read = [[r.fileFormat().toString(), r.dataSchema().json(), sorted(str(r.options().toSeq().apply(i)) for i in range(r.options().size()))] for r in relations]
+    return hashlib.sha256(json.dumps([text, read, file_identity(df.sparkSession, df.inputFiles())]).encode()).hexdigest()
 
 
 def reused(make: Callable[[], DataFrame], name: str, of: list[DataFrame], parameters: dict, code: list[ModuleType], folder: str | None = None) -> DataFrame:

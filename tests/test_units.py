@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quizloom.functions import arrays, literal, text
 from quizloom.operators import metrics, profile, runs, score, split, tokens
 from quizloom.plans import jobs
-from quizloom.sources import mcq
+from quizloom.sources import mcq, reuse
 from quizloom.streaming.answers import answer_stream
 
 
@@ -202,6 +202,17 @@ def test_tables_are_reused(spark, tmp_path):
     assert calls.value == 88  # rows that are in no file have no identity
 
 
+def test_identity_of_a_frame(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(3).write.option("header", True).csv(path)
+    read = lambda **how: spark.read.schema("id string").csv(path, **how)
+    wide = lambda last: spark.read.schema("id long").csv(path).select(*((F.col("id") + i).alias(f"c{i}") for i in range(60)), F.lit(last).alias("last"))
+    frames = [read(), read(header=True), read().where("id > 1"), read().where("id > 2"), wide(1), wide(2)]
+    found = [reuse.identity(df) for df in frames]
+    assert None not in found and len(set(found)) == len(frames) and reuse.identity(read()) == found[0]
+    assert [reuse.identity(df) for df in (spark.range(3), read().withColumn("x", F.rand()), read().select(F.udf(len)("id")))] == [None] * 3
+
+
 def test_training_data_with_a_tokenizer_file(spark, sf_dir):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     tokenizers = pytest.importorskip("tokenizers")
