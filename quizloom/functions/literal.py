@@ -16,6 +16,11 @@ PROBLEM = "struct<question:string,choices:array<string>,answer:int,question_plus
 FLAT = r"""^\{(?:[ :,\[\]]|"[^"\\\x00-\x1f]*+"|'[^'\\\x00-\x1f]*+'|-?+(?:0|[1-9][0-9]{0,17}+)(?:\.[0-9]{1,15}+)?+(?![\w.]))*+\}$"""
 
 
+def plain(value: object) -> str:
+    """What JSON has no form for, as text; a set's members in order, which is another in each process otherwise."""
+    return "{" + ", ".join(sorted(map(repr, value))) + "}" if isinstance(value, set) and value else repr(value)
+
+
 @F.pandas_udf(StructType([StructField("json", StringType()), StructField("error", StringType())]))
 def _evaluated(texts: pd.Series) -> pd.DataFrame:
     """Each literal as JSON, or the name of the error that reading it raised; null stays null."""
@@ -25,7 +30,7 @@ def _evaluated(texts: pd.Series) -> pd.DataFrame:
             rows.append((None, None))
             continue
         try:
-            rows.append((json.dumps(ast.literal_eval(text), ensure_ascii=False, default=repr), None))
+            rows.append((json.dumps(ast.literal_eval(text), ensure_ascii=False, default=plain), None))
         except (SyntaxError, ValueError, TypeError, MemoryError, RecursionError) as e:
             rows.append((None, type(e).__name__))
     return pd.DataFrame(rows, columns=["json", "error"])

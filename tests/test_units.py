@@ -35,7 +35,7 @@ def test_both_tiers_of_literals_agree(spark):
     got = df.select("t", literal.literal_json("t").alias("l"), F.col("t").rlike(literal.FLAT).alias("flat")).collect()
     for row in got:
         try:
-            want, error = json.loads(json.dumps(ast.literal_eval(row["t"]), default=repr)), None
+            want, error = json.loads(json.dumps(ast.literal_eval(row["t"]), default=literal.plain)), None
         except (SyntaxError, ValueError) as e:
             want, error = None, type(e).__name__
         assert row["l"]["error"] == error and (row["l"]["json"] is None if error else json.loads(row["l"]["json"]) == want), row["t"]
