@@ -78,10 +78,25 @@ def answers(mcq: DataFrame, scorer: Callable | None = None) -> DataFrame:
     return score.predictions(score.score_choices(inference_examples(mcq), scorer) if scorer else score.lexical_scores(mcq))
 
 
-def evaluation(truth: DataFrame, predicted: DataFrame) -> DataFrame:
-    """accuracy, macro_f1, n, n_classes: truth (id, answer) joined by id with predicted (id, answer)."""
+def submit(mcq: DataFrame, root: str, scorer_of: Callable[[str], Callable | None], artifacts: DataFrame | None = None, checkpoint: str | None = None) -> tuple[str, DataFrame]:
+    """Answers the questions with the scorer of one checkpoint, the latest of artifacts (name) unless one is given, and
+    writes them as that checkpoint's run under root; other runs' answers stay. Returns the run and its answers as written.
+
+    A checkpoint may be a path; its last part is the run. Without any numbered artifact FileNotFoundError is raised.
+    """
+    if checkpoint is None:
+        if artifacts is None:
+            raise ValueError("neither a checkpoint nor artifacts to choose the latest of")
+        checkpoint = runs.require_latest(artifacts)
+    run = checkpoint.rstrip("/").rpartition("/")[2]
+    made = answers(mcq, scorer_of(checkpoint)).withColumn("run", F.lit(run))
+    return run, source.write_submissions(made, root).where(F.col("run") == run)
+
+
+def evaluation(truth: DataFrame, predicted: DataFrame, given: dict[str, metrics.Metric] | None = None) -> DataFrame:
+    """accuracy, macro_f1, n, n_classes, or the given metrics: truth (id, answer) joined by id with predicted (id, answer)."""
     pairs = truth.select("id", F.col("answer").cast("string").alias("y")).join(predicted.select("id", F.col("answer").alias("p")), "id")
-    return metrics.evaluation(pairs)
+    return metrics.evaluation(pairs, given)
 
 
 def evaluate_logits(rows: DataFrame, vocabulary: list[str], answer_offset: int = -2, given: dict[str, metrics.Metric] | None = None) -> DataFrame:

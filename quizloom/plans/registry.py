@@ -21,12 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of fewer parts than there are cores over all cores, as much is done with each; others stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def mcq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions from customers: which of their region's five nations is theirs? There are 25 nations."""
     nations = table(spark, sf_dir, "nation")
     regions = nations.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("all"))
     nations = nations.join(regions, "n_regionkey")
-    rows = table(spark, sf_dir, "customer").join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = spread(table(spark, sf_dir, "customer")).join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))
     return rows.select(
         F.col("c_custkey").cast("string").alias("id"),
         F.concat("c_name", F.lit(" lives in "), "n_name").alias("paragraph"),
@@ -58,7 +64,7 @@ def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return tokens.tokenize(docs, "text", tokens.encoder(tokens.build_vocabulary(docs, "text", VOCABULARY)), ("doc_id",))
 
 
@@ -204,15 +210,15 @@ def length_histogram(spark, sf_dir):
 
 
 def tfidf_vocab(spark, sf_dir):
-    return profile.tfidf_vocabulary(profile.term_counts(table(spark, sf_dir, "documents"), "doc_id", "text"), TERMS)
+    return profile.tfidf_vocabulary(profile.term_counts(spread(table(spark, sf_dir, "documents")), "doc_id", "text"), TERMS)
 
 
 def tfidf_weights(spark, sf_dir):
-    return profile.tfidf(table(spark, sf_dir, "documents"), "doc_id", "text", TERMS).select(F.col("id").alias("doc_id"), "term", F.round("weight", 6).alias("weight"))
+    return profile.tfidf(spread(table(spark, sf_dir, "documents")), "doc_id", "text", TERMS).select(F.col("id").alias("doc_id"), "term", F.round("weight", 6).alias("weight"))
 
 
 def tfidf_wide(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     terms = [r["term"] for r in profile.tfidf_vocabulary(profile.term_counts(docs, "doc_id", "text"), 20).collect()]
     wide = profile.tfidf_wide(profile.tfidf(docs, "doc_id", "text", 20), terms, docs.select(F.col("doc_id").alias("id")))
     values = F.array(*(F.round(F.col(f"`{t}`"), 6) for t in sorted(terms)))
@@ -253,7 +259,7 @@ def render_inference(spark, sf_dir):
 
 
 def build_vocab(spark, sf_dir):
-    return tokens.build_vocabulary(table(spark, sf_dir, "documents"), "text", VOCABULARY)
+    return tokens.build_vocabulary(spread(table(spark, sf_dir, "documents")), "text", VOCABULARY)
 
 
 def tokenize_docs(spark, sf_dir):
@@ -262,7 +268,7 @@ def tokenize_docs(spark, sf_dir):
 
 def tokenize_reused(spark, sf_dir):
     """The second of two builds of one table, which finds the first's."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     words = tokens.WordTokenizer(tokens.build_vocabulary(docs, "text", VOCABULARY))
     for _ in range(2):
         rows = jobs.tokenized(docs.select("doc_id", "text"), "text", words, ("doc_id",))
@@ -334,6 +340,14 @@ def scored_choices(spark, sf_dir):
     return jobs.answers(mcq(spark, sf_dir), by_id)
 
 
+def submit_latest(spark, sf_dir):
+    """The latest checkpoint's answers, written after another's and read back with the run's name."""
+    questions, root = mcq(spark, sf_dir), source.scratch(spark, "runs")
+    jobs.submit(questions, root, lambda _: by_id, checkpoint="out/best_model/")
+    jobs.submit(questions, root, lambda _: by_id, artifacts(spark, sf_dir))
+    return source.read_submissions(spark, root)
+
+
 def stream_answers(spark, sf_dir):
     """The same from the questions as a stream."""
     path, out, state = (source.scratch(spark, name) for name in ("questions", "answers", "state"))
@@ -422,7 +436,7 @@ QUERIES = {
         numbered_choices, create_prompt, training_messages, inference_messages, render_chat, build_vocab, tokenize_docs, filter_by_length, completion_mask,
         decode_labels, train_test_split, pad_batches, training_data, gather_logits, choice_softmax, choice_argmax, predict_choice, evaluate_answers,
         accuracy, macro_f1, confusion_matrix, question_profile, rejected_answers, eval_logits,
-        log_entries, run_names, render_inference, scored_choices, stream_answers, unanswered_questions,
+        log_entries, run_names, render_inference, scored_choices, submit_latest, stream_answers, unanswered_questions,
         staged_questions, submission_runs, lexical_scores, running_best_stamps, best_records, tokenize_reused, training_data_bpe, logits_evaluation, evaluate_metrics,
     )
 }
@@ -524,6 +538,8 @@ CASE WHEN value > 100 THEN 'WARNING' ELSE 'INFO' END AS level, 'event ' || event
 FROM (SELECT ts FROM events UNION ALL SELECT o_orderdate::TIMESTAMP FROM orders) GROUP BY ALL""",
     "render_inference": f"WITH {_MCQ} SELECT id, '{text.SYSTEM_MESSAGE}' || {_nl(text.TURN_START + 'user' + chr(10))} || {_PROMPT} || {_MODEL_TURN} AS chat FROM mcq",
     "scored_choices": f"WITH {_MCQ} SELECT id, (id::BIGINT % 5 + 1)::VARCHAR AS answer FROM mcq",
+    "submit_latest": f"""WITH {_MCQ}, {_ARTIFACTS}, latest AS (SELECT name FROM artifacts ORDER BY try_cast(split_part(name, '-', 2) AS BIGINT) DESC NULLS LAST LIMIT 1)
+SELECT id, (id::BIGINT % 5 + 1)::VARCHAR AS answer, name AS run FROM mcq, (SELECT name FROM latest UNION ALL SELECT 'best_model') AS r""",
     "stream_answers": f"WITH {_MCQ} SELECT id, (id::BIGINT % 5 + 1)::VARCHAR AS answer FROM mcq",
     "unanswered_questions": "SELECT vec_id AS id, (vec_id % 8)::INTEGER AS len_choices FROM embeddings WHERE vec_id % 8 NOT BETWEEN 1 AND 5",
     "staged_questions": f"WITH {_MCQ} SELECT id, answer, CASE WHEN i < k THEN 'test' ELSE 'train' END AS split FROM (SELECT id, answer, {_ORDER.format(id='id')} AS i, ceil(count(*) OVER () * 0.1::DECIMAL(3,1)) AS k FROM mcq)",

@@ -286,6 +286,21 @@ def test_submissions_keep_other_runs(spark, tmp_path):
     assert {tuple(r) for r in mcq.read_submissions(spark, str(tmp_path)).collect()} == want
 
 
+def test_submit_a_checkpoint(spark, tmp_path):
+    questions = spark.createDataFrame([("1", "p", "q", ["a", "b"], 1, None), ("2", "p", "q", ["a", "b", "c"], 1, None)], "id string, paragraph string, question string, choices array<string>, answer int, question_plus string")
+    names = spark.createDataFrame([("checkpoint-9",), ("checkpoint-10",), ("best_model",)], "name string")
+    last = lambda _: lambda: lambda batch: batch["len_choices"].map(lambda n: [0.0] * (n - 1) + [1.0])
+    run, rows = jobs.submit(questions, str(tmp_path), last, names)
+    assert run == "checkpoint-10" and {(r["id"], r["answer"]) for r in rows.collect()} == {("1", "2"), ("2", "3")}
+    run, rows = jobs.submit(questions.where("id = '1'"), str(tmp_path), lambda _: None, checkpoint="out/checkpoint-9/")
+    assert run == "checkpoint-9" and rows.count() == 1 and mcq.read_submissions(spark, str(tmp_path)).count() == 3
+    assert jobs.submit(questions.where("id = '1'"), str(tmp_path), last, names)[1].count() == 1
+    for nothing, error in ((None, ValueError), (names.where("name = 'best_model'"), FileNotFoundError)):
+        with pytest.raises(error):
+            jobs.submit(questions, str(tmp_path), last, nothing)
+    assert jobs.evaluation(questions, rows, {"n": metrics.count_of}).first()["n"] == 1
+
+
 def test_every_question_is_scored(spark):
     kind = "id string, paragraph string, question string, choices array<string>"
     rows = [("1", "red fox", "which animal", ["red fox", "blue whale"]), ("2", "p", "q", []), ("3", "p", "q", None), ("4", "blue whale", "q", ["red fox", "blue whale"]), ("4", "red", "q", ["red fox", "blue whale"]), ("5", "p", "q", [None, "x"]), (None, None, None, ["red"])]
