@@ -107,16 +107,21 @@ def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return tidied
 
 
+def give_back() -> None:
+    """Gives free memory back to the system: Spark keeps its Python workers, and what they hold counts against an
+    executor's other steps."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lean(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function over Arrow batches that gives a task's free memory back to the system when it ends: Spark
-    keeps its Python workers, and what they hold counts against an executor's other steps."""
+    """A function over Arrow batches that gives a task's free memory back when it ends."""
 
     @functools.wraps(rows)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from rows(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(AttributeError, OSError):  # not every C library has it
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return run
 

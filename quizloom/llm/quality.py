@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from quizloom.llm.common import fold
+from quizloom.llm.common import fold, give_back
 
 #: Bytes that are compressed by themselves, and bytes of average difference that are added to a text.
 BLOCK, PRIOR = 2048, 32
@@ -57,6 +57,10 @@ class Model:
                 self._by.append(zstandard.ZstdCompressor(dict_data=held, level=self.level, write_checksum=False, write_content_size=False, write_dict_id=False))
         return self._by
 
+    def rest(self) -> None:
+        """Lets go of what compressing takes, some tens of MB, until it is needed again."""
+        self._by = None
+
     def saved(self, texts: list[bytes]) -> np.ndarray:
         """How many bytes the good dictionary saves beyond the bad one, over all blocks."""
         if not (self.good and self.bad and texts):
@@ -146,6 +150,8 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", score_col:
         for texts in batches:
             out = [shared.value.score([(t.as_py() or "").encode() for t in texts.slice(lo, 256)]) for lo in range(0, len(texts), 256)]
             yield pa.array(np.concatenate(out or [np.empty(0)]), pa.float64())
+        shared.value.rest()
+        give_back()
 
     return docs.withColumn(score_col, score(F.col(text_col)))
 
