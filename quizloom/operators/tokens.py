@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -87,6 +88,7 @@ class FileTokenizer:
         from tokenizers import Tokenizer
 
         if self._made is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel already
             self._made = Tokenizer.from_file(self.path)
             self._made.encode_special_tokens = not self.special
         return self._made
