@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quizloom.sources.mcq import written
+
 #: Runs of two word characters or more, in every script.
 TERM = r"[\p{L}\p{M}\p{N}\p{Pc}]{2,}"
 
@@ -30,30 +32,52 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     return out.select("bin", (lo + F.col("bin") * width).alias("low"), (lo + (F.col("bin") + 1) * width).alias("high"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def all_terms(text_col: str) -> Column:
+    return F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(TERM), F.lit(0)))
+
+
 def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, term, tf."""
-    terms = F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(TERM), F.lit(0)))
-    return df.select(F.col(id_col).alias("id"), terms.alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    return df.select(F.col(id_col).alias("id"), all_terms(text_col).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-def tfidf_vocabulary(counts: DataFrame, max_features: int = 1000) -> DataFrame:
+def frequent_counts(df: DataFrame, id_col: str, text_col: str, max_features: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """The most frequent terms (term, ctf; ties by term) and their counts in each document (id, term, tf), written.
+
+    The terms have max_features rows at most, so they are broadcast, and other terms pass no exchange with an id.
+    """
+    terms = df.select(all_terms(text_col).alias("term")).groupBy("term").agg(F.count("*").alias("ctf"))
+    top = written(terms.orderBy(F.desc("ctf"), "term").limit(max_features), "terms")
+    known = df.select(F.col(id_col).alias("id"), all_terms(text_col).alias("term")).join(F.broadcast(top.select("term")), "term")
+    return top, written(known.groupBy("id", "term").agg(F.count("*").alias("tf")), "counts")
+
+
+def tfidf_vocabulary(df: DataFrame, id_col: str, text_col: str, max_features: int = 1000) -> DataFrame:
     """term, ctf, df of the most frequent terms; ties by term."""
-    return counts.groupBy("term").agg(F.sum("tf").alias("ctf"), F.count("*").alias("df")).orderBy(F.desc("ctf"), "term").limit(max_features)
+    top, counts = frequent_counts(df, id_col, text_col, max_features)
+    return top.join(document_counts(counts), "term").orderBy(F.desc("ctf"), "term")
+
+
+def document_counts(counts: DataFrame) -> DataFrame:
+    """term, df."""
+    return counts.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def weighted(counts: DataFrame, n: int) -> DataFrame:
+    """id, term, weight from the counts of a vocabulary's terms in n documents."""
+    known = counts.join(F.broadcast(document_counts(counts)), "term")
+    w = F.col("tf") * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0)
+    # A document has max_features rows at most. Counts pass the exchange, weights are made behind it.
+    norm = F.sqrt(F.sum(w * w).over(Window.partitionBy("id")))
+    return known.select("id", "term", (w / norm).alias("weight"))
 
 
 def tfidf(df: DataFrame, id_col: str, text_col: str, max_features: int = 1000) -> DataFrame:
     """id, term, weight: tf * (ln((1 + N) / (1 + df)) + 1), of length 1 per document.
 
-    The vocabulary has max_features rows at most, so it is broadcast. Documents without a term of the
-    vocabulary have no rows; those of one id count as one text, and so do those without an id.
+    Documents without a term of the vocabulary have no rows; those of one id count as one text, and so do those without an id.
     """
-    counts = term_counts(df, id_col, text_col)
-    n = df.count()
-    known = counts.join(F.broadcast(tfidf_vocabulary(counts, max_features)), "term")
-    known = known.withColumn("w", F.col("tf") * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0))
-    # A document has max_features rows at most.
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
-    return known.select("id", "term", (F.col("w") / norm).alias("weight"))
+    return weighted(frequent_counts(df, id_col, text_col, max_features)[1], df.count())
 
 
 def tfidf_wide(weights: DataFrame, terms: list[str], ids: DataFrame, limit: int = 1000) -> DataFrame:

@@ -210,7 +210,7 @@ def length_histogram(spark, sf_dir):
 
 
 def tfidf_vocab(spark, sf_dir):
-    return profile.tfidf_vocabulary(profile.term_counts(spread(table(spark, sf_dir, "documents")), "doc_id", "text"), TERMS)
+    return profile.tfidf_vocabulary(spread(table(spark, sf_dir, "documents")), "doc_id", "text", TERMS)
 
 
 def tfidf_weights(spark, sf_dir):
@@ -219,8 +219,9 @@ def tfidf_weights(spark, sf_dir):
 
 def tfidf_wide(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents"))
-    terms = [r["term"] for r in profile.tfidf_vocabulary(profile.term_counts(docs, "doc_id", "text"), 20).collect()]
-    wide = profile.tfidf_wide(profile.tfidf(docs, "doc_id", "text", 20), terms, docs.select(F.col("doc_id").alias("id")))
+    top, counts = profile.frequent_counts(docs, "doc_id", "text", 20)
+    terms = [r["term"] for r in top.collect()]
+    wide = profile.tfidf_wide(profile.weighted(counts, docs.count()), terms, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")))
     values = F.array(*(F.round(F.col(f"`{t}`"), 6) for t in sorted(terms)))
     return wide.select(F.col("id").alias("doc_id"), F.array_join(F.transform(values, lambda x: F.format_string("%.6f", x)), "|").alias("weights"))
 

@@ -378,6 +378,21 @@ def test_profile_edges(spark):
         profile.tfidf_wide(words, ["t"] * 3, words, limit=2)
 
 
+def test_tfidf_moves_only_the_vocabulary(spark):
+    rows = [(i, f"ab cd ab rare{i}") for i in range(50)] + [(7, "cd cd"), (None, "ab"), (None, "cd"), (60, None), (61, "lone")]
+    texts = spark.createDataFrame(rows, "id int, t string")
+    top, counts = profile.frequent_counts(texts, "id", "t", 2)
+    assert [(r["term"], r["ctf"]) for r in top.orderBy("term").collect()] == [("ab", 101), ("cd", 53)]
+    every = profile.term_counts(texts, "id", "t").where("term in ('ab', 'cd')")
+    assert counts.count() == 102 and counts.exceptAll(every).isEmpty() and every.exceptAll(counts).isEmpty()
+    assert [tuple(r) for r in profile.tfidf_vocabulary(texts, "id", "t", 2).collect()] == [("ab", 101, 51), ("cd", 53, 51)]
+    weights = profile.tfidf(texts, "id", "t", 2)
+    # What is returned reads counts of the vocabulary's terms, not texts: no other term passes an exchange with its id.
+    assert "Generate" not in weights._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["id"], r["term"]): r["weight"] for r in weights.where("id = 7").collect()} == {(7, "ab"): pytest.approx(2 / 13**0.5), (7, "cd"): pytest.approx(3 / 13**0.5)}
+    assert weights.where("id is null").count() == 2 and weights.where("id in (60, 61)").isEmpty()
+
+
 def test_encoding_keeps_empty_texts(spark):
     df = spark.createDataFrame([(1, "가 b! b"), (2, ""), (3, None)], "id int, t string")
     vocabulary = tokens.build_vocabulary(df, "t", 2)
