@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
@@ -21,6 +21,15 @@ SPECIAL = ("<unk>", "<start_of_turn>", "<end_of_turn>")
 TOKEN = r"<start_of_turn>|<end_of_turn>|[\p{L}\p{M}\p{N}\p{Pc}]+|[^\p{L}\p{M}\p{N}\p{Pc}\s]"
 
 
+#: Bytes of an Arrow batch: Spark and Python hold batches of texts, of tokens and of ids, and an executor has a worker for each task.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have about BATCH_BYTES, or one longer row: rows of long texts fill batches long before their number does."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
 
@@ -35,7 +44,8 @@ def build_vocabulary(df: DataFrame, text_col: str, max_size: int = 10_000) -> Da
 
 
 def encoder(vocabulary: DataFrame) -> Callable[[Column], Column]:
-    """Encodes arrays of tokens without a shuffle. The vocabulary's size is bounded by build_vocabulary."""
+    """Encodes arrays of tokens without a shuffle, in small batches. The vocabulary's size is bounded by build_vocabulary."""
+    small_batches(vocabulary.sparkSession)
     terms = [r["term"] for r in vocabulary.orderBy("id").collect()]
     shared = vocabulary.sparkSession.sparkContext.broadcast(terms)
 
@@ -95,6 +105,7 @@ class FileTokenizer:
 
     def encode(self, text: Column) -> Column:
         own = self
+        small_batches(SparkSession.active())
 
         @F.arrow_udf(ArrayType(IntegerType()))
         def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -121,13 +132,14 @@ def tokenize(df: DataFrame, text_col: str, encode: Callable[[Column], Column], k
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
-    """A function over pandas batches, made once per task: an external tokenizer or model."""
+    """A function over pandas batches, made once per task: an external tokenizer or model. Batches are small."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = make()
         for batch in batches:
             yield f(batch)
 
+    small_batches(df.sparkSession)
     return df.mapInPandas(rows, schema)
 
 

@@ -400,6 +400,20 @@ def test_encoding_keeps_empty_texts(spark):
     assert rows[1]["input_ids"] == [0, 3, 4, 3] and rows[2]["input_ids"] == [] == rows[3]["input_ids"] and rows[1]["attention_mask"] == [1] * 4
 
 
+def test_encoders_get_small_batches(spark):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.range(0, 3000, 1, 1).select("id", F.repeat(F.lit("ab cd "), 2000).alias("t"))  # 36 MB in one part
+    rows = tokens.map_batches(texts, lambda: lambda batch: batch[["id"]].assign(n=len(batch)), "id long, n int").agg(F.max("n"), F.count("*")).first()
+    assert rows[0] * 12_000 < 3 * tokens.BATCH_BYTES and rows[1] == 3000
+    vocabulary = spark.createDataFrame([("ab", 1, 0), ("cd", 1, 1)], "term string, n long, id int")
+    for encode in (lambda: tokens.encoder(vocabulary)(tokens.tokens(F.col("t"))), lambda: tokens.FileTokenizer("unread").encode(F.col("t"))):
+        spark.conf.unset(setting)
+        encoded = texts.select("id", encode().alias("ids"))
+        assert spark.conf.get(setting) == str(tokens.BATCH_BYTES)
+    encoded = texts.select("id", tokens.encoder(vocabulary)(tokens.tokens(F.col("t"))).alias("ids"))
+    assert encoded.where("size(ids) = 4000 and ids[0] = 0 and ids[3999] = 1").count() == 3000
+
+
 def test_jobs_and_stream(spark, sf_dir, tmp_path):
     from quizloom.plans import registry
 
