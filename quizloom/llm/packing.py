@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quizloom.llm.common import materialise
+from quizloom.llm.common import lean, materialise
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces of a length that a block, a group of one task, is to hold.
 ROWS_IN_BLOCK = 1024
-#: Entries of an encoder's memory, some 200 bytes each.
-WORDS_HELD, PARTS_HELD = 800_000, 600_000
+#: Entries of an encoder's memory, some 160 bytes each, and how many new words are encoded at once.
+WORDS_HELD, PARTS_HELD, AT_ONCE = 450_000, 250_000, 10_000
 SIMPLE = re.compile(rb"([A-Za-z]+)([.,;:!?]*)")
 _encoders: dict[str, Callable[[str], bytes]] = {}
 
@@ -71,10 +71,14 @@ def word_encoder(path: str) -> Callable[[str], bytes]:
             cut = {w: (m[1].lower(), m[2]) if (m := SIMPLE.fullmatch(w)) else (w,) for w in words}
             new = list({p for ps in cut.values() for p in ps if p and p not in parts})
             own: dict[bytes, bytes] = {b"": b""}
-            for at in range(0, len(new), 10_000):
-                some = new[at : at + 10_000]
-                for w, e in zip(some, tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)):
-                    own[w] = np.array(e.ids, "<u4").tobytes()
+            for at in range(0, len(new), AT_ONCE):
+                some = [w.decode() for w in new[at : at + AT_ONCE]]
+                # As one text: a token belongs to the word in which it starts.
+                found = tokenizer.encode(" ".join(some), add_special_tokens=False)
+                ids = np.array(found.ids, "<u4").tobytes()
+                begins = np.cumsum([0, *(len(w) + 1 for w in some)])
+                cuts = (4 * np.searchsorted([lo for lo, _ in found.offsets], begins)).tolist()
+                own.update((w, ids[lo:hi]) for w, lo, hi in zip(new[at : at + AT_ONCE], cuts, cuts[1:]))
             if len(parts) < PARTS_HELD:
                 parts.update(own)
             return {w: b"".join(own[p] if p in own else parts[p] for p in ps) for w, ps in cut.items()}
@@ -108,7 +112,7 @@ def piece_rows(path: str, limit: int):
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "piece", "start", "length", "ids_crc32"])
 
-    return rows
+    return lean(rows)
 
 
 def patterns(limit: int, there: np.ndarray) -> list[tuple[tuple[int, int], ...]]:

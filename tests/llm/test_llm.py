@@ -653,3 +653,20 @@ def test_visits_find_links_just_at_the_threshold(centres):
     of_a, of_b = (grid.order(x, grid.visits) for x in (a, b))
     found = (of_a == of_b[:, :1]).any(1) | (of_b == of_a[:, :1]).any(1)
     assert found.mean() >= 0.97 and grid.visits < grid.cells / 20
+
+
+def test_words_that_are_not_held_are_encoded_again(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    # Two workers of an executor, and the JVM beside them, have 3,000 MB.
+    assert (packing.WORDS_HELD + packing.PARTS_HELD) * 160 < 150 << 20
+    path = public_tokenizers.path("word_bpe_49k.json")
+    for name, value in (("WORDS_HELD", 3), ("PARTS_HELD", 2), ("AT_ONCE", 4), ("_encoders", {})):
+        monkeypatch.setattr(packing, name, value)
+    encode, plain = packing.word_encoder(path), Tokenizer.from_file(path)
+    words = "The cat's Café, sat\xa0 İstanbul ΣΑΣ ́x 가각 가 日本! 😀👨‍👩 ½ \x85 12,5 don't ... a b".split(" ")
+    for at in range(len(words)):
+        text = "\t".join(words[at:] + words)
+        assert encode(text) == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert encode("") == encode(" \n") == b""
