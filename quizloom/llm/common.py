@@ -115,11 +115,30 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def lean(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function over Arrow batches that gives a task's free memory back when it ends."""
+#: By step, what a worker remembers of it from task to task.
+_remembered: dict[str, dict] = {}
+
+
+def remembered(step: str) -> dict:
+    """What a worker remembers of a step from task to task, until it runs another step."""
+    return _remembered.setdefault(step, {})
+
+
+def forget(but: str | None = None) -> None:
+    """Lets go of what the worker remembers of other steps: Spark hands its workers on from step to step."""
+    others = [held for step, held in _remembered.items() if step != but and held]
+    for held in others:
+        held.clear()
+    if others:
+        give_back()
+
+
+def lean(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], step: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function over Arrow batches that keeps no other step's memory, and gives a task's free memory back when it ends."""
 
     @functools.wraps(rows)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(step)
         yield from rows(batches)
         give_back()
 

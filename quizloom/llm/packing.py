@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quizloom.llm.common import lean, materialise
+from quizloom.llm.common import lean, materialise, remembered
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces of a length that a block, a group of one task, is to hold.
@@ -33,7 +33,8 @@ ROWS_IN_BLOCK = 1024
 #: Entries of an encoder's memory, some 160 bytes each, and how many new words are encoded at once.
 WORDS_HELD, PARTS_HELD, AT_ONCE = 450_000, 250_000, 10_000
 SIMPLE = re.compile(rb"([A-Za-z]+)([.,;:!?]*)")
-_encoders: dict[str, Callable[[str], bytes]] = {}
+#: By path; other steps let go of them.
+_encoders: dict[str, Callable[[str], bytes]] = remembered("packing")
 
 
 def cuts_words(path: str) -> bool:
@@ -112,7 +113,7 @@ def piece_rows(path: str, limit: int):
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "piece", "start", "length", "ids_crc32"])
 
-    return lean(rows)
+    return lean(rows, "packing")
 
 
 def patterns(limit: int, there: np.ndarray) -> list[tuple[tuple[int, int], ...]]:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from quizloom.llm.common import fold, give_back
+from quizloom.llm.common import fold, forget, give_back
 
 #: Bytes that are compressed by themselves, and bytes of average difference that are added to a text.
 BLOCK, PRIOR = 2048, 32
@@ -147,6 +147,7 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", score_col:
 
     @F.arrow_udf(DoubleType())
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forget()
         for texts in batches:
             out = [shared.value.score([(t.as_py() or "").encode() for t in texts.slice(lo, 256)]) for lo in range(0, len(texts), 256)]
             yield pa.array(np.concatenate(out or [np.empty(0)]), pa.float64())

@@ -4,7 +4,7 @@ A window is `window` consecutive words. A window is removed where its word seque
 a document with a smaller id. Every window chooses an anchor by its content alone: the smallest
 hash among its runs of `gram` words. So equal windows, wherever they stand, choose equal anchors
 and meet in one shard. Only anchors that occur in several documents are followed: a bit table of
-fixed size says which may be.
+bounded size says which may be.
 
 Neighbouring windows with the same anchor form a segment. For each distinct segment the smallest
 document is found by an aggregation of hashes, so thousands of copies of a passage are one row from
@@ -229,7 +229,7 @@ def removed_spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
     anchors = docs.select("id", "text").mapInArrow(anchor_rows(window, gram), "anchor long, id long")
     anchors = anchors.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     anchors = materialise(anchors.select("anchor", "n"), "anchors")
-    shared, busy = (sc.broadcast(bit_table(x, "anchor")) for x in (anchors, anchors.where(F.col("n") > BUSY)))
+    shared, busy = (sc.broadcast(bit_table(x, "anchor", table_bits(x.count()))) for x in (anchors, anchors.where(F.col("n") > BUSY)))
     segments = docs.mapInArrow(segment_rows(window, gram, shared, busy), "key long, digest long, id long, version long, start int, n int")
     segments = materialise(segments, "segments")
     distinct = segments.groupBy("key", "digest").agg(F.min("id").alias("first"), F.max("id").alias("last"))

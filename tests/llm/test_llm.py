@@ -670,3 +670,25 @@ def test_words_that_are_not_held_are_encoded_again(monkeypatch):
         text = "\t".join(words[at:] + words)
         assert encode(text) == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     assert encode("") == encode(" \n") == b""
+
+
+def test_another_step_lets_go_of_the_encoders():
+    """Spark hands a worker on: what packing remembered counted against the steps after it."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    batch = pa.record_batch({"id": pa.array([1]), "text": pa.array(["a few words"])})
+    first = list(packing.piece_rows(path, 8)([batch]))
+    encode = packing._encoders[path]
+    assert list(packing.piece_rows(path, 8)([batch])) == first and packing._encoders[path] is encode  # from task to task
+    list(substring.anchor_rows(13, 6)([batch]))
+    assert not packing._encoders
+    assert list(packing.piece_rows(path, 8)([batch])) == first
+
+
+def test_substring_tables_are_as_large_as_their_keys_need(spark, monkeypatch):
+    bits, plain = [], substring.bit_table
+    monkeypatch.setattr(substring, "bit_table", lambda keys, column, bits_=27: bits.append(bits_) or plain(keys, column, bits_))
+    passage = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, f"x {passage}"), (2, f"{passage} y")], "doc_id long, text string")
+    rows = {r.doc_id: r.kept for r in substring.remove_repeats(docs).collect()}
+    assert rows == {1: f"x {passage}", 2: "y"}
+    assert len(bits) == 3 and max(bits) < 20  # anchors, busy anchors, wanted segments
