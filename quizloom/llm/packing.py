@@ -18,100 +18,205 @@ import bisect
 import json
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quizloom.llm.common import lean, materialise, remembered
+from quizloom.llm.common import LOWER, SPACE, lean, materialise, remembered, text_chunks
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces of a length that a block, a group of one task, is to hold.
 ROWS_IN_BLOCK = 1024
-#: Entries of an encoder's memory, some 160 bytes each, and how many new words are encoded at once.
+#: Entries of an encoder's memory, some 160 bytes each, of words that came again and of words that came once, and how many new words are encoded at once.
 WORDS_HELD, PARTS_HELD, AT_ONCE = 450_000, 250_000, 10_000
-SIMPLE = re.compile(rb"([A-Za-z]+)([.,;:!?]*)")
+#: Bytes of text that are cut into words at once; each distinct word is looked up once.
+CHUNK = 1 << 20
+#: Kinds of bytes: white space, ASCII letters, ASCII marks but the apostrophe (contractions begin with it), and others.
+BLANK, OTHER, LETTER, MARK = 0, 1, 2, 4
+#: Contractions, letters, digits, marks: what such a pattern finds never has a letter beside a mark.
+FINDS = re.compile(r"(?:'[a-z]+\|)*\[\\p\{L\}\]\+\|\[\\p\{N\}\]\+?\|\[\^\\s\\p\{L\}\\p\{N\}\]\+")
 #: By path; other steps let go of them.
-_encoders: dict[str, Callable[[str], bytes]] = remembered("packing")
-
-
-def cuts_words(path: str) -> bool:
-    """Whether a tokenizer's file says that it lower-cases and first of all keeps only what a pattern finds,
-    which takes letters and marks apart."""
-    with open(path, encoding="utf-8") as f:
-        told = json.load(f)
-    steps = [(told.get(kind) or {}).get(parts) or [told.get(kind) or {}] for kind, parts in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
-    first = steps[1][0]
-    found = (first.get("pattern") or {}).get("Regex", "")
-    return any(s.get("type") == "Lowercase" for s in steps[0]) and first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and found.endswith("[^\\s\\p{L}\\p{N}]+") and "[\\p{L}]+" in found
-
-
-def word_encoder(path: str) -> Callable[[str], bytes]:
-    """Encodes whole texts; those of a lower-casing tokenizer that drops white space, word by word.
-
-    Such a tokenizer (others get whole texts) never joins what white space parts, nor a letter and a mark, so each distinct
-    word, and each run of ASCII letters or marks in one, is encoded once and remembered. The
-    memory is bounded: once it is full, other words are encoded again. Ids are 4 bytes each.
+_encoders: dict[str, TextEncoder] = remembered("packing")
+
+
+def cuts_words(told: dict) -> bool:
+    """Whether a tokenizer's file says that it composes, lower-cases, and first of all keeps only what a pattern finds,
+    which takes letters and marks apart. Its added tokens hold no white space, and not letters alone."""
+    before, steps = ((told.get(kind) or {}).get(parts) or [told.get(kind) or {}] for kind, parts in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+    blanks = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+    found = (steps[0].get("pattern") or {}).get("Regex", "")
+    return (
+        {"type": "Lowercase"} in before
+        and all(s in ({"type": "NFC"}, {"type": "Lowercase"}, blanks) for s in before)
+        and (steps[0].get("type"), steps[0].get("behavior"), steps[0].get("invert")) == ("Split", "Removed", True)
+        and FINDS.fullmatch(found) is not None
+        and not any(t["content"].isalpha() or t["content"].split() != [t["content"]] for t in told.get("added_tokens") or [])
+    )
+
+
+def kinds(told: dict) -> np.ndarray:
+    """The kind of each byte. Bytes of added tokens other than letters are of no kind that is cut or lower-cased."""
+    out = np.full(256, OTHER, np.uint8)
+    out[SPACE] = BLANK
+    out[[c for c in range(0x21, 0x7F) if chr(c) != "'" and not chr(c).isalnum()]] = MARK
+    out[[b for t in told.get("added_tokens") or [] for b in t["content"].encode()]] = OTHER
+    out[[c for c in range(0x41, 0x7B) if chr(c).isalpha()]] = LETTER
+    return out
+
+
+def cut_words(data: np.ndarray, offsets: np.ndarray, kind_of: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """What white space parts, cut further between a letter and a mark, and each row's first word (one more entry than rows).
+
+    Words of letters or marks alone have their A-Z lower-cased; others may hold what composes with an upper-case letter.
+    """
+    kind = kind_of[data]
+    # U+00C0 to U+00FF are letters but for two signs; nothing before them composes with them.
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = LETTER
+    word = kind != BLANK
+    begins = word.copy()
+    begins[1:] &= (kind[:-1] == BLANK) | (kind[1:] + kind[:-1] == LETTER + MARK)
+    rows = offsets[offsets < len(data)]  # rows end words, too
+    begins[rows] = word[rows]
+    first = np.searchsorted(np.flatnonzero(begins), offsets)
+    own, at = data[word], np.flatnonzero(begins[word])
+    low = LOWER[own]
+    if len(others := np.flatnonzero(kind[word] == OTHER)):
+        kept = np.zeros(len(at), bool)
+        kept[np.searchsorted(at, others, "right") - 1] = True
+        kept = np.repeat(kept, np.diff(at, append=len(own)))
+        low[kept] = own[kept]
+    ends = np.append(at, len(own)).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(low)]), first
+
+
+def stretches(data: np.ndarray) -> Iterator[np.ndarray]:
+    """A row in parts of about CHUNK bytes that end at white space."""
+    at = 0
+    while len(data) - at > CHUNK:
+        blank = np.flatnonzero(SPACE[data[at : at + CHUNK]])
+        if not len(blank):
+            blank = np.flatnonzero(SPACE[data[at:]])[:1]
+            if not len(blank):
+                break
+        yield data[at : at + blank[-1] + 1]
+        at += int(blank[-1]) + 1
+    yield data[at:]
+
+
+class TextEncoder:
+    """Encodes whole texts. Ids are 4 bytes each."""
+
+    def __init__(self, tokenizer) -> None:
+        self.tokenizer = tokenizer
+
+    def __call__(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def texts(self, column: pa.Array) -> Iterator[bytes]:
+        """The ids of each row's text."""
+        for text in column:
+            yield self(text.as_py() or "")
+
+
+class WordEncoder(TextEncoder):
+    """Encodes texts word by word, for a lower-casing tokenizer that drops white space.
+
+    Such a tokenizer never joins what white space parts, nor a letter and a mark, so a chunk of texts is cut there, each
+    distinct word is looked up once, and only words that aren't remembered are encoded. The memory is bounded: it has room for
+    words that came in two chunks, and for those that came in one lately; others are encoded again.
     """
+
+    def __init__(self, tokenizer, told: dict) -> None:
+        super().__init__(tokenizer)
+        self.kinds = kinds(told)
+        self.held: dict[bytes, bytes] = {}
+        self.once: dict[bytes, bytes] = {}
+
+    def __call__(self, text: str) -> bytes:
+        return next(self.texts(pa.array([text], pa.string())))
+
+    def fresh(self, words: list[bytes]) -> dict[bytes, bytes]:
+        own: dict[bytes, bytes] = {}
+        for at in range(0, len(words), AT_ONCE):
+            some = [w.decode() for w in words[at : at + AT_ONCE]]
+            # As one text: a token belongs to the word in which it starts.
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids = np.array(found.ids, "<u4").tobytes()
+            begins = np.cumsum([0, *(len(w) + 1 for w in some)])
+            cuts = (4 * np.searchsorted([lo for lo, _ in found.offsets], begins)).tolist()
+            own.update((w, ids[lo:hi]) for w, lo, hi in zip(words[at : at + AT_ONCE], cuts, cuts[1:]))
+        return own
+
+    def distinct(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of some distinct words."""
+        found = list(map(self.held.get, words))
+        rest = [w for w, ids in zip(words, found) if ids is None]
+        if not rest:
+            return found
+        again = {w: self.once[w] for w in rest if w in self.once}
+        new = self.fresh([w for w in rest if w not in again])
+        for w in list(again)[: max(0, WORDS_HELD - len(self.held))]:
+            self.held[w] = self.once.pop(w)
+        if len(self.once) + len(new) > PARTS_HELD:
+            self.once.clear()
+        if len(new) <= PARTS_HELD:
+            self.once.update(new)
+        more = again | new
+        return [more[w] if ids is None else ids for w, ids in zip(words, found)]
+
+    def chunk(self, data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, list[int]]:
+        """The ids of rows end to end, and each row's offset there."""
+        words, first = cut_words(data, offsets, self.kinds)
+        if not len(words):
+            return b"", [0] * len(offsets)
+        coded = words.dictionary_encode()
+        taken = pa.array(self.distinct(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.binary()).take(coded.indices)
+        _, ends, ids = taken.buffers()
+        return (ids or pa.py_buffer(b"")).to_pybytes(), np.frombuffer(ends, np.int32, len(taken) + 1)[first].tolist()
+
+    def texts(self, column: pa.Array) -> Iterator[bytes]:
+        for _, _, data, offsets in text_chunks(column, CHUNK):
+            if len(data) > CHUNK:  # one row
+                yield b"".join([self.chunk(part, np.array([0, len(part)]))[0] for part in stretches(data)])
+                continue
+            ids, ends = self.chunk(data, offsets)
+            for lo, hi in zip(ends, ends[1:]):
+                yield ids[lo:hi]
+
+
+def word_encoder(path: str) -> TextEncoder:
+    """Encodes texts, word by word where the tokenizer's file allows it."""
     if path not in _encoders:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
         tokenizer = Tokenizer.from_file(path)
-        if not cuts_words(path):
-            _encoders[path] = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            return _encoders[path]
-        held: dict[bytes, bytes] = {}
-        parts: dict[bytes, bytes] = {}
-
-        def fresh(words: list[bytes]) -> dict[bytes, bytes]:
-            cut = {w: (m[1].lower(), m[2]) if (m := SIMPLE.fullmatch(w)) else (w,) for w in words}
-            new = list({p for ps in cut.values() for p in ps if p and p not in parts})
-            own: dict[bytes, bytes] = {b"": b""}
-            for at in range(0, len(new), AT_ONCE):
-                some = [w.decode() for w in new[at : at + AT_ONCE]]
-                # As one text: a token belongs to the word in which it starts.
-                found = tokenizer.encode(" ".join(some), add_special_tokens=False)
-                ids = np.array(found.ids, "<u4").tobytes()
-                begins = np.cumsum([0, *(len(w) + 1 for w in some)])
-                cuts = (4 * np.searchsorted([lo for lo, _ in found.offsets], begins)).tolist()
-                own.update((w, ids[lo:hi]) for w, lo, hi in zip(new[at : at + AT_ONCE], cuts, cuts[1:]))
-            if len(parts) < PARTS_HELD:
-                parts.update(own)
-            return {w: b"".join(own[p] if p in own else parts[p] for p in ps) for w, ps in cut.items()}
-
-        def encode(text: str) -> bytes:
-            words = text.encode().split()
-            new = [w for w in set(words) if w not in held]
-            if not new:
-                return b"".join(map(held.__getitem__, words))
-            extra = fresh(new)
-            if len(held) < WORDS_HELD:
-                held.update(extra)
-                return b"".join(map(held.__getitem__, words))
-            return b"".join([extra[w] if w in extra else held[w] for w in words])
-
-        _encoders[path] = encode
+        _encoders[path] = WordEncoder(tokenizer, told) if cuts_words(told) else TextEncoder(tokenizer)
     return _encoders[path]
 
 
 def piece_rows(path: str, limit: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_encoder(path)
+        encoder = word_encoder(path)
         for batch in batches:
             out: list[tuple] = []
-            for id_, text in zip(batch.column("id").to_pylist(), batch.column("text")):
-                ids = encode(text.as_py() or "") + bytes(4)
+            for id_, ids in zip(batch.column("id").to_pylist(), encoder.texts(batch.column("text"))):
+                ids += bytes(4)
                 for k, at in enumerate(range(0, len(ids) // 4, limit)):
                     piece = ids[4 * at : 4 * (at + limit)]
                     out.append((id_, k, at, len(piece) // 4, zlib.crc32(piece)))
             columns = list(zip(*out)) or [()] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "piece", "start", "length", "ids_crc32"])
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["id", "piece", "start", "length", "ids_crc32"])
 
     return lean(rows, "packing")
 

@@ -692,3 +692,52 @@ def test_substring_tables_are_as_large_as_their_keys_need(spark, monkeypatch):
     rows = {r.doc_id: r.kept for r in substring.remove_repeats(docs).collect()}
     assert rows == {1: f"x {passage}", 2: "y"}
     assert len(bits) == 3 and max(bits) < 20  # anchors, busy anchors, wanted segments
+
+
+def test_a_word_of_many_rows_is_encoded_once_whatever_is_held(monkeypatch):
+    import tokenizers
+
+    seen: list[str] = []
+
+    class Counting:
+        def __init__(self, own) -> None:
+            self.own = own
+
+        @staticmethod
+        def from_file(path: str):
+            return Counting(plain.from_file(path))
+
+        def encode(self, text: str, **named):
+            seen.extend(text.split())
+            return self.own.encode(text, **named)
+
+    plain = tokenizers.Tokenizer
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counting)
+    for name, value in (("WORDS_HELD", 0), ("PARTS_HELD", 0), ("_encoders", {})):
+        monkeypatch.setattr(packing, name, value)
+    path, words = public_tokenizers.path("word_bpe_49k.json"), [f"{a}añá{b}" for a in "bcdfg" for b in "klmnp"]
+    rows = [" ".join(f"{w.capitalize() if n % 2 else w}{mark * (n % 3)}" for w in words) for n, mark in enumerate("#.&*,!" * 20)]
+    batch = pa.record_batch({"id": pa.array(range(len(rows))), "text": pa.array(rows)})
+    found = [tuple(r.values()) for out in packing.piece_rows(path, 2048)([batch]) for r in out.to_pylist()]
+    assert len(seen) <= len(words) + 12  # marks alone, besides
+    assert sorted(found, key=str) == plain_pieces(list(enumerate(rows)))
+
+
+def test_words_are_cut_only_where_the_tokenizer_cuts(monkeypatch):
+    """Also where letters compose with what follows, beside contractions and added tokens, and in rows longer than a chunk."""
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), np.random.default_rng(3)
+    some = [*"abxyzABJKst \t\n\r.,;:!?#$&*()-_[]{}@^`~\"'/\\%+=<>|01½ªéÉñß×÷ÿÀΣς日가ᄀ😀", *"̸̧́̌̇ͅK`;\x85\xa0\x1c\x00 "]
+    some += ["'s", "'re", "'T", "İ", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>"]
+    texts = ["".join(rng.choice(some, rng.integers(0, 30))) for _ in range(4000)]
+    texts += [" ".join(texts[:50]), "x" * 300, "x" * 100 + " " + "y" * 100 + " " * 100, " " * 300, "é" * 200 + "# a"]
+    expected = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    for chunk in (1 << 20, 64):
+        monkeypatch.setattr(packing, "CHUNK", chunk)
+        monkeypatch.setattr(packing, "_encoders", {})
+        encoder = packing.word_encoder(path)
+        assert isinstance(encoder, packing.WordEncoder)
+        assert list(encoder.texts(pa.array(texts))) == expected
+        assert list(encoder.texts(pa.array([None, *texts, None]).slice(1, len(texts)))) == expected
+        assert list(encoder.texts(pa.array([None], pa.string()))) == [b""]
